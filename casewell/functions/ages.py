@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from casewell.functions.text import is_missing, round_half_up, strip_accents
+from casewell.functions.text import is_missing, let, round_half_up, strip_accents
 
 DEFAULT_BREAKS = (0, 5, 15, 30, 50, 65, 80)
 DAYS_PER_YEAR = 365.25
@@ -21,7 +21,7 @@ _AGE = rf"^(\d+(?:\.\d+)?)\s*({MONTH_UNITS}|{DAY_UNITS}|{WEEK_UNITS}|{YEAR_UNITS
 
 
 def _plausible(years: Column) -> Column:
-    return F.when(years.between(0, 120), round_half_up(years, 2))
+    return let(years, lambda y: F.when(y.between(0, 120), round_half_up(y, 2)))
 
 
 def _text(c: Column) -> Column:
@@ -35,20 +35,21 @@ def _by_unit(n: Column, months: Column, days: Column, weeks: Column) -> Column:
 
 def age_unit_of(c: Column) -> Column:
     """Unit an age expression is written in: Years, Months, Weeks or Days."""
-    unit = F.regexp_extract(_text(c), _AGE, 2)
-    named = (F.when(unit.rlike(f"^({MONTH_UNITS})$"), "Months").when(unit.rlike(f"^({DAY_UNITS})$"), "Days")
-             .when(unit.rlike(f"^({WEEK_UNITS})$"), "Weeks").otherwise("Years"))
-    return F.when(parse_age(c).isNotNull(), named)
+    def named(unit: Column) -> Column:
+        return (F.when(unit.rlike(f"^({MONTH_UNITS})$"), "Months").when(unit.rlike(f"^({DAY_UNITS})$"), "Days")
+                .when(unit.rlike(f"^({WEEK_UNITS})$"), "Weeks").otherwise("Years"))
+    return F.when(parse_age(c).isNotNull(), let(F.regexp_extract(_text(c), _AGE, 2), named))
 
 
 def parse_age(c: Column) -> Column:
     """Age in years from text such as ``18 mois``, ``3w``, ``45 ans`` or ``7,5``."""
-    s = _text(c)
-    n = F.regexp_extract(s, _AGE, 1).try_cast("double")
-    unit = F.regexp_extract(s, _AGE, 2)
-    years = _by_unit(n, unit.rlike(f"^({MONTH_UNITS})$"), unit.rlike(f"^({DAY_UNITS})$"),
-                     unit.rlike(f"^({WEEK_UNITS})$"))
-    return F.when(~is_missing(c), _plausible(years))
+    def years(parts: Column) -> Column:
+        n, unit = parts["n"], parts["unit"]
+        return _plausible(_by_unit(n, unit.rlike(f"^({MONTH_UNITS})$"), unit.rlike(f"^({DAY_UNITS})$"),
+                                   unit.rlike(f"^({WEEK_UNITS})$")))
+    parts = let(_text(c), lambda s: F.struct(F.regexp_extract(s, _AGE, 1).try_cast("double").alias("n"),
+                                             F.regexp_extract(s, _AGE, 2).alias("unit")))
+    return F.when(~is_missing(c), let(parts, years))
 
 
 def parse_age_with_unit(c: Column, unit: Column) -> Column:
@@ -58,11 +59,13 @@ def parse_age_with_unit(c: Column, unit: Column) -> Column:
     Text the unit cannot be applied to is parsed on its own.
     """
     n = F.translate(F.trim(c.cast("string")), ",", ".").try_cast("double")
-    u = strip_accents(F.lower(F.trim(unit)))
-    weeks = u.contains("w") | u.contains("sem")
-    months = ~weeks & u.contains("m")
-    days = u.contains("d") | u.contains("jour")
-    return F.coalesce(F.when(unit.isNotNull(), _plausible(_by_unit(n, months, days, weeks))), parse_age(c))
+
+    def years(u: Column) -> Column:
+        weeks = u.contains("w") | u.contains("sem")
+        months = ~weeks & u.contains("m")
+        days = u.contains("d") | u.contains("jour")
+        return _plausible(_by_unit(n, months, days, weeks))
+    return F.coalesce(F.when(unit.isNotNull(), let(strip_accents(F.lower(F.trim(unit))), years)), parse_age(c))
 
 
 def age_from_birth(birth: Column, onset: Column) -> Column:

@@ -6,15 +6,13 @@ import datetime
 
 from pyspark.sql import Column, functions as F
 
-from casewell.functions.text import is_missing, strip_accents
+from casewell.functions.text import is_missing, let, strip_accents
 from casewell.lexicon import MONTH_WORDS
 
 # Spreadsheet day zero and the serial numbers taken as dates.
 SERIAL_EPOCH = "1899-12-30"
 SERIAL_MIN, SERIAL_MAX = 25569, 60000
 
-_SEP = r"[/\-. ]"
-_TIME = r"(?:[T ,]+\d{1,2}[:hH].*)?$"
 # Ambiguous day/month text; the same shape decides the column's order.
 DAY_MONTH_SHAPE = r"(\d{1,2})[/\-\.](\d{1,2})[/\-\.](\d{2,4})"
 
@@ -66,17 +64,28 @@ def day_month_votes(c: Column) -> tuple[Column, Column]:
     )
 
 
-def _full_year(y: Column, pivot: int) -> Column:
-    """Two-digit years land within 50 years of ``pivot``."""
-    n = y.try_cast("int")
-    near = n + F.lit(pivot // 100 * 100)
-    near = (F.when(near >= pivot + 50, near - 100).when(near < pivot - 50, near + 100).otherwise(near))
-    return F.when(F.length(y) <= 2, near).otherwise(n)
+# Shapes a date is written in, and the year-month-day order of their parts.
+_CLOCK = r"(?:[T ,]+\d{1,2}[:hH].*)?"
+_NUMERIC_SHAPES = (
+    (r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})(?:[T\s].*)?$", "$1-$2-$3"),
+    (r"^((?:19|20)\d\d)(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$", "$1-$2-$3"),
+    (r"^(\d{4})[/\-](\d{1,2})$", "$1-$2-1"),
+    (r"^(\d{1,2})[/\-](\d{4})$", "$2-$1-1"),
+    (r"^(\d{4})$", "$1-1-1"),
+)
+_DAY_MONTH_YEAR = (r"^(\d{1,2})[/\-. ](\d{1,2})[/\-. ](\d{4}|\d{2})" + _CLOCK + "$", r"^(\d{2})(\d{2})(\d{2})$")
+# "m7" stands for a month word
+_WORD_SHAPES = (
+    (r"^(\d{1,2})(?:st|nd|rd|th|er)? ?m(\d+) ?(\d{4}|\d{2})(?: \d{1,2}[:h].*)?$", "$3-$2-$1"),
+    (r"^m(\d+) ?(\d{1,2})(?:st|nd|rd|th|er)? (\d{4}|\d{2})(?: \d{1,2}[:h].*)?$", "$3-$1-$2"),
+    (r"^m(\d+) (\d{4})$", "$2-$1-1"),
+)
 
 
-def _ymd(y: Column, m: Column, d: Column) -> Column:
-    """Date from numeric parts; null when there is no such day."""
-    return F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), m.cast("string"), d.cast("string")).try_cast("date")
+def _rewrite(c: Column, shapes) -> Column:
+    for pattern, order in shapes:
+        c = F.regexp_replace(c, pattern, order)
+    return c
 
 
 def parse_date(
@@ -88,68 +97,49 @@ def parse_date(
 ) -> Column:
     """Date from the usual ways line lists write one; null when unreadable.
 
-    Tried in order: missing token, spreadsheet serial, ``yyyyMMdd``, year-first,
-    day/month/year in numbers, day month-word year, month-word day year,
-    month-word year, ``MM/yyyy``, ``yyyy-MM`` and ``yyyy``.  ``day_first`` only
-    settles numeric dates where both readings exist.
+    Missing tokens are null.  Spreadsheet serials are converted; everything else is
+    rewritten to year-month-day: ``yyyyMMdd``, year first, day/month/year in numbers,
+    month words (English, French, Spanish) in either order, and dates without a day
+    or month, which start at the first.  ``day_first`` settles numeric dates where both
+    readings exist; the other reading is tried when the preferred one is no date.
+    Two-digit years land within 50 years of ``century_pivot`` (default: this year).
     """
-    pivot = century_pivot or datetime.date.today().year
-    first = day_first if isinstance(day_first, Column) else F.lit(bool(day_first))
-    raw = F.trim(c.cast("string"))
-    s = F.regexp_replace(raw, r"^['\"`.,]+|['\"`.,]+$", "")
-
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(s, pattern, i)
-
-    compact = r"^((?:19|20)\d\d)(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$"
-    year_first = r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})" + r"(?:[T\s].*)?$"
-    numeric = r"^(\d{1,2})" + _SEP + r"(\d{1,2})" + _SEP + r"(\d{4}|\d{2})" + _TIME
-    packed = r"^(\d{2})(\d{2})(\d{2})$"
-
-    y1, m1, d1 = part(year_first, 1), part(year_first, 2).try_cast("int"), part(year_first, 3).try_cast("int")
-    swap = (m1 > 12) & (d1 <= 12)
-    from_year_first = _ymd(y1, F.when(swap, d1).otherwise(m1), F.when(swap, m1).otherwise(d1))
-
-    def from_numbers(pattern: str) -> Column:
-        a, b = part(pattern, 1).try_cast("int"), part(pattern, 2).try_cast("int")
-        dmy = (a > 12) | (first & (b <= 12))
-        return _ymd(_full_year(part(pattern, 3), pivot),
-                    F.when(dmy, b).otherwise(a), F.when(dmy, a).otherwise(b))
-
-    # Month words: accents off, connectives and weekday names out, one space between parts.
-    w = F.regexp_replace(strip_accents(F.lower(s)), r"\b(?:de|del|le)\b", " ")
-    w = F.regexp_replace(w, r"^[a-z]+day[ ,]+|^(?:mon|tue|wed|thu|fri|sat|sun)[ ,]+", "")
-    w = F.trim(F.regexp_replace(w, r"[\s\-/.,]+", " "))
-    months = _month_map()
-
-    def wpart(pattern: str, i: int) -> Column:
-        return F.regexp_extract(w, pattern, i)
-
-    day_word = r"^(\d{1,2})(?:st|nd|rd|th|er)? ?([a-z]+) ?(\d{4}|\d{2})(?: \d{1,2}[:h].*)?$"
-    word_day = r"^([a-z]+) ?(\d{1,2})(?:st|nd|rd|th|er)? (\d{4}|\d{2})(?: \d{1,2}[:h].*)?$"
-    word_year = r"^([a-z]+) (\d{4})$"
-    one = F.lit(1)
-    in_words = F.coalesce(
-        _ymd(_full_year(wpart(day_word, 3), pivot), F.element_at(months, wpart(day_word, 2)), wpart(day_word, 1)),
-        _ymd(_full_year(wpart(word_day, 3), pivot), F.element_at(months, wpart(word_day, 1)), wpart(word_day, 2)),
-        _ymd(wpart(word_year, 2), F.element_at(months, wpart(word_year, 1)), one),
-    )
-
-    parsed = (
-        F.when(is_serial_date(raw), serial_to_date(raw))
-        .when(raw.rlike(compact), _ymd(F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2)))
-        .when(s.rlike(year_first), from_year_first)
-        .when(s.rlike(numeric), from_numbers(numeric))
-        .when(s.rlike(r"[A-Za-z]"), in_words)
-        .when(s.rlike(packed), from_numbers(packed))
-        .when(s.rlike(r"^\d{1,2}[/\-]\d{4}$"),
-              _ymd(F.substring_index(F.translate(s, "-", "/"), "/", -1),
-                   F.substring_index(F.translate(s, "-", "/"), "/", 1), one))
-        .when(s.rlike(r"^\d{4}[/\-]\d{1,2}$"),
-              _ymd(F.substring(s, 1, 4), F.substring_index(F.translate(s, "-", "/"), "/", -1), one))
-        .when(s.rlike(r"^\d{4}$"), _ymd(s, one, one))
-    )
-    return F.when(~is_missing(raw) & F.year(parsed).between(min_year, max_year), parsed)
+    low = (century_pivot or datetime.date.today().year) - 50
+    order = (F.when(day_first, "$3-$2-$1").otherwise("$3-$1-$2") if isinstance(day_first, Column)
+             else "$3-$2-$1" if day_first else "$3-$1-$2")
+
+    def numbers(s: Column) -> Column:
+        return _rewrite(_rewrite(s, _NUMERIC_SHAPES), [(shape, order) for shape in _DAY_MONTH_YEAR])
+
+    def words(s: Column) -> Column:
+        # connectives and weekday names out, one space between parts, month word -> number
+        w = F.regexp_replace(strip_accents(F.lower(s)), r"\b(?:de|del|le|[a-z]+day|mon|tue|wed|thu|fri|sat|sun)\b", " ")
+        w = F.trim(F.regexp_replace(w, r"[\s\-/.,]+", " "))
+
+        def numbered(w: Column) -> Column:
+            word = F.regexp_extract(w, r"[a-z]{3,}", 0)
+            return F.replace(w, word, F.concat(F.lit("m"), F.element_at(_month_map(), word).cast("string")))
+        return _rewrite(let(w, numbered), _WORD_SHAPES)
+
+    def year_month_day(s: Column) -> Column:
+        spelled = s.rlike(r"[A-Za-z\u00C0-\u024F]") & ~s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}[T ]")
+        return F.when(spelled, words(s)).otherwise(numbers(s))
+
+    def full_year(ymd: Column) -> Column:
+        year = F.pmod(F.substring(ymd, 1, 2).try_cast("int") - low, F.lit(100)) + low
+        return F.when(ymd.rlike(r"^\d{2}-"), F.concat(year.cast("string"), F.substring(ymd, 3, 9))).otherwise(ymd)
+
+    def readable(ymd: Column) -> Column:
+        other = F.regexp_replace(ymd, r"^(\d+)-(\d+)-(\d+)$", "$1-$3-$2")
+        return F.when(ymd.rlike(r"^\d{4}-\d+-\d+$"), F.coalesce(ymd.try_cast("date"), other.try_cast("date")))
+
+    def parsed(raw: Column) -> Column:
+        s = F.regexp_replace(raw, r"^['\"`.,]+|['\"`.,]+$", "")
+        text_date = let(let(let(s, year_month_day), full_year), readable)
+        return F.when(is_missing(raw), None).when(is_serial_date(raw), serial_to_date(raw)).otherwise(text_date)
+
+    in_range = lambda d: F.when(F.year(d).between(min_year, max_year), d)
+    return let(let(F.trim(c.cast("string")), parsed), in_range)
 
 
 def as_date(c: Column, dtype: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from casewell.functions.text import round_half_up
+from casewell.functions.text import let, round_half_up
 
 _NUMBER = r"(\d+(?:\.\d+)?)"
 _DMS = rf"(-?)\s*{_NUMBER}(?:[^\d.]+{_NUMBER})?(?:[^\d.]+{_NUMBER})?"
@@ -16,15 +16,16 @@ def parse_coordinate(c: Column, axis: str) -> Column:
     Accepts a decimal comma and the N/S/E/W letters; null outside the axis' range.
     """
     limit, negative = (90, "S") if axis == "lat" else (180, "W")
-    s = F.translate(F.upper(F.trim(c.cast("string"))), ",", ".")
-    sexagesimal = s.rlike("[°'\"]")
-    degrees = F.regexp_extract(s, _DMS, 2).try_cast("double")
-    minutes = F.when(sexagesimal, F.regexp_extract(s, _DMS, 3).try_cast("double"))
-    seconds = F.when(sexagesimal, F.regexp_extract(s, _DMS, 4).try_cast("double"))
-    size = (degrees + F.coalesce(minutes, F.lit(0.0)) / 60.0 + F.coalesce(seconds, F.lit(0.0)) / 3600.0)
-    below = (F.regexp_extract(s, _DMS, 1) == "-") | s.rlike(rf"\b{negative}\b|{negative}\s*$")
-    value = F.when(below, -size).otherwise(size)
-    return F.when(value.between(-limit, limit), round_half_up(value, 6))
+
+    def degrees(s: Column) -> Column:
+        number = lambda i: F.regexp_extract(s, _DMS, i).try_cast("double")
+        fraction = F.when(s.rlike("[°'\"]"), F.coalesce(number(3), F.lit(0.0)) / 60.0
+                          + F.coalesce(number(4), F.lit(0.0)) / 3600.0).otherwise(0.0)
+        below = (F.regexp_extract(s, _DMS, 1) == "-") | s.rlike(rf"\b{negative}\b|{negative}\s*$")
+        return (number(2) + fraction) * F.when(below, -1.0).otherwise(1.0)
+
+    text = F.translate(F.upper(F.trim(c.cast("string"))), ",", ".")
+    return let(let(text, degrees), lambda v: F.when(v.between(-limit, limit), round_half_up(v, 6)))
 
 
 def coordinate_pair(lat: Column, lon: Column) -> Column:
@@ -33,14 +34,15 @@ def coordinate_pair(lat: Column, lon: Column) -> Column:
     A swap is recognised when the latitude is unusable, the longitude is usable
     and reading them the other way round gives a valid point.
     """
-    a, b = parse_coordinate(lat, "lat"), parse_coordinate(lon, "lon")
-    alt_a, alt_b = parse_coordinate(lon, "lat"), parse_coordinate(lat, "lon")
-    swapped = a.isNull() & b.isNotNull() & alt_a.isNotNull() & alt_b.isNotNull()
-    return F.struct(
-        F.when(swapped, alt_a).otherwise(a).alias("lat"),
-        F.when(swapped, alt_b).otherwise(b).alias("lon"),
-        swapped.alias("swapped"),
-    )
+    readings = F.struct(parse_coordinate(lat, "lat").alias("lat"), parse_coordinate(lon, "lon").alias("lon"),
+                        parse_coordinate(lon, "lat").alias("alt_lat"), parse_coordinate(lat, "lon").alias("alt_lon"))
+
+    def settle(r: Column) -> Column:
+        swapped = (r["lat"].isNull() & r["lon"].isNotNull() & r["alt_lat"].isNotNull() & r["alt_lon"].isNotNull())
+        return F.struct(F.when(swapped, r["alt_lat"]).otherwise(r["lat"]).alias("lat"),
+                        F.when(swapped, r["alt_lon"]).otherwise(r["lon"]).alias("lon"),
+                        swapped.alias("swapped"))
+    return let(readings, settle)
 
 
 def is_valid_point(lat: Column, lon: Column) -> Column:

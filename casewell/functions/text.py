@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
-from typing import Iterable
+from typing import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
 from casewell.lexicon import MISSING_TOKENS, PLACE_STOPWORDS, strip_marks
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    A column used several times inside one expression is repeated in the generated
+    code each time; binding it keeps long text rules small and computed once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Precomposed letters -> base letters, derived from the Unicode database.
@@ -36,14 +45,17 @@ def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 
 def strip_accents(c: Column) -> Column:
     src, dst, multi = _fold_table()
-    out = F.translate(c, src, dst)
-    pairs = [p for p in multi if ord(p[0]) >= 0xFB00 or p[0] in "ĳŉǆǉǌǳ"]
-    chars = "".join(p[0] for p in pairs)
-    replaced = out
-    for ch, base in pairs:
-        replaced = F.replace(replaced, F.lit(ch), F.lit(base))
-    out = F.when(out.rlike(f"[{chars}]"), replaced).otherwise(out)
-    return F.regexp_replace(out, r"\p{Mn}", "")
+    ligatures = [(ch, base) for ch, base in multi if ord(ch) >= 0xFB00 or ch in "ĳŉǆǉǌǳ"]
+
+    def fold(text: Column) -> Column:
+        folded = F.translate(text, src, dst)
+        spelled = folded
+        for ch, base in ligatures:
+            spelled = F.replace(spelled, F.lit(ch), F.lit(base))
+        rare = "[" + "".join(ch for ch, _ in ligatures) + "]"
+        return F.regexp_replace(F.when(folded.rlike(rare), spelled).otherwise(folded), r"\p{Mn}+", "")
+
+    return let(c, lambda text: F.when(text.rlike(r"[^\x00-\x7F]"), fold(text)).otherwise(text))
 
 
 def squeeze(c: Column) -> Column:
@@ -78,10 +90,10 @@ def is_missing(c: Column, extra: Iterable[str] = ()) -> Column:
 def place_name(c: Column) -> Column:
     """Comparable form of a place name; empty text when nothing is left."""
     words = "|".join(PLACE_STOPWORDS)
-    s = strip_accents(F.lower(F.trim(c)))
-    s = F.regexp_replace(s, rf"(?U)\b({words})\b", " ")
-    s = F.regexp_replace(s, r"(?U)[^\w\s]", " ")
-    return F.coalesce(squeeze(s), F.lit(""))
+    s = strip_accents(F.lower(c))
+    # one pass: runs of dropped words, punctuation and space become one space
+    s = F.regexp_replace(s, rf"(?U)(?:\b(?:{words})\b|[^\w])+", " ")
+    return F.coalesce(F.trim(s), F.lit(""))
 
 
 def sorted_tokens(c: Column) -> Column:

@@ -152,7 +152,7 @@ def cases_sql(spark: bool) -> str:
       select l_orderkey, cast(min(l_shipdate) as date) as fs, min(l_suppkey) as sk, min(l_partkey) as pk
       from {q.table('lineitem')} group by l_orderkey
     ), base as (
-      select o.o_orderkey as k, o.o_custkey as q, cast(o.o_orderdate as date) as d, l.sk as sk, p.p_name as p_name,
+      select {"/*+ MERGE(l) */" if spark else ""} o.o_orderkey as k, o.o_custkey as q, cast(o.o_orderdate as date) as d, l.sk as sk, p.p_name as p_name,
              case when o.o_orderkey % 3 = 0 then null when o.o_orderkey % 5 = 0 then l.fs
                   else cast(o.o_orderdate as date) + cast(o.o_orderkey % 9 as int) end as adm,
              {q.text("cast(((o.o_custkey * 37) % 1700) as double) / 10.0 - 85.0")} as lat0,
