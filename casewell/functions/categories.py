@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from casewell.functions.text import let, missing_tokens, token, word_map
+from casewell.functions.text import let, missing_tokens, one_of, token, word_map
 from casewell.lexicon import (
     BINARY_WORDS, CASE_FRAGMENTS, CASE_WORDS, OUTCOME_FRAGMENTS, OUTCOME_WORDS, SEX_WORDS,
 )
@@ -14,7 +14,7 @@ def _standardize(c: Column, words: dict, fallback) -> Column:
     """Known spelling, else missing token -> null, else the fallback rules."""
     def pick(t: Column) -> Column:
         known = F.element_at(word_map(words), t)
-        guess = F.when(t.isin(missing_tokens()), F.lit(None)).otherwise(fallback(t))
+        guess = F.when(one_of(t, missing_tokens()), F.lit(None)).otherwise(fallback(t))
         return F.when(t != "", F.coalesce(known, guess))
     return let(token(c), pick)
 

@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import Column, functions as F
 
-from casewell.functions.text import is_missing, let, strip_accents
+from casewell.functions.text import is_missing, let, strip_accents, word_map
 from casewell.lexicon import MONTH_WORDS
 
 # Spreadsheet day zero and the serial numbers taken as dates.
@@ -17,17 +17,13 @@ SERIAL_MIN, SERIAL_MAX = 25569, 60000
 DAY_MONTH_SHAPE = r"(\d{1,2})[/\-\.](\d{1,2})[/\-\.](\d{2,4})"
 
 
-def _month_map() -> Column:
-    flat = [F.lit(x) for number, words in MONTH_WORDS.items() for w in words for x in (w, number)]
-    return F.create_map(*flat)
-
-
-def _english_map() -> Column:
-    flat: list[Column] = []
+def _english_months() -> dict[str, list[str]]:
+    """English spelling -> month words: long words become the name, short ones its abbreviation."""
+    groups: dict[str, list[str]] = {}
     for words in MONTH_WORDS.values():
         for w in words:
-            flat += [F.lit(w), F.lit(words[0] if len(w) > 4 else words[0][:3])]
-    return F.create_map(*flat)
+            groups.setdefault(words[0] if len(w) > 4 else words[0][:3], []).append(w)
+    return groups
 
 
 def normalize_date_text(c: Column) -> Column:
@@ -35,7 +31,7 @@ def normalize_date_text(c: Column) -> Column:
     s = F.regexp_replace(F.trim(c), r"^['\"`.,]+|['\"`.,]+$", "")
     s = F.regexp_replace(s, r"(?i)\b(?:de|del|le)\b", " ")
     pieces = F.split(s, r"(?<=\p{L})(?=[^\p{L}])|(?<=[^\p{L}])(?=\p{L})")
-    months = _english_map()
+    months = word_map(_english_months())
     s = F.array_join(
         F.transform(pieces, lambda w: F.coalesce(F.element_at(months, strip_accents(F.lower(w))), w)), "")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
@@ -118,7 +114,7 @@ def parse_date(
 
         def numbered(w: Column) -> Column:
             word = F.regexp_extract(w, r"[a-z]{3,}", 0)
-            return F.replace(w, word, F.concat(F.lit("m"), F.element_at(_month_map(), word).cast("string")))
+            return F.replace(w, word, F.concat(F.lit("m"), F.element_at(word_map(MONTH_WORDS), word)))
         return _rewrite(let(w, numbered), _WORD_SHAPES)
 
     def year_month_day(s: Column) -> Column:

@@ -49,9 +49,9 @@ def strip_accents(c: Column) -> Column:
 
     def fold(text: Column) -> Column:
         folded = F.translate(text, src, dst)
-        spelled = folded
-        for ch, base in ligatures:
-            spelled = F.replace(spelled, F.lit(ch), F.lit(base))
+        spelled = F.aggregate(
+            F.split(F.lit("|".join(f"{ch}={base}" for ch, base in ligatures)), r"\|"), folded,
+            lambda acc, p: F.replace(acc, F.substring_index(p, "=", 1), F.substring_index(p, "=", -1)))
         rare = "[" + "".join(ch for ch, _ in ligatures) + "]"
         return F.regexp_replace(F.when(folded.rlike(rare), spelled).otherwise(folded), r"\p{Mn}+", "")
 
@@ -82,9 +82,14 @@ def missing_tokens(extra: Iterable[str] = ()) -> list[str]:
     return list(out)
 
 
+def one_of(c: Column, words: Iterable[str]) -> Column:
+    """Membership in a fixed word list, sent as one literal."""
+    return F.array_contains(F.split(F.lit("\u0001".join(words)), "\u0001"), c)
+
+
 def is_missing(c: Column, extra: Iterable[str] = ()) -> Column:
     """Null, or one of the tokens that mean "no value"."""
-    return c.isNull() | F.lower(F.trim(c.cast("string"))).isin(missing_tokens(extra))
+    return c.isNull() | one_of(F.lower(F.trim(c.cast("string"))), missing_tokens(extra))
 
 
 def place_name(c: Column) -> Column:
@@ -123,9 +128,10 @@ def percent(part: Column, whole: Column, digits: int) -> Column:
     return F.when(whole > 0, round_half_up(ratio, digits)).otherwise(F.lit(0.0))
 
 
-def word_map(groups: dict[str, Iterable[str]]) -> Column:
-    pairs: dict[str, str] = {}
+def word_map(groups: dict[object, Iterable[str]]) -> Column:
+    """Spelling -> value map from value -> spellings, sent as one literal."""
+    pairs: dict[str, object] = {}
     for value, words in groups.items():
         for word in words:
             pairs.setdefault(word, value)
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.str_to_map(F.lit("\u0002".join(f"{w}\u0001{v}" for w, v in pairs.items())), F.lit("\u0002"), F.lit("\u0001"))

@@ -28,17 +28,22 @@ CONTENT = ("case_id", "full_name", "sex", "age", "date_onset", "outcome", "case_
 SEARCHED = ("case_id", "full_name", "outcome", "admin1")
 
 
-def cleaned_cases(spark: SparkSession, d: str) -> DataFrame:
-    """The case list after all row-local cleaning."""
-    df = standardize.clean_dates(raw_cases(spark, d), DAY_FIRST)
-    df = standardize.clean_ages(df, "age", "age_unit")
+def cleaned_cases(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The case list after all row-local cleaning (or just the named columns of it)."""
+    wanted = set(columns or TAGS) | ({"age_unit"} if "age" in columns else set())
+    df = raw_cases(spark, d)
+    if columns:
+        df = df.select("row_id", *[c for c in df.columns if c in wanted])
+    df = standardize.clean_dates(df, {c: first for c, first in DAY_FIRST.items() if c in df.columns})
+    if "age" in df.columns:
+        df = standardize.clean_ages(df, "age", "age_unit")
     fixed = {
         "sex": categories.standardize_sex, "case_definition": categories.standardize_case_definition,
         "outcome": categories.standardize_outcome, "hospitalized": categories.standardize_binary,
         "pregnant": categories.standardize_binary, "phone": phones.clean_phone,
     }
     df = df.select(*[fixed[c](F.col(c)).alias(c) if c in fixed else F.col(c) for c in df.columns])
-    return standardize.clean_coordinates(df, "lat", "lon")
+    return standardize.clean_coordinates(df, "lat", "lon") if "lat" in df.columns else df
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +134,11 @@ def search_any_column(s, d):
     return standardize.search_any_column(raw_cases(s, d).select("row_id", *SEARCHED), "amina")
 
 
+CHECKED = ("case_id", "sex", "age", "pregnant", "outcome", "hospitalized", *(c for c in DATE_COLUMNS if c != "date_report"))
+
+
 def _issues(s, d, df=None):
-    return validate.find_issues(df if df is not None else cleaned_cases(s, d), TAGS, as_of=AS_OF)
+    return validate.find_issues(df if df is not None else cleaned_cases(s, d, *CHECKED), TAGS, as_of=AS_OF)
 
 
 def validation_issues(s, d):
@@ -138,7 +146,7 @@ def validation_issues(s, d):
 
 
 def issues_before_outbreak(s, d):
-    found = validate.find_issues(cleaned_cases(s, d), TAGS, as_of=None, outbreak_start="1996-01-01",
+    found = validate.find_issues(cleaned_cases(s, d, *CHECKED), TAGS, as_of=None, outbreak_start="1996-01-01",
                                  demographics=False, clinical=False)
     return found.groupBy("rule_no", "severity").agg(F.count("*").alias("cnt"))
 
@@ -239,7 +247,7 @@ def facility_harmonised(s, d):
 
 
 def quality_scores(s, d):
-    df = cleaned_cases(s, d)
+    df = cleaned_cases(s, d, *CHECKED, "case_definition")
     return quality.quality_scores(df, TAGS, _issues(s, d, df), _exact_members(s, d))
 
 
@@ -264,17 +272,17 @@ def profile_issue_counts(s, d):
 
 
 def epi_curve_wide(s, d):
-    return analytics.epi_curve_wide(cleaned_cases(s, d), "date_onset", "month", "case_definition",
+    return analytics.epi_curve_wide(cleaned_cases(s, d, "date_onset", "case_definition"), "date_onset", "month", "case_definition",
                                     ("Confirmed", "Probable", "Suspect", "Discarded", "Unknown"))
 
 
 def weekly_alerts_cases(s, d):
-    counts = surveillance.weekly_counts(standardize.add_epi_week(cleaned_cases(s, d), "date_onset"))
+    counts = surveillance.weekly_counts(standardize.add_epi_week(cleaned_cases(s, d, "date_onset"), "date_onset"))
     return surveillance.weekly_alerts(counts, multiplier=1.1)
 
 
 def weekly_alerts_regions(s, d):
-    counts = surveillance.weekly_counts(standardize.add_epi_week(cleaned_cases(s, d), "date_onset"), by=["admin1"])
+    counts = surveillance.weekly_counts(standardize.add_epi_week(cleaned_cases(s, d, "date_onset", "admin1"), "date_onset"), by=["admin1"])
     return surveillance.weekly_alerts(counts, by=["admin1"])
 
 
@@ -291,13 +299,13 @@ def incidence_trend(s, d):
 
 
 def doubling_time(s, d):
-    case_counts = surveillance.weekly_counts(standardize.add_epi_week(cleaned_cases(s, d), "date_onset"), by=["admin1"])
+    case_counts = surveillance.weekly_counts(standardize.add_epi_week(cleaned_cases(s, d, "date_onset", "admin1"), "date_onset"), by=["admin1"])
     trend = surveillance.incidence_trend(case_counts, by=["admin1"], drop_last=True)
     return trend.select("admin1", "weekly_growth_pct", "doubling_weeks")
 
 
 def filled_weeks(s, d):
-    counts = surveillance.weekly_counts(standardize.add_epi_week(cleaned_cases(s, d), "date_onset"), by=["admin1"])
+    counts = surveillance.weekly_counts(standardize.add_epi_week(cleaned_cases(s, d, "date_onset", "admin1"), "date_onset"), by=["admin1"])
     return surveillance.fill_weeks(counts, ["admin1"])
 
 
@@ -333,7 +341,8 @@ def flagship(s, d):
 
 
 _A = analytics
-_on_clean = lambda fn: (lambda s, d: fn(cleaned_cases(s, d)))
+DELAY_DATES = ("date_onset", "date_consultation", "date_admission", "date_discharge", "date_death")
+_on_clean = lambda fn, *columns: (lambda s, d: fn(cleaned_cases(s, d, *columns)))
 
 QUERIES = {
     "null_tokens": lambda s, d: standardize.missing_counts(raw_cases(s, d)),
@@ -397,18 +406,18 @@ QUERIES = {
     "sample_values": lambda s, d: quality.sample_values(raw_cases(s, d), PROFILED),
     "inspect_columns": inspect_columns,
     "profile_issue_counts": profile_issue_counts,
-    "case_indicators": _on_clean(lambda df: _A.case_indicators(df, TAGS)),
-    "age_stats": _on_clean(lambda df: _A.age_stats(df, "age")),
-    "epi_curve_day": _on_clean(lambda df: _A.epi_curve(df, "date_onset", "day")),
-    "epi_curve_week": _on_clean(lambda df: _A.epi_curve(df, "date_onset", "week")),
-    "epi_curve_month": _on_clean(lambda df: _A.epi_curve(df, "date_onset", "month")),
-    "epi_curve_stratified": _on_clean(lambda df: _A.epi_curve(df, "date_onset", "week", "outcome")),
+    "case_indicators": _on_clean(lambda df: _A.case_indicators(df, TAGS), "sex", "outcome", "case_definition", "hospitalized"),
+    "age_stats": _on_clean(lambda df: _A.age_stats(df, "age"), "age"),
+    "epi_curve_day": _on_clean(lambda df: _A.epi_curve(df, "date_onset", "day"), "date_onset"),
+    "epi_curve_week": _on_clean(lambda df: _A.epi_curve(df, "date_onset", "week"), "date_onset"),
+    "epi_curve_month": _on_clean(lambda df: _A.epi_curve(df, "date_onset", "month"), "date_onset"),
+    "epi_curve_stratified": _on_clean(lambda df: _A.epi_curve(df, "date_onset", "week", "outcome"), "date_onset", "outcome"),
     "epi_curve_wide": epi_curve_wide,
-    "delay_stats": _on_clean(lambda df: _A.delay_stats(df, TAGS)),
-    "delay_histogram": _on_clean(lambda df: _A.delay_histogram(df, TAGS)),
-    "cfr_by_sex": _on_clean(lambda df: _A.cfr_by_sex(df, TAGS)),
-    "cfr_by_age": _on_clean(lambda df: _A.cfr_by_age_group(df, TAGS)),
-    "pyramid": _on_clean(lambda df: _A.pyramid(df, TAGS)),
+    "delay_stats": _on_clean(lambda df: _A.delay_stats(df, TAGS), *DELAY_DATES),
+    "delay_histogram": _on_clean(lambda df: _A.delay_histogram(df, TAGS), *DELAY_DATES),
+    "cfr_by_sex": _on_clean(lambda df: _A.cfr_by_sex(df, TAGS), "sex", "outcome"),
+    "cfr_by_age": _on_clean(lambda df: _A.cfr_by_age_group(df, TAGS), "age", "outcome"),
+    "pyramid": _on_clean(lambda df: _A.pyramid(df, TAGS), "age", "sex"),
     "weekly_alerts_cases": weekly_alerts_cases,
     "weekly_alerts_regions": weekly_alerts_regions,
     "weekly_alerts_events": weekly_alerts_events,

@@ -80,6 +80,8 @@ def default_session(app: str = "casewell", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call-site capture doubles the time to build large column expressions
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**base, **conf}.items():
         builder = builder.config(key, value)
