@@ -107,6 +107,8 @@ def epi_curve_wide(df: DataFrame, date: str, unit: str, stratify: str, categorie
 def delays(df: DataFrame, tags: dict[str, str]) -> DataFrame:
     """``(delay, days)`` of the plausible delays (0 to 180 days) of every case."""
     usable = [(name, tags[a], tags[b]) for name, a, b in DELAYS if tags.get(a) in df.columns and tags.get(b) in df.columns]
+    if not usable:
+        return df.sparkSession.createDataFrame([], "delay string, days int")
     each = F.array(*[F.struct(F.lit(name).alias("delay"), F.datediff(_date(df, b), _date(df, a)).alias("days"))
                      for name, a, b in usable])
     return df.select(F.inline(each)).where(F.col("days").between(0, MAX_DELAY))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from casewell.settings import ensure_checkpoint_dir
 
 EdgeSearch = Callable[[DataFrame, DataFrame, bool], DataFrame]
-FIRST_PREFIX = 20_000
+FIRST_PREFIX = 4_000
 GROWTH = 4
 
 
