@@ -130,7 +130,7 @@ def test_fuzzy_duplicates(spark):
         assert got == want
 
 
-def test_reference_style_pair(spark):
+def test_lower_threshold_pair(spark):
     rows = [(1, "Johnathan Doe", "Male", 35.0, "2023-05-01"), (2, "John Doe", "Male", 35.0, "2023-05-02"),
             (3, "Sarah Connor", "Female", 28.0, "2023-06-10")]
     df = spark.createDataFrame(rows, "row_id bigint, full_name string, sex string, age double, date_onset string")
