@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casewell.llm import bpe, plane_files, token_counts
+from casewell.llm import bpe, ngram_join, plane_files, token_counts
 from casewell.llm.common import table
 from casewell.settings import ensure_checkpoint_dir
 
@@ -34,6 +34,11 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
                              with_ids=False)
 
 
+def ngram_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """op6: every document's group of 4-word shingle sets with a Jaccard index of 0.85 or more."""
+    return ngram_join.jaccard_groups(table(spark, folder, "documents"), width=4, num=85, den=100)
+
+
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
     """op7: every document's ids written as plane files and read back."""
     with open(vocabulary(BPE_JSON), encoding="utf-8") as f:
@@ -50,6 +55,7 @@ def piece_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op4_byte_bpe": byte_bpe,
+    "op6_ngram_jaccard": ngram_groups,
     "op7_token_planes": token_files,
     "op8_token_counts": piece_counts,
 }
