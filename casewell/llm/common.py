@@ -28,8 +28,7 @@ def keep(df: DataFrame) -> DataFrame:
 
 def word_list(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
-    tidy = F.trim(F.translate(text, WORD_GAPS[1:], " " * (len(WORD_GAPS) - 1)))
-    return F.when(F.coalesce(tidy, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(tidy, " +"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 _CUT = re.compile(r" (?=\S)")

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from casewell.llm.common import keep, text_batches
 from casewell.llm.components import connected_components
 
-GROUPS = 64                 # hash groups of a count vector
+GROUPS = 128                # hash groups of a count vector
 LEAF = 32                   # points in a leaf of the tree
+ONE_LEAF = 64               # members of a shingle that need no tree over them
 PAIR_STEP = 1 << 18         # pairs of points looked at in one vectorised step
 BROADCAST_ROWS = 500_000    # documents named by candidates, up to which their ids (16 bytes each) are broadcast
 BLOCK_ROWS = 4096           # members of one shingle that a task compares at a time
@@ -53,23 +54,25 @@ def _overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tree_pairs(member: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray, side: np.ndarray,
-               vectors: np.ndarray, lists: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+               vectors: np.ndarray | None, lists: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one list and of different roots that may be linked, found with a packed R-tree.
 
     Points are packed into leaves by (list, size, count vector sum).  A leaf's box is the maximum of its
     coordinates and its range of sizes; two leaves of a list are opened together only if their sizes fit
     and the summed minima of their upper corners reach the least overlap needed.  Then members are
     bounded the same way, and by their places in the common order of shingles.  ``side`` -1 compares all,
-    0 and 1 compare across only.
+    0 and 1 compare across only.  Without ``vectors`` sizes and places alone decide.
     """
     order = np.lexsort((root, size, lists))
-    lists, size, place, root, side, vectors = (x[order] for x in (lists, size, place, root, side, vectors))
+    lists, size, place, root, side = (x[order] for x in (lists, size, place, root, side))
     n = len(order)
     new = np.r_[True, lists[1:] != lists[:-1]]
     inside = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
     starts = np.flatnonzero(new | (inside % LEAF == 0))
     ends = np.r_[starts[1:], n]
-    upper = np.maximum.reduceat(vectors, starts, axis=0)
+    if vectors is not None:
+        vectors = vectors[order]
+        upper = np.maximum.reduceat(vectors, starts, axis=0)
     low, high, own = size[starts], size[ends - 1], lists[starts]
     list_end = np.searchsorted(own, own, side="right")
     found_a, found_b = [], []
@@ -80,9 +83,9 @@ def tree_pairs(member: np.ndarray, size: np.ndarray, place: np.ndarray, root: np
         i, j = lefts[first:after], rights[first:after]
         fit = low[j] * num <= high[i] * den
         i, j = i[fit], j[fit]
-        bound = _overlap_bound(upper[i], upper[j])
-        fit = bound >= needed(low[i], low[j], num, den)
-        i, j = i[fit], j[fit]
+        if vectors is not None:
+            fit = _overlap_bound(upper[i], upper[j]) >= needed(low[i], low[j], num, den)
+            i, j = i[fit], j[fit]
         if not len(i):
             continue
         wide = ends[j] - starts[j]
@@ -96,9 +99,11 @@ def tree_pairs(member: np.ndarray, size: np.ndarray, place: np.ndarray, root: np
         ok = ((np.minimum(size[a], size[b]) >= least)
               & (np.minimum(size[a] - place[a], size[b] - place[b]) >= least))
         a, b, least = a[ok], b[ok], least[ok]
-        ok = _overlap_bound(vectors[a], vectors[b]) >= least
-        found_a.append(order[a[ok]])
-        found_b.append(order[b[ok]])
+        if vectors is not None:
+            ok = _overlap_bound(vectors[a], vectors[b]) >= least
+            a, b = a[ok], b[ok]
+        found_a.append(order[a])
+        found_b.append(order[b])
     none = np.empty(0, dtype=np.int64)
     a, b = np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
     return member[a], member[b]
@@ -182,7 +187,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num
             yield pa.RecordBatch.from_arrays([keys, pa.array(codes, pa.binary())], ["node", "codes"]).filter(own)
 
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    held = keep(texts.mapInArrow(sets, "node bigint, codes binary").dropDuplicates(["node"]))
+    held = keep(texts.mapInArrow(sets, "node bigint, codes binary"))
     both = (pairs.join(held.select(F.col("node").alias("a"), F.col("codes").alias("left")), "a")
             .join(held.select(F.col("node").alias("b"), F.col("codes").alias("right")), "b").select("a", "b", "left", "right"))
 
@@ -198,6 +203,23 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num
     return both.mapInArrow(linked, "a bigint, b bigint")
 
 
+def _bounded(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose count vectors leave room for enough common shingles."""
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("vector").alias("left")), "a").join(
+        held.select(F.col("node").alias("b"), F.col("vector").alias("right")), "b").select("a", "b", "left", "right")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, GROUPS) for c in (2, 3))
+            sizes = [v.sum(axis=1, dtype=np.int64) for v in (x, y)]
+            good = _overlap_bound(x, y) >= needed(*sizes, num, den)
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    return both.mapInArrow(work, "a bigint, b bigint")
+
+
 def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """Groups of documents linked by ``den * intersection >= num * union`` of their distinct word shingles.
@@ -215,37 +237,24 @@ def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     Other columns are ignored; an empty table gives an empty result; texts of any length count whole.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = keep(_describe(docs, width, num, den, _frequent(docs, width)))
-    nodes = keep(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
-    first = rows.join(nodes, (rows.node == nodes.node) & rows.doc_id.eqNullSafe(nodes.rep)).select(
-        rows.node, "n_shingles", "head", "vector")
-    postings = first.select("node", F.col("n_shingles").alias("n"), F.posexplode("head").alias("place", "code"))
-
-    # a key with one member links nothing
-    keys = postings.groupBy("code").agg(F.count("*").alias("members"), F.min(F.struct("place", "node", "n")).alias("hub"))
-    keys = keys.where("members > 1")
-    shared = keep(postings.join(keys, "code").select("code", "members", "node", "n", "place", "hub"))
-    vectors = rows.where("n_shingles > 0").select("node", "vector")
+    described = _describe(docs, width, num, den, _frequent(docs, width))
+    rows = keep(described.select("doc_id", "n_shingles", "node"))
+    first = keep(described.where("n_shingles > 0").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "vector", "head")]))
+    nodes, held = first.select("node", "rep"), first.select("node", "vector")
+    postings = first.select("node", F.col("n_shingles").cast("int").alias("n"), F.posexplode("head").alias("place", "code"))
+
+    # a shingle with one member links nothing; its first member by place is the hub of the others
+    of_code = Window.partitionBy("code")
+    shared = keep(postings.withColumn("members", F.count("*").over(of_code)).withColumn(
+        "hub", F.first(F.struct("place", "node", "n")).over(of_code.orderBy("place", "node"))).where("members > 1"))
 
     hub, room = F.col("hub"), (lambda n, place: n - place)
     least = F.ceil((F.col("n") + hub["n"]) * num / (num + den))
     stars = shared.where(F.col("node") != hub["node"]).where(
         F.least(room(F.col("n"), F.col("place")), room(hub["n"], hub["place"])) >= least - 1).select(
         F.least("node", hub["node"]).alias("a"), F.greatest("node", hub["node"]).alias("b")).distinct()
-    held = vectors.dropDuplicates(["node"])
-    near = stars.join(held.select(F.col("node").alias("a"), F.col("vector").alias("left")), "a").join(
-        held.select(F.col("node").alias("b"), F.col("vector").alias("right")), "b").select("a", "b", "left", "right")
-
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, GROUPS) for c in (2, 3))
-            sizes = [v.astype(np.int64).sum(axis=1) for v in (x, y)]
-            good = _overlap_bound(x, y) >= needed(*sizes, num, den)
-            yield batch.select([0, 1]).filter(pa.array(good))
-
-    near = keep(near.mapInArrow(bounded, "a bigint, b bigint"))
+    near = keep(_bounded(stars, held, num, den))
     links = _verify(near, docs, nodes, width, num, den)
     roots = keep(connected_components(links, "a", "b").withColumnRenamed("root", "rest"))
 
@@ -255,11 +264,12 @@ def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    open_keys = placed.join(split.select("code"), "code").join(held, "node").select(
-        "code", "node", "n", "place", "root", "vector", own.alias("own"), other.alias("other"))
-    open_keys = open_keys.select(
-        F.xxhash64("code", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "code",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "place", "root", "vector", "own")
+    open_keys = placed.join(split.select("code"), "code").select(
+        "code", "members", "node", "n", "place", "root", own.alias("own"), other.alias("other"))
+    names = ["part", "node", "n", "place", "root", "own", "i", "j"]
+    open_keys = open_keys.withColumns({
+        "i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("part", F.xxhash64("code", "i", "j")).select(
+        "members", *[F.col(c).cast("bigint").alias(c) for c in names])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -283,15 +293,18 @@ def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     def pairs_of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         part, node, n, place, root, own, i, j = (np.concatenate([b.column(c).to_numpy() for b in batches])
                                                  for c in range(8))
-        vectors = np.frombuffer(b"".join(v for b in batches for v in b.column(8).to_pylist()), dtype="<u2").reshape(-1, GROUPS)
+        vectors = None
+        if batches[0].num_columns > 8:
+            vectors = np.frombuffer(b"".join(v for b in batches for v in b.column(8).to_pylist()), dtype="<u2").reshape(-1, GROUPS)
         side = np.where(i == j, -1, (own == j).astype(np.int64))
         a, b = tree_pairs(node, n, place, root, side, vectors, part, num, den)
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    parted = open_keys.select("part", "node", "n", "place", "root", F.col("own").cast("bigint").alias("own"),
-                              F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "vector")
-    rest = keep(parted.repartition("part").sortWithinPartitions("part").mapInArrow(search, "a bigint, b bigint").distinct())
+    few = open_keys.where(F.col("members") <= ONE_LEAF).select(names)
+    many = open_keys.where(F.col("members") > ONE_LEAF).join(held, "node").select(*names, "vector")
+    found = [part.repartition("part").sortWithinPartitions("part").mapInArrow(search, "a bigint, b bigint") for part in (few, many)]
+    rest = keep(_bounded(found[0].union(found[1]).distinct(), held, num, den))
     more = _verify(rest, docs, nodes, width, num, den)
     all_links = roots.select(F.col("node").alias("a"), F.col("rest").alias("b")).union(more)
     final = connected_components(all_links, "a", "b")

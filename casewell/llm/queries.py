@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casewell.llm import bpe, ngram_join, plane_files, token_counts
+from casewell.llm import bpe, mixing, ngram_join, plane_files, quality, token_counts
 from casewell.llm.common import table
 from casewell.settings import ensure_checkpoint_dir
 
@@ -26,6 +26,23 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """op2: every document's base counts and verdict."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    judged = quality.judge(docs, quality.references(docs))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance",
+             "word_distance"]
+    return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])
+
+
+def source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """op5: what the mix takes of every document, in the order of training."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    taken = mixing.assign(docs).select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")],
+                                       F.try_element_at("_positions", F.lit(1)).alias("position"))
+    return taken.orderBy(F.col("position").asc_nulls_last())
+
+
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """op4: every document encoded and decoded."""
     import public_tokenizers
@@ -54,10 +71,47 @@ def piece_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_divergence": quality_rules,
+    "op5_source_mix": source_mix,
     "op4_byte_bpe": byte_bpe,
     "op6_ngram_jaccard": ngram_groups,
     "op7_token_planes": token_files,
     "op8_token_counts": piece_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_source_mix": """
+with base as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as place,
+    md5(coalesce(text, '')) as tie
+  from documents),
+sources as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as k
+  from base group by source),
+weighted as (
+  select *, (case k % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end)::double as weight,
+    (case k % 3 when 0 then 1.25 when 1 then 1.0 else 0.5 end)::double as w0,
+    (case k % 3 when 0 then 0.75 when 1 then 1.0 else 1.5 end)::double as w1,
+    (3 * source_size)::double as lim from sources),
+levels as (
+  select *, lim / weight as level,
+    (sum(source_size) over () - coalesce(sum(lim) over fullest, 0)) / (sum(weight) over () - coalesce(sum(weight) over fullest, 0)) as share
+  from weighted window fullest as (order by lim / weight, k rows between unbounded preceding and 1 preceding)),
+targets as (
+  select source, source_size, w0, w1,
+    least(lim, max(share) over () * weight) as target
+  from levels),
+streams as (
+  select b.doc_id, b.size, t.source_size, t.target, w0, w1,
+    coalesce(sum(size) over (partition by b.source order by place, b.doc_id nulls first, tie
+      rows between unbounded preceding and 1 preceding), 0) + size / 2.0 as middle
+  from base b join targets t on b.source is not distinct from t.source),
+taken as (
+  select *, case when size > 0 then (middle < target)::int + (middle + source_size < target)::int + (middle + 2 * source_size < target)::int
+    else 0 end as rounds from streams)
+select doc_id, size, source_size, target, (rounds * size)::bigint as taken,
+  case when rounds > 0 then least(1.0, 2 * (middle / target * (w0 + w1) / 2)
+    / (w0 + sqrt(greatest(w0 * w0 + 2 * (w1 - w0) * (middle / target * (w0 + w1) / 2), 0)))) end as position
+from taken""",
+}

@@ -57,6 +57,7 @@ def test_groups_equal_all_pairs(spark, monkeypatch, leaf, block, first):
     monkeypatch.setattr(ngram_join, "LEAF", leaf)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
     monkeypatch.setattr(ngram_join, "PAIR_STEP", 10 * block)
+    monkeypatch.setattr(ngram_join, "ONE_LEAF", 2 * leaf)
     monkeypatch.setattr(ngram_join, "FREQUENT", first)
     rows = near_copies(5)
     docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, node int, vector string")
