@@ -313,3 +313,20 @@ def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     of_node = named.join(names, "root").select("node", "component")
     return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """The documents with one of each group left, the one with the smallest id; columns as given.
+
+    Rows with an equal id count once (the first by text).  Rows with a null id stay, as no group can be named by them.
+    Documents without words are no group and stay.
+    """
+    groups = jaccard_groups(docs, width, num, den, id_col, text_col)
+    mark = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min("component_id").alias("_component"), F.count("*").alias("_rows"))
+    marked = docs.join(mark, F.col(id_col).cast("bigint") == F.col("_id"), "left").where(
+        F.col("_id").isNull() | (F.col("_id") == F.col("_component")))
+    single = marked.where("_id is null or _rows = 1").select(*docs.columns)
+    again = marked.where("_rows > 1").withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(text_col)))
+    return single.union(again.where("_n = 1").select(*docs.columns))

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casewell.llm import bpe, mixing, ngram_join, plane_files, quality, token_counts
+from casewell.llm import (bpe, license_scan, main_text, mixing, ngram_join, plane_files, quality, token_counts, url_lists,
+                          vector_dedup)
 from casewell.llm.common import table
 from casewell.settings import ensure_checkpoint_dir
 
@@ -26,6 +27,40 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def license_notices(spark: SparkSession, folder: str) -> DataFrame:
+    """op1: license notices in every document."""
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A dated list made of the pages' own hosts: some are blocked for a while, some paths of them allowed, some parents blocked."""
+    host = url_lists.host_of(F.col("url"))
+    section = F.regexp_extract("url", "^[^:]+://[^/]+/([^/?#]+)", 1)
+    hosts = pages.select(host.alias("host"), section.alias("section")).where("host is not null").distinct()
+    hosts = hosts.withColumn("h", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int"))
+    first = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("h") % 180).cast("int"))
+
+    def rows(chosen: str, pattern, verdict: str, *days: tuple[str, int]) -> DataFrame:
+        parts = [hosts.where(chosen).select(pattern.alias("pattern"), F.lit(action).alias("action"), F.lit(verdict).alias("verdict"),
+                                            F.date_add(first, after).alias("dated")) for action, after in days]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.union(p)
+        return out
+
+    parent = F.substring_index("host", ".", -3)
+    return (rows("h % 4 = 0", F.col("host"), "block", ("add", 0), ("remove", 45), ("add", 120))
+            .union(rows("h % 8 = 0 and section <> ''", F.concat_ws("/", "host", "section"), "allow", ("add", 10), ("remove", 150)))
+            .union(rows("h % 64 = 1", parent, "block", ("add", 30))).distinct())
+
+
+def url_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """op9: every page held against the list as it stood on the day it was fetched."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(360)).cast("int"))
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_lists.judge(pages.withColumn("fetched_on", day), dated_entries(pages))
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """op2: every document's base counts and verdict."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
@@ -35,12 +70,22 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])
 
 
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """op3: every page's main text."""
+    return main_text.extract(table(spark, folder, "pages"))
+
+
+def vector_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """op10: every vector's number of links with a cosine of 0.95 or more, and its group."""
+    return vector_dedup.near_duplicates(table(spark, folder, "embeddings"), least=0.95)
+
+
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """op5: what the mix takes of every document, in the order of training."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     taken = mixing.assign(docs).select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")],
                                        F.try_element_at("_positions", F.lit(1)).alias("position"))
-    return taken.orderBy(F.col("position").asc_nulls_last())
+    return taken.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,8 +116,12 @@ def piece_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": license_notices,
+    "op9_url_lists": url_captures,
     "op2_quality_divergence": quality_rules,
+    "op3_main_text": page_texts,
     "op5_source_mix": source_mix,
+    "op10_vector_forest": vector_groups,
     "op4_byte_bpe": byte_bpe,
     "op6_ngram_jaccard": ngram_groups,
     "op7_token_planes": token_files,
@@ -80,6 +129,32 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op9_url_lists": r"""
+with p as (
+  select page_id, url, date '2024-01-01' + (page_id * 37 % 360)::int as fetched_on,
+    nullif(rtrim(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') as host,
+    regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)', 1) as path,
+    regexp_extract(url, '^[^:]+://[^/]+/([^/?#]+)', 1) as section from pages),
+h as (select distinct host, section, ('0x' || substr(md5(host), 1, 4))::int as h from p where host is not null),
+e as (
+  select host as pattern, a as action, 'block' as verdict, date '2024-01-01' + (h % 180 + d)::int as dated
+  from h, (values ('add', 0), ('remove', 45), ('add', 120)) v(a, d) where h % 4 = 0
+  union select host || '/' || section, a, 'allow', date '2024-01-01' + (h % 180 + d)::int
+  from h, (values ('add', 10), ('remove', 150)) v(a, d) where h % 8 = 0 and section <> ''
+  union select array_to_string(string_split(host, '.')[-3:], '.'), 'add', 'block', date '2024-01-01' + (h % 180 + 30)::int
+  from h where h % 64 = 1),
+i as (
+  select lower(pattern) as pattern, action, verdict, dated as valid_from, lead(dated) over (partition by lower(pattern)
+    order by dated, action = 'add', verdict) as valid_to from e),
+m as (
+  select p.page_id, p.url, i.pattern, i.verdict, row_number() over (partition by p.page_id, p.url
+    order by contains(i.pattern, '/') desc, length(i.pattern) desc, i.pattern desc, i.verdict desc) as k
+  from p join i on i.action = 'add' and i.valid_from <= p.fetched_on and (i.valid_to is null or p.fetched_on < i.valid_to)
+    and (i.pattern = p.host or ends_with(p.host, '.' || i.pattern)
+      or starts_with(p.host || '/' || array_to_string(list_filter(string_split(p.path, '/'), lambda x: x <> ''), '/') || '/', i.pattern || '/') and contains(i.pattern, '/')))
+select p.page_id, p.url, p.fetched_on, m.pattern as matched_pattern, m.verdict as matched_verdict,
+  coalesce(m.verdict = 'block', false) as blocked
+from p left join m on p.page_id = m.page_id and p.url = m.url and m.k = 1""",
     "op5_source_mix": """
 with base as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
