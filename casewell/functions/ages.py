@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from casewell.functions.text import is_missing, let, round_half_up, strip_accents
+from casewell.functions.text import is_missing, let, round_half_up, strip, strip_accents
 
 DEFAULT_BREAKS = (0, 5, 15, 30, 50, 65, 80)
 DAYS_PER_YEAR = 365.25
@@ -25,7 +25,7 @@ def _plausible(years: Column) -> Column:
 
 
 def _text(c: Column) -> Column:
-    return F.translate(strip_accents(F.lower(F.trim(c.cast("string")))), ",", ".")
+    return F.translate(strip_accents(F.lower(strip(c.cast("string")))), ",", ".")
 
 
 def _by_unit(n: Column, months: Column, days: Column, weeks: Column) -> Column:
@@ -58,7 +58,7 @@ def parse_age_with_unit(c: Column, unit: Column) -> Column:
     Weeks are tested before months so that ``semaines`` is not read as months.
     Text the unit cannot be applied to is parsed on its own.
     """
-    n = F.translate(F.trim(c.cast("string")), ",", ".").try_cast("double")
+    n = F.translate(strip(c.cast("string")), ",", ".").try_cast("double")
 
     def years(u: Column) -> Column:
         weeks = u.contains("w") | u.contains("sem")

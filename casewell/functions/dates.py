@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import Column, functions as F
 
-from casewell.functions.text import is_missing, let, strip_accents, word_map
+from casewell.functions.text import is_missing, let, strip, strip_accents, word_map
 from casewell.lexicon import MONTH_WORDS
 
 # Spreadsheet day zero and the serial numbers taken as dates.
@@ -28,7 +28,7 @@ def _english_months() -> dict[str, list[str]]:
 
 def normalize_date_text(c: Column) -> Column:
     """Trim quotes and punctuation, drop connectives, put months into English."""
-    s = F.regexp_replace(F.trim(c), r"^['\"`.,]+|['\"`.,]+$", "")
+    s = F.regexp_replace(strip(c), r"^['\"`.,]+|['\"`.,]+$", "")
     s = F.regexp_replace(s, r"(?i)\b(?:de|del|le)\b", " ")
     pieces = F.split(s, r"(?<=\p{L})(?=[^\p{L}])|(?<=[^\p{L}])(?=\p{L})")
     months = word_map(_english_months())
@@ -39,13 +39,13 @@ def normalize_date_text(c: Column) -> Column:
 
 def is_serial_date(c: Column) -> Column:
     """A spreadsheet serial number in the plausible range (about 1970 to 2064)."""
-    s = F.trim(c.cast("string"))
+    s = strip(c.cast("string"))
     number = s.try_cast("double")
     return F.coalesce(s.rlike(r"^\d{5}(\.\d+)?$") & number.between(SERIAL_MIN, SERIAL_MAX), F.lit(False))
 
 
 def serial_to_date(c: Column) -> Column:
-    days = F.floor(F.trim(c.cast("string")).try_cast("double")).cast("int")
+    days = F.floor(strip(c.cast("string")).try_cast("double")).cast("int")
     return F.date_add(F.lit(SERIAL_EPOCH).cast("date"), days)
 
 
@@ -135,7 +135,7 @@ def parse_date(
         return F.when(is_missing(raw), None).when(is_serial_date(raw), serial_to_date(raw)).otherwise(text_date)
 
     in_range = lambda d: F.when(F.year(d).between(min_year, max_year), d)
-    return let(let(F.trim(c.cast("string")), parsed), in_range)
+    return let(let(strip(c.cast("string")), parsed), in_range)
 
 
 def as_date(c: Column, dtype: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from casewell.functions.text import let
+from casewell.functions.text import let, strip
 
 # Tokens a phone field uses for "none"; national number length by
 # country code, and national numbers that are recognisable by themselves.
@@ -42,4 +42,4 @@ def clean_phone(c: Column, country_code: str = "+221") -> Column:
         good = let(built, lambda b: F.when(b.rlike(r"^\+\d{8,15}$"), b))
         return F.when(~F.lower(s).isin(*NO_PHONE), F.coalesce(good, fallback))
 
-    return let(F.trim(c.cast("string")), clean)
+    return let(strip(c.cast("string")), clean)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from casewell.functions.text import let, round_half_up
+from casewell.functions.text import let, round_half_up, strip
 
 _NUMBER = r"(\d+(?:\.\d+)?)"
 _DMS = rf"(-?)\s*{_NUMBER}(?:[^\d.]+{_NUMBER})?(?:[^\d.]+{_NUMBER})?"
@@ -24,7 +24,7 @@ def parse_coordinate(c: Column, axis: str) -> Column:
         below = (F.regexp_extract(s, _DMS, 1) == "-") | s.rlike(rf"\b{negative}\b|{negative}\s*$")
         return (number(2) + fraction) * F.when(below, -1.0).otherwise(1.0)
 
-    text = F.translate(F.upper(F.trim(c.cast("string"))), ",", ".")
+    text = F.translate(F.upper(strip(c.cast("string"))), ",", ".")
     return let(let(text, degrees), lambda v: F.when(v.between(-limit, limit), round_half_up(v, 6)))
 
 

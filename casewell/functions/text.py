@@ -58,13 +58,23 @@ def strip_accents(c: Column) -> Column:
     return let(c, lambda text: F.when(text.rlike(r"[^\x00-\x7F]"), fold(text)).otherwise(text))
 
 
+#: White space that may surround a value.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def token(c: Column) -> Column:
     """Trimmed, lower-case, accent-free text with single spaces."""
-    return squeeze(strip_accents(F.lower(F.trim(c.cast("string")))))
+    return squeeze(strip_accents(F.lower(strip(c.cast("string")))))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -72,7 +82,7 @@ def blank_to_null(c: Column) -> Column:
 
 
 def not_blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c.cast("string")) != "", F.lit(False))
+    return F.coalesce(strip(c.cast("string")) != "", F.lit(False))
 
 
 def missing_tokens(extra: Iterable[str] = ()) -> list[str]:
@@ -89,7 +99,7 @@ def one_of(c: Column, words: Iterable[str]) -> Column:
 
 def is_missing(c: Column, extra: Iterable[str] = ()) -> Column:
     """Null, or one of the tokens that mean "no value"."""
-    return c.isNull() | one_of(F.lower(F.trim(c.cast("string"))), missing_tokens(extra))
+    return c.isNull() | one_of(F.lower(strip(c.cast("string"))), missing_tokens(extra))
 
 
 def place_name(c: Column) -> Column:

@@ -102,7 +102,8 @@ def gram_frequencies(df: DataFrame, column: str) -> np.ndarray:
     return table
 
 
-def with_features(df: DataFrame, column: str, threshold: float, family: str, frequencies: np.ndarray) -> DataFrame:
+def with_features(df: DataFrame, column: str, threshold: float, family: str, frequencies: np.ndarray,
+                  shortest: int = 0) -> DataFrame:
     """Adds ``_text``, ``_len``, ``_all`` (grams), ``_rare`` (grams to look up) and ``_mask`` (letters)."""
     broken, missing, unsafe = _bounds(threshold, family)
     text = squeeze(F.col(column))
@@ -116,7 +117,7 @@ def with_features(df: DataFrame, column: str, threshold: float, family: str, fre
         "_grams", lambda g: F.struct(F.element_at(table, F.pmod(g, F.lit(_BUCKETS)) + 1).alias("n"), g.alias("g"))))
     rare = F.transform(F.slice(ranked, F.lit(1), _lookup(broken, F.col("_len")) + 1), lambda x: x["g"])
     everything, looked_up = F.col("_grams"), rare
-    if unsafe:
+    if unsafe >= max(shortest, 1):          # texts that short may share no gram with a partner
         everything = F.array_union("_grams", "_chars")
         looked_up = F.when(F.col("_len") <= unsafe, F.array_union(rare, "_chars")).otherwise(rare)
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)))

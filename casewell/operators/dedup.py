@@ -21,8 +21,8 @@ MAX_ONSET_GAP = 14
 _ONSET_LANE = MAX_ONSET_GAP + 1
 _ANY = -(2 ** 31)        # lane for "matches everything"
 _NONE = _ANY + 1         # lane for rows without the value
-# below this many possible pairs the age lanes cost more than they save
-_AGE_LANE_PAIRS = 2_000_000_000
+_EXACT_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+               "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def _content(df: DataFrame) -> list[str]:
@@ -35,8 +35,8 @@ def _filled(df: DataFrame) -> Column:
 
 
 def _fingerprint(df: DataFrame) -> Column:
-    """SHA-256 of the whole row; nulls count as equal."""
-    return F.sha2(F.to_json(F.struct(*_content(df)), {"ignoreNullFields": "false"}), 256)
+    """SHA-256 of the whole row; nulls count as equal and times differ by the microsecond."""
+    return F.sha2(F.to_json(F.struct(*_content(df)), _EXACT_JSON), 256)
 
 
 def _members(rows: DataFrame, key: str, kind: str) -> DataFrame:
@@ -118,7 +118,7 @@ def fuzzy_duplicates(
         F.min("row_id").alias("ord"), F.count("*").alias("copies"),
         *[F.first(c).alias(c) for c in ("name", "sex", "age", "onset")]).checkpoint()
     names = people.select("name").distinct()
-    nodes = with_features(people, "name", threshold, "name", gram_frequencies(names, "name"))
+    nodes = with_features(people, "name", threshold, "name", gram_frequencies(names, "name"), shortest=3)
     days = F.datediff("onset", F.lit("1970-01-01").cast("date"))
     for lane, value, width in (("onset_lane", days, _ONSET_LANE), ("age_lane", F.col("age"), MAX_AGE_GAP)):
         probe, own = _lanes(value, width)
@@ -130,12 +130,9 @@ def fuzzy_duplicates(
     alike = (near("sex", F.col("l_sex") == F.col("r_sex"))
              & near("age", F.abs(F.col("l_age") - F.col("r_age")) <= MAX_AGE_GAP)
              & near("onset", F.abs(F.datediff("l_onset", "r_onset")) <= MAX_ONSET_GAP))
-    total = people.count()
 
     def edges(left: DataFrame, right: DataFrame, within: bool) -> DataFrame:
-        lanes = {"_onset": ("onset_lane_l", "onset_lane_r")}
-        if (first_prefix if within else total) * first_prefix > _AGE_LANE_PAIRS:
-            lanes["_age"] = ("age_lane_l", "age_lane_r")
+        lanes = {"_onset": ("onset_lane_l", "onset_lane_r"), "_age": ("age_lane_l", "age_lane_r")}
         pairs = candidate_pairs(left, right, ["ord", "sex", "age", "onset"], threshold, "name", lanes=lanes,
                                 condition=alike & (F.col("l_ord") < F.col("r_ord")))
         return (pairs.withColumn("score", name_score("l_text", "r_text") / 100.0)

@@ -143,7 +143,8 @@ def issue_counts(issues: DataFrame) -> DataFrame:
     return counted.unionByName(zeros).groupBy("dimension", "value").agg(F.sum("cnt").alias("cnt"))
 
 
-def top_issues(issues: DataFrame, limit: int = 2000) -> DataFrame:
+def top_issues(issues: DataFrame, limit: int | None = None) -> DataFrame:
     """The report's issue list: errors first, then row order."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITY_ORDER]), F.col("severity"))
-    return issues.orderBy(rank, "row_id", "rule_no").limit(limit)
+    ordered = issues.orderBy(rank, "row_id", "rule_no")
+    return ordered if limit is None else ordered.limit(limit)

@@ -22,8 +22,6 @@ from casewell.plans import binding
 from casewell.settings import CleaningConfig, ensure_checkpoint_dir
 from casewell.sources import sinks
 
-REPORT_GROUPS = 500
-REPORT_ALERTS = 10
 
 
 @dataclass
@@ -175,16 +173,16 @@ def _run_log(logs: list[tuple[str, str, DataFrame]]) -> DataFrame:
 
 
 def report_tables(bundle: Bundle) -> dict[str, DataFrame]:
-    """The six tables of the audit report, capped the way the report shows them."""
+    """The six tables of the audit report, whole."""
     t = bundle.tables
     out = {"cases": bundle.cases, "issues": validate.top_issues(t["issues"]), "data_dictionary": t["column_profile"]}
     if "duplicate_groups" in t:
-        out["duplicates"] = t["duplicate_groups"].orderBy("group_id").limit(REPORT_GROUPS)
+        out["duplicates"] = t["duplicate_groups"].orderBy("group_id")
     for name in ("kpis", "gazetteer", "weekly"):
         if name in t:
             out[name] = t[name]
     if "alerts" in t:
-        out["alerts"] = t["alerts"].orderBy("week").limit(REPORT_ALERTS)
+        out["alerts"] = t["alerts"].orderBy("week")
     out["tag_legend"] = quality.tag_legend(bundle.cases.sparkSession)
     return out
 

@@ -78,6 +78,7 @@ def default_session(app: str = "casewell", master: str | None = None, **conf: st
     base = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # call-site capture doubles the time to build large column expressions

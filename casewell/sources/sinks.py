@@ -9,7 +9,6 @@ from casewell.functions.text import percent, round_half_up
 from casewell.lexicon import UNMATCHED
 
 _NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
-MAP_POINTS = 300
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -52,12 +51,13 @@ def preview(df: DataFrame, n: int = 100) -> DataFrame:
     return df.orderBy("row_id").limit(n) if "row_id" in df.columns else df.limit(n)
 
 
-def map_points(df: DataFrame, lat: str = "geo_lat", lon: str = "geo_lon", n: int = MAP_POINTS) -> DataFrame:
-    """The first points of a map: ``id, lat, lng, name, pcode, match_level, score, epi_week``."""
+def map_points(df: DataFrame, lat: str = "geo_lat", lon: str = "geo_lon", n: int | None = None) -> DataFrame:
+    """The points of a map (the first ``n`` if given): ``id, lat, lng, name, pcode, match_level, score, epi_week``."""
     pick = lambda c, alias: (F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(alias)
     who = F.coalesce(F.col("case_id") if "case_id" in df.columns else F.lit(None).cast("string"),
                      F.concat(F.lit("Case "), F.col("row_id").cast("string")))
-    return (df.where(is_valid_point(F.col(lat), F.col(lon))).orderBy("row_id").limit(n)
+    points = df.where(is_valid_point(F.col(lat), F.col(lon))).orderBy("row_id")
+    return ((points if n is None else points.limit(n))
             .select(who.alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lng"), pick("matched_name", "name"),
                     pick("pcode_assigned", "pcode"), pick("match_level", "match_level"),
                     (F.col("match_score") if "match_score" in df.columns else F.lit(100.0)).alias("score"),
