@@ -55,10 +55,10 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col
     """
     seen = captures.select(F.col(url_col).cast("string").alias("_url"), F.col(day_col).cast("date").alias("_day")).where(
         "_url is not null and _day is not null").distinct()
-    last = seen.agg(F.max("_day").alias("_last"))                                                         # one row
-    spans = validity(entries).join(F.broadcast(last), how="cross").where(F.col("valid_from") <= F.col("_last"))
-    ends = F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("_last")), F.col("_last"))
-    spans = spans.withColumn("_month", F.explode(F.sequence(_month(F.col("valid_from")), _month(ends)))).drop("_last")
+    last = F.lit(seen.agg(F.max("_day")).first()[0]).cast("date")           # one day; no interval need reach further
+    ends = F.least(F.coalesce(F.date_sub("valid_to", 1), last), last)
+    spans = validity(entries).where(F.col("valid_from") <= last).withColumn(
+        "_month", F.explode(F.sequence(_month(F.col("valid_from")), _month(ends))))
     if spans.count() <= BROADCAST_SPANS:            # else Spark joins by shuffle
         spans = F.broadcast(spans)
     asked = seen.select("_url", "_day", _month(F.col("_day")).alias("_month"), F.explode(keys_of(F.col("_url"))).alias("pattern"))
