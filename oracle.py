@@ -450,7 +450,7 @@ def build() -> dict[str, str]:
     q["issues_by_severity_type"] = (f"{ISSUES}, n as (select 'severity' as dimension, severity as value from iss union all select 'issue_type', issue_type from iss), "
                                     "z as (select dimension, value, 1 as one from n union all select 'severity', unnest(['ERROR', 'WARNING', 'INFO']), 0) "
                                     "select dimension, value, cast(sum(one) as bigint) as cnt from z group by all")
-    q["issues_top"] = f"{ISSUES} select row_id, rule_no, severity, column_name from iss order by case severity when 'ERROR' then 1 when 'WARNING' then 2 else 3 end, row_id, rule_no limit 2000"
+    q["issues_top"] = f"{ISSUES} select row_id, rule_no, severity, column_name from iss order by case severity when 'ERROR' then 1 when 'WARNING' then 2 else 3 end, row_id, rule_no"
     q["gazetteer_index"] = f"with {INDEX} select level, norm, pcode, name, lat, lon, cand_order from idx"
     out = "row_id, pcode_assigned, match_level, match_score, matched_name, geo_lat, geo_lon"
     q["geocode_exact"] = f"{EXACT} select {out} from coded"
@@ -520,5 +520,5 @@ def build() -> dict[str, str]:
                          f"select s.admin1, {_week('s.monday')} as week, coalesce(m.cases, 0) as cases from s left join m on m.admin1 = s.admin1 and m.monday = s.monday")
     mp = EXACT.replace(CASES, CLEAN).replace("from c x", "from k x")
     q["map_points"] = (f"{mp} select coalesce(case_id, 'Case ' || row_id) as id, geo_lat as lat, geo_lon as lng, matched_name as name, pcode_assigned as pcode, match_level, match_score as score, "
-                       f"{_week('date_onset')} as epi_week from coded where geo_lat between -90 and 90 and geo_lon between -180 and 180 order by row_id limit 300")
+                       f"{_week('date_onset')} as epi_week from coded where geo_lat between -90 and 90 and geo_lon between -180 and 180 order by row_id")
     return q
