@@ -178,4 +178,5 @@ def judge(docs: DataFrame, found: list[dict], limits: Limits = Limits(), lang_co
 def keep_good(docs: DataFrame, limits: Limits = Limits(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The documents that pass, judged by references of the same table; columns as given."""
     judged = judge(docs, references(docs, lang_col, text_col), limits, lang_col, text_col)
-    return judged.where("_kept").select(*docs.columns)
+    # a filter is not pushed through a row number; pushed down, it would repeat the whole rule at every step
+    return judged.withColumn("_row", F.monotonically_increasing_id()).where("_kept and _row >= 0").select(*docs.columns)
