@@ -4,27 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-ROWS_PER_RANGE = 500_000
-MAX_RANGES = 2_000
+from casewell.settings import ensure_checkpoint_dir
+
+_TASK_ROWS = (1 << 33) - 1      # the bits of a monotonic id that count rows inside a task
 
 
 def dense_number(df: DataFrame, order: str, name: str = "number") -> DataFrame:
-    """Adds 1, 2, 3 ... along the unique numeric column ``order``.
+    """Adds 1, 2, 3 ... along the unique column ``order``.
 
-    The order's range is cut at approximate quantiles; rows are numbered inside
-    each range and shifted by the ranges before it.  Cuts only balance the work.
+    Rows are dealt to ranges of the order and sorted inside them; a row's number is its place in the range plus the
+    rows of the ranges before.  The ranges are kept in the checkpoint folder, as dealing again may cut elsewhere.
     """
-    count = df.count()
-    ranges = max(1, min(MAX_RANGES, count // ROWS_PER_RANGE + 1))
-    if ranges == 1:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(order)).cast("bigint"))
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(df.agg(F.percentile_approx(order, shares, 10_000)).first()[0]))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut < F.col(order)))
-    placed = df.withColumn("_range", place)
-    sizes = placed.groupBy("_range").count()
-    before = F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_shift"))   # at most MAX_RANGES rows
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return (placed.withColumn("_inside", inside).join(F.broadcast(shifts), "_range")
-            .withColumn(name, F.col("_inside") + F.col("_shift")).drop("_range", "_inside", "_shift"))
+    ensure_checkpoint_dir(df.sparkSession)
+    mark = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_mark", mark).checkpoint()
+    placed = placed.withColumns({"_range": F.call_function("shiftright", F.col("_mark"), F.lit(33)),
+                                 "_inside": F.col("_mark").bitwiseAND(F.lit(_TASK_ROWS))})
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = placed.groupBy("_range").count().select(                       # a row per shuffle partition
+        "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
+    return (placed.join(F.broadcast(shifts), "_range").withColumn(name, F.col("_inside") + F.col("_shift") + 1)
+            .drop("_mark", "_range", "_inside", "_shift"))

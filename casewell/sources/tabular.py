@@ -9,27 +9,66 @@ from __future__ import annotations
 import csv
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from casewell.settings import ensure_checkpoint_dir
 
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_LINES = 10
-_HEAD_BYTES = 64 * 1024
+BROADCAST_SPLITS = 50_000       # file splits up to which their table is broadcast
+_TASK_ROWS = (1 << 33) - 1      # the bits of a monotonic id that count rows inside a task
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """The rows of files with ``_file``, ``_block`` (where their split begins) and ``_row`` (their place in the reading task)."""
+    return df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
+                           "_row": F.monotonically_increasing_id().bitwiseAND(F.lit(_TASK_ROWS))})
+
+
+def _splits(placed: DataFrame, valid: Column | None = None) -> DataFrame:
+    """One row per split of a file: its rows, its first place in the reading task and whether all its rows are valid."""
+    ensure_checkpoint_dir(placed.sparkSession)
+    return placed.groupBy("_file", "_block").agg(
+        F.count("*").alias("_rows"), F.min("_row").alias("_first"),
+        F.bool_and(F.lit(True) if valid is None else valid).alias("_valid")).checkpoint()
 
-# row_id = file number | split number | row within the reading task
-_ROW_BITS, _SPLIT_BITS = 24, 21
-_SPLIT_UNIT = 4 * 1024 * 1024
 
+def _numbered(placed: DataFrame, splits: DataFrame, titles: int = 0) -> DataFrame:
+    """Rows but for the first ``titles`` of every file, with ``row_id`` 1, 2, 3 ... by file, split and row, ``_inside`` and ``_utf8``.
 
-def _head(spark: SparkSession, path: str, n: int = HEAD_LINES) -> tuple[list[str], str]:
-    """The first lines of a file and its character set (UTF-8 unless it does not decode)."""
-    blob = spark.read.format("binaryFile").load(path).orderBy("path").limit(1)
-    data = bytes(blob.select(F.substring("content", 1, _HEAD_BYTES)).first()[0])
-    cut = data.rfind(b"\n") + 1 if len(data) == _HEAD_BYTES else len(data)
+    Only the small table of splits is put in order in one task; title lines lie in the split a file begins with.
+    """
+    top = F.when(F.col("_block") == 0, F.lit(titles)).otherwise(0)
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("_top", top).select(
+        "_file", "_block", "_first", "_top", F.min("_valid").over(Window.partitionBy("_file")).alias("_utf8"),
+        F.coalesce(F.sum(F.greatest(F.col("_rows") - F.col("_top"), F.lit(0))).over(before), F.lit(0)).alias("_start"))
+    if splits.count() <= BROADCAST_SPLITS:          # else Spark chooses
+        starts = F.broadcast(starts)
+    inside = F.col("_row") - F.col("_first") - F.col("_top")
+    joined = placed.join(starts, ["_file", "_block"]).withColumn("_inside", inside).where("_inside >= 0")
+    return (joined.withColumn("row_id", F.col("_start") + F.col("_inside") + 1)
+            .drop("_file", "_block", "_row", "_first", "_top", "_start"))
+
+
+def _head(spark: SparkSession, path: str, splits: DataFrame, charset: str | None, n: int) -> list[str]:
+    """The first ``n`` lines of the first file by name."""
+    first = splits.agg(F.min("_file").alias("file")).first()
+    if first["file"] is None:
+        return []
+    lines = _text(spark, path, charset).where((F.col("_metadata.file_path") == first["file"])
+                                              & (F.col("_metadata.file_block_start") == 0)).limit(n)
+    data = [bytes(r[0]) for r in lines.select(F.col("value").cast("binary")).collect()]
     try:
-        text, charset = data[:cut].decode("utf-8-sig"), "UTF-8"
+        return [line.decode("utf-8-sig") for line in data]
     except UnicodeDecodeError:
-        text, charset = data[:cut].decode("latin-1"), "ISO-8859-1"
-    return text.splitlines()[:n], charset
+        return [line.decode("latin-1") for line in data]
+
+
+def _text(spark: SparkSession, path: str, charset: str | None) -> DataFrame:
+    """Lines; without a character set their bytes stay as they are in the files."""
+    reader = spark.read.option("encoding", charset) if charset else spark.read
+    return reader.text(path)
 
 
 def guess_delimiter(lines: Sequence[str]) -> str:
@@ -68,41 +107,15 @@ def _unique(names: Sequence[str]) -> list[str]:
 def with_row_id(df: DataFrame, path: str | None = None, order: str | None = None) -> DataFrame:
     """Adds ``row_id``.
 
-    ``order`` names a unique numeric column to use.  For files, the number follows
-    file name, position of the split and row, so it does not depend on scheduling.
+    ``order`` names a unique numeric column to use.  For files, rows are numbered 1, 2, 3 ... by
+    file name, position of the split and row, so the number does not depend on scheduling.
     """
     if order:
         return df.withColumn("row_id", F.col(order).cast("bigint"))
     if path is None:
         raise ValueError("name a unique ordering column for a list that is not read from files")
-    files = sorted(df.inputFiles())
-    numbers = df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _no bigint")
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = (df.withColumn("_row", row).withColumn("_split", F.floor(F.col("_metadata.file_block_start") / _SPLIT_UNIT))
-              .withColumn("_file", F.col("_metadata.file_path")))
-    if len(files) > 1:
-        placed = placed.join(numbers, "_file", "left")
-    else:
-        placed = placed.withColumn("_no", F.lit(0).cast("bigint"))
-    fits = (F.col("_row") < (1 << _ROW_BITS)) & (F.col("_split") < (1 << _SPLIT_BITS)) & F.col("_no").isNotNull()
-    shifted = (F.call_function("shiftleft", F.col("_no"), F.lit(_ROW_BITS + _SPLIT_BITS))
-               + F.call_function("shiftleft", F.col("_split"), F.lit(_ROW_BITS)) + F.col("_row") + 1)
-    checked = F.when(fits, shifted).otherwise(F.raise_error(F.lit("row position does not fit a row_id")).cast("bigint"))
-    return placed.withColumn("row_id", checked).drop("_row", "_split", "_file", "_no")
-
-
-def read_lines(spark: SparkSession, path: str, skip: int, charset: str = "UTF-8") -> DataFrame:
-    """``(value, row_id)`` of text lines after the first ``skip`` lines of every file.
-
-    Lines of a split have consecutive ids, so the title lines are those within
-    ``skip`` of the first id of the split a file begins with.
-    """
-    lines = with_row_id(spark.read.option("encoding", charset).text(path), path).select(
-        "value", "row_id", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
-    starts = lines.where("block = 0").groupBy("path").agg(F.min("row_id").alias("first_id"))
-    kept = lines.join(starts, "path", "left").where(
-        (F.col("block") > 0) | (F.col("row_id") >= F.col("first_id") + skip))
-    return kept.select("value", "row_id")
+    placed = _placed(df)
+    return _numbered(placed, _splits(placed)).drop("_utf8", "_inside")
 
 
 def read_delimited(
@@ -116,28 +129,40 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header; delimiter, character set and header row are found when not given.
 
-    ``skip`` drops title lines at the top of every file.  If more than half of the
-    header is blank, the header is looked for among the first lines.  ``multiline``
-    allows line breaks inside quotes (files are then not split).
+    Every file is UTF-8 unless one of its lines is not; then it is Latin-1.  ``skip`` drops title lines at the
+    top of every file.  If more than half of the header is blank, the header is looked for among the first lines.
+    ``multiline`` allows line breaks inside quotes (files are then not split); title lines are refused there,
+    and so are files of different character sets.
     """
-    head, seen_charset = _head(spark, path)
-    charset = charset or seen_charset
+    lines = _placed(_text(spark, path, charset))
+    splits = _splits(lines, None if charset else F.is_valid_utf8("value"))
+    head = _head(spark, path, splits, charset, skip + HEAD_LINES)
     delimiter = delimiter or ("\t" if path.endswith(".tsv") else guess_delimiter(head[skip:]))
     rows = list(csv.reader(head, delimiter=delimiter))
     if skip == 0 and find_header and len(rows) > 1 and _looks_untitled(rows[0]):
-        skip = guess_header_row(rows)
-    if len(rows) <= skip:
-        head, _ = _head(spark, path, skip + HEAD_LINES)
-        rows = list(csv.reader(head, delimiter=delimiter))
+        skip = guess_header_row(rows[:HEAD_LINES])
+    while skip < len(rows) and not "".join(rows[skip]).strip():       # blank lines above the header
+        skip += 1
     names = _unique(rows[skip] if len(rows) > skip else [])
+    if not names:
+        raise ValueError(f"no header in {path}")
     schema = ", ".join(f"`{n.replace('`', '')}` string" for n in names)
     options = {"sep": delimiter, "mode": "PERMISSIVE", "escape": '"'}
-    if skip == 0:
-        df = spark.read.options(**options, header=True, encoding=charset, multiLine=multiline,
-                                enforceSchema=True).schema(schema).csv(path)
-        return with_row_id(df, path).select("row_id", *[F.col(f"`{n}`") for n in names])
-    lines = read_lines(spark, path, skip + 1, charset)
-    parsed = lines.where(F.trim("value") != "").select("row_id", F.from_csv("value", F.lit(schema), options).alias("r"))
+    if multiline:
+        if skip:
+            raise ValueError("multiline files cannot have title lines; remove them or set multiline=False")
+        kinds = {r[0] for r in splits.groupBy("_file").agg(F.min("_valid").alias("v")).select("v").distinct().collect()}
+        if len(kinds) > 1:
+            raise ValueError("multiline files of different character sets; read them one by one or name the set")
+        df = spark.read.options(**options, header=True, encoding=charset or ("UTF-8" if True in kinds else "ISO-8859-1"),
+                                multiLine=True, enforceSchema=True).schema(schema).csv(path)
+        return with_row_id(df, path).select("row_id", *[F.col(f"`{n.replace('`', '')}`") for n in names])
+    text = F.col("value")
+    if not charset:
+        text = F.when(F.col("_utf8"), text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1"))
+    # Spark may test a caller's condition before title lines are gone, so it must find nothing in them
+    kept = _numbered(lines, splits, skip + 1).select("row_id", F.when(F.col("_inside") >= 0, text).alias("value"))
+    parsed = kept.where(F.trim("value") != "").select("row_id", F.from_csv("value", F.lit(schema), options).alias("r"))
     return parsed.select("row_id", "r.*")
 
 

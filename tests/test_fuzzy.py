@@ -167,8 +167,7 @@ def test_cascade(spark):
     assert summary == {"Locality": 2, "Admin3_Ward": 1, "Admin2_LGA": 1, "Admin1_State": 1, "Unmatched": 1}
 
 
-def test_dense_number_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr("casewell.operators.numbering.ROWS_PER_RANGE", 10)
+def test_dense_number_over_ranges(spark):
     df = spark.range(0, 400, 7).withColumn("k", F.col("id") * 3).repartition(6)
     rows = dense_number(df, "k").orderBy("k").collect()
     assert [r.number for r in rows] == list(range(1, len(rows) + 1))

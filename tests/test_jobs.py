@@ -141,6 +141,44 @@ def test_sources(spark, tmp_path):
         tabular.load_gazetteer(spark, raw.limit(0))
 
 
+def test_row_ids_of_small_splits(spark, tmp_path):
+    lines = [f"{i},name {i % 100}" for i in range(120_000)]
+    for part in range(2):
+        (tmp_path / f"{part}.csv").write_text("title,\nid,name\n" + "\n".join(lines[part * 60_000:(part + 1) * 60_000]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        df = tabular.load_cases(spark, str(tmp_path), skip=1)
+        got = df.agg(F.count("*"), F.countDistinct("row_id"), F.min("row_id"), F.max("row_id"),
+                     F.sum((F.col("row_id") != F.col("id").cast("bigint") + 1).cast("int"))).first()
+        assert tuple(got) == (120_000, 120_000, 1, 120_000, 0)
+        df.write.parquet(str(tmp_path / "p.parquet"))
+        kept = tabular.load_cases(spark, spark.read.parquet(str(tmp_path / "p.parquet")).drop("row_id"), order="id")
+        assert kept.agg(F.max("row_id")).first()[0] == 119_999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_charset_of_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"id,name\n" + b"1,plain\n" * 20_000 + "2,B\u00e9a\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("id,name\n3,Zo\u00e9\n".encode("utf-8"))
+    df = tabular.load_cases(spark, str(tmp_path))
+    assert {r.id: r.name for r in df.where("id > 1").collect()} == {"2": "B\u00e9a", "3": "Zo\u00e9"}
+    assert df.count() == 20_002
+    with pytest.raises(ValueError):
+        tabular.load_cases(spark, str(tmp_path), multiline=True)
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('id,note\n1,"a\nb"\n2,c\n')
+    df = tabular.load_cases(spark, str(tmp_path / "m.csv"), multiline=True)
+    assert [tuple(r) for r in df.orderBy("row_id").collect()] == [(1, "1", "a\nb"), (2, "2", "c")]
+    with pytest.raises(ValueError):
+        tabular.load_cases(spark, str(tmp_path / "m.csv"), skip=1, multiline=True)
+    (tmp_path / "blank.csv").write_text("\n\nid,note\n1,x\n")
+    assert tabular.load_cases(spark, str(tmp_path / "blank.csv")).first()["note"] == "x"
+
+
 def test_missing_tokens(spark):
     df = frame(spark, [(1, "NA", "x"), (2, " -99 ", "?"), (3, "ok", "unknown"), (4, None, "n/a")], "row_id bigint, a string, b string")
     assert {r.column_name: (r.token_cells, r.null_cells) for r in standardize.missing_counts(df).collect()} == {"a": (2, 1), "b": (2, 0)}
