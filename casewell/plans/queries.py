@@ -12,7 +12,7 @@ from casewell.functions.text import round_half_up
 from casewell.operators import (
     analytics, dedup, facility, geocode, privacy, quality, standardize, surveillance, validate,
 )
-from casewell.plans.casebook import AS_OF, gazetteer, raw_cases
+from casewell.plans.casebook import AS_OF, CASE_COLUMNS, gazetteer, raw_cases
 from casewell.sources import sinks
 
 DATE_COLUMNS = ("date_birth", "date_onset", "date_report", "date_consultation", "date_admission", "date_discharge",
@@ -24,8 +24,7 @@ TAGS = {t: t for t in (
     "date_admission", "date_discharge", "date_sample_collected", "date_lab_result", "date_death", "outcome",
     "case_definition", "hospitalized", "pregnant", "phone", "health_facility", "admin1", "admin2", "admin3")}
 SALT = "field-office"
-CONTENT = ("case_id", "full_name", "sex", "age", "date_onset", "outcome", "case_definition", "health_facility")
-SEARCHED = ("case_id", "full_name", "outcome", "admin1")
+CONTENT = CASE_COLUMNS[1:]
 
 
 def cleaned_cases(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -99,13 +98,12 @@ def valid_points(s, d):
 
 
 def pseudonymise(s, d):
-    df = raw_cases(s, d).select("row_id", "full_name")
-    return privacy.anonymize(df, TAGS, "pseudonymize", ("full_name",))
+    df = raw_cases(s, d).select("row_id", "full_name", "phone")
+    return privacy.anonymize(df, TAGS)
 
 
 def drop_pii(s, d):
-    df = raw_cases(s, d).select("row_id", "case_id", "full_name", "phone", "sex", "admin1")
-    return privacy.anonymize(df, TAGS, "drop")
+    return privacy.anonymize(raw_cases(s, d), TAGS, "drop")
 
 
 def strip_accents_documents(s, d):
@@ -131,7 +129,7 @@ def facility_titles(s, d):
 
 
 def search_any_column(s, d):
-    return standardize.search_any_column(raw_cases(s, d).select("row_id", *SEARCHED), "amina")
+    return standardize.search_any_column(raw_cases(s, d), "amina")
 
 
 CHECKED = ("case_id", "sex", "age", "pregnant", "outcome", "hospitalized", *(c for c in DATE_COLUMNS if c != "date_report"))
@@ -194,20 +192,16 @@ def level_filter(s, d):
     return standardize.level_filter(exact, "Admin2_LGA").select("row_id", "pcode_assigned", "match_level")
 
 
-def _dedup_rows(s, d):
-    return raw_cases(s, d).select("row_id", *CONTENT)
-
-
 def _exact_members(s, d):
-    return dedup.find_duplicates(_dedup_rows(s, d), TAGS, "exact")
+    return dedup.find_duplicates(raw_cases(s, d), TAGS, "exact")
 
 
 def exact_duplicates(s, d):
-    return dedup.exact_duplicates(_dedup_rows(s, d)).select("row_id", "group_id")
+    return dedup.exact_duplicates(raw_cases(s, d)).select("row_id", "group_id")
 
 
 def duplicate_ids(s, d):
-    rows = _dedup_rows(s, d)
+    rows = raw_cases(s, d)
     return dedup.duplicate_ids(rows, dedup.exact_duplicates(rows)).select("row_id", "group_id", "case_id")
 
 
@@ -217,11 +211,11 @@ def duplicate_groups(s, d):
 
 
 def _resolved(action):
-    return lambda s, d: dedup.resolve_duplicates(_dedup_rows(s, d), _exact_members(s, d), action)
+    return lambda s, d: dedup.resolve_duplicates(raw_cases(s, d), _exact_members(s, d), action)
 
 
 def dedup_flag(s, d):
-    flagged = dedup.resolve_duplicates(_dedup_rows(s, d), _exact_members(s, d), "flag")
+    flagged = dedup.resolve_duplicates(raw_cases(s, d), _exact_members(s, d), "flag")
     return flagged.select("row_id", F.col("is_duplicate").cast("int").alias("is_duplicate"), "duplicate_group_id")
 
 
@@ -251,11 +245,8 @@ def quality_scores(s, d):
     return quality.quality_scores(df, TAGS, _issues(s, d, df), _exact_members(s, d))
 
 
-PROFILED = ("case_id", "sex", "outcome", "case_definition", "health_facility", "admin1", "admin2", "age_unit")
-
-
 def column_profile(s, d):
-    return quality.column_summary(raw_cases(s, d), TAGS, PROFILED).drop("position")
+    return quality.column_summary(raw_cases(s, d), TAGS, CONTENT).drop("position")
 
 
 def column_profile_full(s, d):
@@ -264,7 +255,7 @@ def column_profile_full(s, d):
 
 
 def inspect_columns(s, d):
-    return quality.inspect_columns(raw_cases(s, d), TAGS, PROFILED)
+    return quality.inspect_columns(raw_cases(s, d), TAGS, CONTENT)
 
 
 def profile_issue_counts(s, d):
@@ -350,7 +341,7 @@ QUERIES = {
     "excel_serial_dates": excel_serial_dates,
     "parse_mixed_dates": _column(dates.parse_date, "date_onset", "onset"),
     "normalise_date_text": _column(dates.normalize_date_text, "date_onset", "onset_text"),
-    "day_first_vote": lambda s, d: standardize.day_first_votes(raw_cases(s, d), ["date_onset", "date_report", "date_birth"]),
+    "day_first_vote": lambda s, d: standardize.day_first_votes(raw_cases(s, d), list(DATE_COLUMNS)),
     "date_column_stats": lambda s, d: standardize.date_stats(raw_cases(s, d), DAY_FIRST),
     "epi_week_columns": epi_week_columns,
     "weekly_counts_share": weekly_counts_share,
@@ -402,8 +393,8 @@ QUERIES = {
     "quality_scores": quality_scores,
     "column_profile": column_profile,
     "column_profile_full": column_profile_full,
-    "top_values": lambda s, d: quality.top_values(raw_cases(s, d), PROFILED),
-    "sample_values": lambda s, d: quality.sample_values(raw_cases(s, d), PROFILED),
+    "top_values": lambda s, d: quality.top_values(raw_cases(s, d), CONTENT),
+    "sample_values": lambda s, d: quality.sample_values(raw_cases(s, d), CONTENT),
     "inspect_columns": inspect_columns,
     "profile_issue_counts": profile_issue_counts,
     "case_indicators": _on_clean(lambda df: _A.case_indicators(df, TAGS), "sex", "outcome", "case_definition", "hospitalized"),

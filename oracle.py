@@ -268,7 +268,7 @@ FUZZY = f"""{CASES}, {INDEX},
  coded as ({_attach('c', 'hit')})"""
 
 # --- duplicates ------------------------------------------------------------
-CONTENT = ("case_id", "full_name", "sex", "age", "date_onset", "outcome", "case_definition", "health_facility")
+CONTENT = CASE_COLUMNS[1:]
 _FILLED = " + ".join(f"(case when {c} is not null then 1 else 0 end)" for c in CONTENT)
 DEDUP = f"""{CASES}, r as materialized (select row_id, {', '.join(CONTENT)}, {_FILLED} as filled from c),
  ex as materialized (select * from (select row_id, case_id, filled, count(*) over w as n, min(row_id) over w as group_id
@@ -371,11 +371,19 @@ def _quality() -> str:
    {_round('completeness', 1)} as completeness, {_round('chronology', 1)} as chronology, {_round('validity', 1)} as validity, {_round('uniqueness', 1)} as uniqueness from o)"""
 
 
-PROFILED = (("case_id", "string", "identifier"), ("sex", "categorical", "demographic"), ("outcome", "categorical", "clinical"),
-            ("case_definition", "categorical", "clinical"), ("health_facility", "string", "geographic"),
-            ("admin1", "string", "geographic"), ("admin2", "string", "geographic"), ("age_unit", "categorical", "demographic"))
+# A column's kind and category; columns without a tag are unclassified text.
+PROFILED = (
+    ("case_id", "string", "identifier"), ("full_name", "string", "demographic_pii"), ("sex", "categorical", "demographic"),
+    ("age", "numeric", "demographic"), ("age_unit", "categorical", "demographic"), ("date_birth", "date", "demographic"),
+    ("date_onset", "date", "timeline"), ("date_report", "string", "unclassified"), ("date_consultation", "date", "timeline"),
+    ("date_admission", "date", "timeline"), ("date_discharge", "date", "timeline"), ("date_sample_collected", "date", "laboratory"),
+    ("date_lab_result", "date", "laboratory"), ("outcome", "categorical", "clinical"), ("date_death", "date", "timeline"),
+    ("case_definition", "categorical", "clinical"), ("hospitalized", "binary", "clinical"), ("pregnant", "binary", "clinical"),
+    ("phone", "string", "demographic_pii"), ("lat", "string", "unclassified"), ("lon", "string", "unclassified"),
+    ("health_facility", "string", "geographic"), ("admin1", "string", "geographic"), ("admin2", "string", "geographic"),
+    ("admin3", "string", "geographic"), ("locality", "string", "unclassified"))
 VALUES = f"{CASES}, v as materialized (" + _union(
-    f"select '{c}' as column_name, {c} as value, row_id from c where trim({c}) <> ''" for c, _, _ in PROFILED) + "), " \
+    f"select '{c}' as column_name, {c} as value, row_id from c where trim({c}) <> ''" for c in CONTENT) + "), " \
     "vc as materialized (select column_name, value, count(*) as cnt from v group by all)"
 
 
@@ -401,7 +409,7 @@ def build() -> dict[str, str]:
         return f"count(*) filter (where {x} > 12 and {y} <= 12)"
     q["day_first_vote"] = f"{CASES} " + _union(
         f"select *, mdy_votes <= dmy_votes as day_first from (select '{c}' as column_name, {vote(c, True)} as dmy_votes, {vote(c, False)} as mdy_votes from c) x"
-        for c in ("date_onset", "date_report", "date_birth"))
+        for c in CASE_COLUMNS if c.startswith("date_"))
     def stat(c):
         d = _report(c) if c == "date_report" else _date(c)
         return (f"select '{c}' as column_name, count(*) as total_rows, count({c}) as raw_non_null, count({d}) as parsed, "
@@ -431,14 +439,16 @@ def build() -> dict[str, str]:
     mask = "case when length(w) <= 1 then w when length(w) = 2 then substr(w, 1, 1) || '*' else substr(w, 1, 1) || repeat('*', length(w) - 2) || right(w, 1) end"
     q["mask_names"] = f"{CASES} select row_id, list_aggregate(list_transform(string_split(trim(full_name), ' '), lambda w: {mask}), 'string_agg', ' ') as masked from c"
     q["hash_names"] = f"{CASES} select row_id, 'HASH_' || upper(substr(sha256('field-office:' || lower(trim(full_name))), 1, 10)) as hashed from c"
-    q["pseudonymise"] = (f"{CASES}, f as (select full_name, row_number() over (order by min(row_id)) as n from c group by 1) select c.row_id, "
-                         "'PATIENT_' || case when n < 1000 then lpad(n::varchar, 4, '0') else n::varchar end as full_name from c join f using (full_name)")
-    q["drop_pii"] = f"{CASES} select row_id, case_id, sex, admin1 from c"
+    number = lambda t: f"'PATIENT_' || case when {t}.n < 1000 then lpad({t}.n::varchar, 4, '0') else {t}.n::varchar end"
+    first = lambda c: f"(select {c}, row_number() over (order by min(row_id)) as n from c where {c} is not null group by 1)"
+    q["pseudonymise"] = (f"{CASES} select c.row_id, {number('f')} as full_name, {number('p')} as phone from c "
+                         f"left join {first('full_name')} f on c.full_name = f.full_name left join {first('phone')} p on c.phone = p.phone")
+    q["drop_pii"] = f"{CASES} select * exclude (full_name, phone) from c"
     q["normalise_places"] = f"{CASES} select row_id, " + ", ".join(f"{_place(c)} as {c}_norm" for c in ("admin2", "admin3", "locality")) + " from c"
     q["strip_accents_documents"] = "select doc_id, md5(strip_accents(lower(text))) as plain_md5, length(strip_accents(lower(text))) as plain_chars from documents"
     q["facility_titles"] = f"{CASES} select {_TITLE} as facility, count(*) as cases from c where trim(health_facility) <> '' group by 1"
     q["valid_points"] = f"{CASES}, o as (select row_id, {LAT} as lat, {LON} as lon from c) select * from o where lat between -90 and 90 and lon between -180 and 180"
-    cols = ("case_id", "full_name", "outcome", "admin1")
+    cols = CASE_COLUMNS[1:]
     q["search_any_column"] = f"{CASES} select row_id, {', '.join(cols)} from c where contains(row_id::varchar, 'amina') or " + " or ".join(f"coalesce(contains(lower({x}), 'amina'), false)" for x in cols)
     q["level_filter"] = f"{EXACT} select row_id, pcode_assigned, match_level from coded where match_level = 'Admin2_LGA'"
     q["validation_issues"] = f"{ISSUES} select * from iss"
@@ -474,11 +484,11 @@ def build() -> dict[str, str]:
     q["quality_scores"] = f"{_quality()} select * from sc"
     kinds = "(values " + ", ".join(f"('{c}', '{k}', '{cat}')" for c, k, cat in PROFILED) + ") p(column_name, inferred_type, category)"
     tail = (f"t as (select count(*) as total_count from c), u as (select column_name, count(*) as unique_count, cast(sum(cnt) as bigint) as filled from vc group by 1)")
-    q["column_profile"] = (f"{VALUES}, {tail} select p.column_name, inferred_type, p.column_name as mapped_tag, total_count, total_count - coalesce(filled, 0) as missing_count, "
+    q["column_profile"] = (f"{VALUES}, {tail} select p.column_name, inferred_type, case when category <> 'unclassified' then p.column_name end as mapped_tag, total_count, total_count - coalesce(filled, 0) as missing_count, "
                            f"{_pct('(total_count - coalesce(filled, 0))', 'total_count', 1)} as missing_pct, coalesce(unique_count, 0) as unique_count from {kinds} left join u using (column_name), t")
     q["top_values"] = f"{VALUES} select column_name, value, cnt, cast(r as integer) as rank from (select *, row_number() over (partition by column_name order by cnt desc, value) as r from vc) x where r <= 5"
     q["sample_values"] = f"{VALUES} select column_name, value, cast(r as integer) as rank from (select *, row_number() over (partition by column_name order by row_id) as r from v) x where r <= 4"
-    q["inspect_columns"] = (f"{VALUES}, {tail}, f as (select column_name, arg_min(value, row_id) as first_value from v group by 1) select p.column_name, p.column_name as mapped_tag, category, "
+    q["inspect_columns"] = (f"{VALUES}, {tail}, f as (select column_name, arg_min(value, row_id) as first_value from v group by 1) select p.column_name, case when category <> 'unclassified' then p.column_name end as mapped_tag, category, "
                             f"{_pct('coalesce(filled, 0)', 'total_count', 1)} as completeness_pct, coalesce(unique_count, 0) as unique_count, first_value from {kinds} left join u using (column_name) left join f using (column_name), t")
     q["profile_issue_counts"] = f"{ISSUES} select column_name, count(*) as issue_count from iss group by 1"
     cnt = lambda cond: f"count(*) filter (where {cond})"
