@@ -301,10 +301,19 @@ def filled_weeks(s, d):
 
 
 def geojson_features(s, d):
-    df = geocode.geocode_exact(_places_only(s, d), gazetteer_index(s, d), PLACES)
+    df = geocode.geocode_exact(raw_cases(s, d), gazetteer_index(s, d), PLACES)
     return sinks.geojson_features(df, "geo_lat", "geo_lon")
 
 
+def geojson_fields(s, d):
+    """The features' fields read back out of the JSON."""
+    shape = ("struct<type: string, geometry: struct<type: string, coordinates: array<double>>, properties: struct<row_id: bigint, "
+             + ", ".join(f"{c}: string" for c in CONTENT) + ", _pcode: string, _match_level: string>>")
+    f = geojson_features(s, d).select(F.from_json("value", shape).alias("f")).select("f.*")
+    return f.select(F.col("type").alias("kind"), F.col("geometry.type").alias("shape"), F.col("geometry.coordinates")[0].alias("x"),
+                    F.col("geometry.coordinates")[1].alias("y"), "properties.*")
+
+
 def map_points(s, d):
     rows = standardize.add_epi_week(cleaned_cases(s, d), "date_onset")
     return sinks.map_points(geocode.geocode_exact(rows.drop("geo_lat", "geo_lon"), gazetteer_index(s, d), PLACES))
@@ -416,6 +425,7 @@ QUERIES = {
     "doubling_time": doubling_time,
     "filled_weeks": filled_weeks,
     "geojson_features": geojson_features,
+    "geojson_fields": geojson_fields,
     "map_points": map_points,
     "kpi_table": kpi_table,
     "flagship": flagship,

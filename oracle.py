@@ -467,6 +467,12 @@ def build() -> dict[str, str]:
     q["geocode_fuzzy"] = f"{FUZZY} select level, norm, pcode, {_round('score', 1)} as score from hit"
     q["geocode_cascade"] = f"{FUZZY} select {out.replace('match_score', _round('match_score', 1) + ' as match_score')} from coded"
     lv = _list([l[0] for l in LEVELS] + ["Unmatched"])
+    q["flagship"] = (f"{FUZZY}, w as materialized (select match_level, {_week('onset')} as week, count(*) as cases "
+                     f"from (select match_level, {_date('date_onset')} as onset from coded) y where onset is not null group by all), "
+                     f"al as materialized (with {_alerts('w', 'match_level', 1.5)}) "
+                     "select w.match_level, w.week, w.cases, al.severity from w left join al on w.match_level = al.match_level and w.week = al.week")
+    q["geojson_fields"] = (f"{EXACT} select 'Feature' as kind, 'Point' as shape, geo_lon as x, geo_lat as y, row_id, {', '.join(CONTENT)}, "
+                           "pcode_assigned as _pcode, match_level as _match_level from coded where geo_lat between -90 and 90 and geo_lon between -180 and 180")
     q["geocode_summary"] = f"""{FUZZY}, l as (select unnest({lv}) as match_level), n as (select count(*) as total, count(*) filter (where match_level <> 'Unmatched') as geocoded,
       avg(match_score) filter (where match_score > 0) as m from coded), p as (select match_level, count(*) as cnt from coded group by 1)
       select l.match_level, coalesce(cnt, 0) as cnt, {_pct('coalesce(cnt, 0)', 'total', 1)} as pct, total, geocoded, {_pct('geocoded', 'total', 1)} as rate_pct,
