@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -236,6 +237,14 @@ def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     documents of their own.  Null ids never name a component, but a component of such rows only has a null id.
     Other columns are ignored; an empty table gives an empty result; texts of any length count whole.
     """
+    rows, of_node = _groups(docs, width, num, den, id_col, text_col)
+    return rows.join(of_node.select("node", "component"), "node", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _groups(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Per row ``doc_id``, ``n_shingles``, ``node`` (hash of the set); per node its ``root``, which alone names a component,
+    and ``component``, the smallest id in it."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = _describe(docs, width, num, den, _frequent(docs, width))
     rows = keep(described.select("doc_id", "n_shingles", "node"))
@@ -310,23 +319,38 @@ def jaccard_groups(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     final = connected_components(all_links, "a", "b")
     named = nodes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("rep").alias("component"))
-    of_node = named.join(names, "root").select("node", "component")
-    return rows.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows, named.join(names, "root").select("node", "root", "component")
 
 
 def keep_one(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """The documents with one of each group left, the one with the smallest id; columns as given.
+    """The documents with exactly one row of each group left, one with the smallest id; columns as given.
 
-    Rows with an equal id count once (the first by text).  Rows with a null id stay, as no group can be named by them.
-    Documents without words are no group and stay.
+    Groups are told apart by their sets, not by ids: equal ids with texts in different groups leave a row each.  Of several
+    rows of a group with its smallest id the first by text stays; null ids come last.  Documents without words are no
+    group and stay.
     """
-    groups = jaccard_groups(docs, width, num, den, id_col, text_col)
-    mark = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min("component_id").alias("_component"), F.count("*").alias("_rows"))
-    marked = docs.join(mark, F.col(id_col).cast("bigint") == F.col("_id"), "left").where(
-        F.col("_id").isNull() | (F.col("_id") == F.col("_component")))
-    single = marked.where("_id is null or _rows = 1").select(*docs.columns)
-    again = marked.where("_rows > 1").withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(text_col)))
-    return single.union(again.where("_n = 1").select(*docs.columns))
+    rows, of_node = _groups(docs, width, num, den, id_col, text_col)
+    named = rows.join(of_node, "node", "left")
+    mark = keep(named.groupBy(F.col("doc_id").alias("_id")).agg(
+        F.count("*").alias("_rows"),
+        F.max(F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("component"))).alias("_stays")).where("_stays"))
+    own_id = F.col(id_col).cast("bigint")
+    single = docs.join(mark.where("_rows = 1"), own_id == F.col("_id")).select(*docs.columns)
+    several = mark.where("_rows > 1 or _id is null")
+    if several.isEmpty():
+        return single
+
+    # an id with several rows says nothing about one of them, so their sets are made again
+    @F.pandas_udf("bigint")
+    def node_of(texts: pd.Series) -> pd.Series:
+        sets = (shingle_hashes(t or "", width) for t in texts)
+        return pd.Series([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets], dtype="Int64")
+
+    again = docs.join(several.select("_id"), own_id == F.col("_id"), "left_semi").union(docs.where(own_id.isNull())).select(
+        F.struct(*docs.columns).alias("_row"), own_id.alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    again = again.withColumn("_node", node_of("_text"))
+    wordless = again.where("_node is null").select("_row.*")
+    first = (again.join(of_node, F.col("_node") == F.col("node")).where(F.col("_id").eqNullSafe(F.col("component")))
+             .groupBy("root").agg(F.min_by("_row", F.coalesce("_text", F.lit(""))).alias("_row")).select("_row.*"))
+    return single.union(wordless).union(first)
