@@ -30,10 +30,12 @@ def validity(entries: DataFrame) -> DataFrame:
 
     ``entries`` has ``pattern``, ``action`` ('add' or 'remove'), ``verdict`` and ``dated``.  An entry holds until the next
     entry of its pattern; on one day a removal comes first, then verdicts by name, so the last one holds.
-    Entries without pattern or date are no entries; repeated entries change nothing.
+    Entries without pattern or date are no entries; repeated entries change nothing.  Hosts are told apart without case, paths
+    with it.
     """
+    host = F.substring_index("pattern", "/", 1)
     good = entries.where("pattern is not null and dated is not null and action in ('add', 'remove')").select(
-        F.lower("pattern").alias("pattern"), "action", "verdict", F.col("dated").cast("date").alias("dated")).distinct()
+        F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1)).alias("pattern"), "action", "verdict", F.col("dated").cast("date").alias("dated")).distinct()
     later = Window.partitionBy("pattern").orderBy("dated", F.col("action") == "add", "verdict")
     spans = good.withColumn("valid_to", F.lead("dated").over(later)).where("action = 'add'")
     return spans.where("valid_to is null or dated < valid_to").select("pattern", "verdict", F.col("dated").alias("valid_from"), "valid_to")

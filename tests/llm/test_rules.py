@@ -93,3 +93,13 @@ def test_pipeline_keeps_clean_documents(spark, small_dir):
     assert sum(i in kept for i in clean) >= 0.97 * len(clean)
     one = stages["n-gram join"](spark, good, small_dir)
     assert one.columns == docs.columns and one.count() == one.select("doc_id").distinct().count()
+
+
+def test_url_paths_keep_their_case(spark):
+    day = datetime.date(2024, 1, 1)
+    entries = spark.createDataFrame([("Example.com/News", "add", "block", day), ("OTHER.org", "add", "block", day)],
+                                    "pattern string, action string, verdict string, dated date")
+    rows = [("http://example.COM/News/1", True), ("http://example.com/news/1", False), ("http://a.other.org/X", True)]
+    captures = spark.createDataFrame([(u, day, w) for u, w in rows], "url string, fetched_on date, want boolean")
+    got = url_lists.judge(captures, entries)
+    assert got.count() == 3 and got.where("want <> blocked").collect() == []
