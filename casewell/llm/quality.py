@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from casewell.llm.common import WORD_GAPS, keep, word_list
 
 COMMON_WORDS = 30               # of each language
-LANGUAGES = 64                  # with the most words; all others are held against the whole table
+BROADCAST_LANGUAGES = 10_000    # languages up to which their references (about 1 kB each) are broadcast
+LISTED_LANGUAGES = 64           # up to which words are looked up in one set before, which saves work only
 #: Signs that count as symbols.
 SYMBOLS = "#*$%&|<>"
 ANY_LANGUAGE = "*"
@@ -51,41 +52,49 @@ def _distance(mine: list[Column], theirs: list[Column]) -> Column:
     return F.sqrt(F.greatest(sum(parts[1:], parts[0]) / 2, F.lit(0.0)))
 
 
-def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[dict]:
-    """Per language and for the whole table: shares of the character classes and of the COMMON_WORDS commonest words.
+def reference_table(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """Per language and for the whole table (``_whole``): shares of the character classes and of the COMMON_WORDS commonest words.
 
     One count of (language, word) over all documents gives both, as a word's classes follow from the word.
-    At most LANGUAGES + 1 entries of COMMON_WORDS words come back.
+    A row for every language, however many; nothing is gathered.
     """
     words = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                         F.explode(word_list(F.col(text_col).cast("string"))).alias("word"))
     counts = keep(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
     kinds = class_counts(F.col("word"))
     kept = counts.select("lang", F.lower("word").alias("word"), "n", *[(c * F.col("n")).alias(k) for k, c in kinds.items()])
-    sums = kept.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in CLASSES])
-    top = sums.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    totals = kept.agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in CLASSES]).first()
-    named = [r["lang"] for r in top]
-    group = F.explode(F.array_compact(F.array(F.lit(ANY_LANGUAGE), F.when(F.col("lang").isin(named or [""]), F.col("lang")))))
-    by_word = kept.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1").select(group.alias("lang"), "word", "n")
-    by_word = by_word.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    first = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    common = by_word.withColumn("k", F.row_number().over(first)).where(F.col("k") <= COMMON_WORDS).collect()
-    out = []
-    for lang, row in [(ANY_LANGUAGE, totals), *zip(named, top)]:
-        if not row["n"]:
-            continue
-        signs = sum(row[c] for c in CLASSES) or 1
-        shares = {r["word"]: r["n"] / row["n"] for r in common if r["lang"] == lang}
-        out.append({"lang": lang, "classes": [row[c] / signs for c in CLASSES], "words": list(shares),
-                    "shares": list(shares.values())})
-    return out
-
-
-def reference_table(spark: SparkSession, found: list[dict]) -> DataFrame:
-    """The references as a table of at most LANGUAGES + 1 rows."""
-    rows = [(r["lang"], r["classes"], r["words"], r["shares"]) for r in found]
-    return spark.createDataFrame(rows, "_ref string, _ref_classes array<double>, _ref_words array<string>, "
+    numbers = ["n", *CLASSES]
+    sums = kept.groupBy("lang").agg(*[F.sum(c).alias(c) for c in numbers])
+    totals = kept.agg(*[F.sum(c).alias(c) for c in numbers]).where("n > 0")
+    sums = sums.select(F.lit(False).alias("_whole"), F.col("lang").alias("_ref"), *numbers).union(
+        totals.select(F.lit(True), F.lit(ANY_LANGUAGE), *numbers))
+    group = F.explode(F.array(F.struct(F.lit(True).alias("w"), F.lit(ANY_LANGUAGE).alias("r")),
+                              F.struct(F.lit(False).alias("w"), F.col("lang").alias("r"))))
+    by_word = kept.groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1").select(group.alias("g"), "word", "n")
+    by_word = by_word.groupBy(F.col("g.w").alias("w"), F.col("g.r").alias("r"), "word").agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("w", "r").orderBy(F.desc("n"), "word")
+    common = by_word.withColumn("k", F.row_number().over(first)).where(F.col("k") <= COMMON_WORDS).groupBy("w", "r").agg(
+        F.sort_array(F.collect_list(F.struct("k", "word", F.col("n").alias("count")))).alias("top"))
+    found = sums.join(common, (F.col("_whole") == F.col("w")) & (F.col("_ref") == F.col("r")), "left")
+    signs = F.greatest(sum((F.col(c) for c in CLASSES), F.lit(0)), F.lit(1))
+    top = F.coalesce("top", F.array().cast("array<struct<k:int,word:string,count:bigint>>"))
+    return found.select("_whole", "_ref", F.array(*[F.col(c) / signs for c in CLASSES]).alias("_ref_classes"),
+                        F.transform(top, lambda x: x["word"]).alias("_ref_words"),
+                        F.transform(top, lambda x: x["count"] / F.col("n")).alias("_ref_shares"))
+
+
+def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[dict]:
+    """``reference_table`` as a list, the whole table first; for tables with few languages."""
+    return [{"lang": r["_ref"], "classes": r["_ref_classes"], "words": r["_ref_words"], "shares": r["_ref_shares"]}
+            for r in reference_table(docs, lang_col, text_col).orderBy(F.desc("_whole"), "_ref").collect()]
+
+
+def _as_table(spark: SparkSession, found: list[dict]) -> DataFrame:
+    """The listed references as a table; the first one named ANY_LANGUAGE is that of the whole table."""
+    names = [r["lang"] for r in found]
+    rows = [(r["lang"] == ANY_LANGUAGE and ANY_LANGUAGE not in names[:k], r["lang"], r["classes"], r["words"], r["shares"])
+            for k, r in enumerate(found)]
+    return spark.createDataFrame(rows, "_whole boolean, _ref string, _ref_classes array<double>, _ref_words array<string>, "
                                        "_ref_shares array<double>")
 
 
@@ -117,28 +126,32 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }).drop("_windows", "_lines", "_sorted", "_again")
 
 
-def judge(docs: DataFrame, found: list[dict], limits: Limits = Limits(), lang_col: str = "lang",
+def judge(docs: DataFrame, found: DataFrame | list[dict], limits: Limits = Limits(), lang_col: str = "lang",
           text_col: str = "text") -> DataFrame:
     """The documents with ``_`` columns: the base counts, ``_base_failed``, ``_class_distance``, ``_word_distance``, ``_kept``.
 
-    ``found`` comes from ``references``.  A document passes if the base rules hold and neither histogram is further from
+    ``found`` comes from ``reference_table`` or ``references``.  A document passes if the base rules hold and neither histogram is further from
     its language's reference than the limit; a histogram of a text below the least length is not judged.
 
-    Null texts are empty and fail the base rules; a null or rare language is held against the whole table; repeated
-    rows are judged alike; all columns are kept; an empty table stays empty.  Texts of any length count whole.
+    Null texts are empty and fail the base rules; a language without a reference is held against the whole
+    table; a null language counts as one; repeated rows are judged alike; all columns are kept; an empty table stays empty.  Texts of any length count whole.
     """
-    spark = docs.sparkSession
-    refs = reference_table(spark, found)
-    known = [r["lang"] for r in found]
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    listed = sorted({w for r in found for w in r["words"]})
-    measured = base_measures(docs, text_col).withColumn("_ref_key", F.when(lang.isin(known or [""]), lang).otherwise(
-        F.lit(ANY_LANGUAGE)))
+    refs = keep(found if isinstance(found, DataFrame) else _as_table(docs.sparkSession, found))
+    whole = refs.where("_whole").first()                      # one row
+    refs = refs.where("not _whole").drop("_whole")
+    number = refs.count()
+    measured = base_measures(docs, text_col).withColumn("_ref_key", F.coalesce(F.col(lang_col).cast("string"), F.lit("")))
     kinds = class_counts(F.col("_text"))
     measured = measured.withColumns({f"_{k}": c.cast("double") for k, c in kinds.items()})
-    listed_only = F.transform(F.filter("_words", lambda w: F.lower(w).isin(listed or [""])), F.lower)
-    measured = measured.withColumn("_listed", listed_only)
-    joined = measured.join(F.broadcast(refs), F.col("_ref_key") == F.col("_ref"), "left")     # LANGUAGES + 1 rows
+    listed = F.col("_words")
+    if number <= LISTED_LANGUAGES:
+        names = {w for r in [whole, *refs.collect()] if r for w in r["_ref_words"]}
+        listed = F.filter(listed, lambda w: F.lower(w).isin(sorted(names) or [""]))
+    measured = measured.withColumn("_listed", F.transform(listed, F.lower))
+    joined = measured.join(F.broadcast(refs) if number <= BROADCAST_LANGUAGES else refs, F.col("_ref_key") == F.col("_ref"), "left")
+    if whole:
+        joined = joined.withColumns({c: F.coalesce(c, F.array(*map(F.lit, whole[c])).cast(kind)) for c, kind in (
+            ("_ref_classes", "array<double>"), ("_ref_words", "array<string>"), ("_ref_shares", "array<double>"))})
     places = F.sort_array(F.filter(F.transform("_listed", lambda w: F.array_position("_ref_words", w)), lambda k: k > 0))
     joined = joined.withColumn("_places", places).withColumn("_bins", F.array_distinct("_places"))
     # a bin's count is the distance between the first places of it and of the next bin
@@ -177,6 +190,6 @@ def judge(docs: DataFrame, found: list[dict], limits: Limits = Limits(), lang_co
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The documents that pass, judged by references of the same table; columns as given."""
-    judged = judge(docs, references(docs, lang_col, text_col), limits, lang_col, text_col)
+    judged = judge(docs, reference_table(docs, lang_col, text_col), limits, lang_col, text_col)
     # a filter is not pushed through a row number; pushed down, it would repeat the whole rule at every step
     return judged.withColumn("_row", F.monotonically_increasing_id()).where("_kept and _row >= 0").select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import random
 from collections import Counter
 
 from compare import connect, difference
@@ -103,3 +104,12 @@ def test_url_paths_keep_their_case(spark):
     captures = spark.createDataFrame([(u, day, w) for u, w in rows], "url string, fetched_on date, want boolean")
     got = url_lists.judge(captures, entries)
     assert got.count() == 3 and got.where("want <> blocked").collect() == []
+
+
+def test_every_language_has_a_reference(spark):
+    r = random.Random(6)
+    latin = [(k, " ".join(r.choice(("cat", "dog", "sat", "mat")) + str(r.randrange(900)) for _ in range(90)), f"l{k % 70}") for k in range(140)]
+    small = [(200 + k, " ".join("".join(chr(0x1200 + r.randrange(60)) for _ in range(5)) for _ in range(60)), "am") for k in range(2)]
+    docs = spark.createDataFrame(latin + small + [(300, latin[0][1], "*"), (301, latin[1][1], None)], "doc_id long, text string, lang string")
+    kept = [r.doc_id for r in quality.keep_good(docs, quality.Limits(words=1.0)).collect()]
+    assert sorted(kept) == [*range(140), 200, 201, 300, 301]
