@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casewell.llm import (bpe, license_scan, main_text, mixing, ngram_join, plane_files, quality, token_counts, url_lists,
-                          vector_dedup)
+from casewell.llm import (bpe, lexical_search, license_scan, main_text, mixing, ngram_join, norm_search, plane_files, quality,
+                          spelling_groups, token_counts, url_lists, vector_dedup)
 from casewell.llm.common import table
 from casewell.settings import ensure_checkpoint_dir
 
@@ -115,6 +115,21 @@ def piece_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), vocabulary(PIECE_MODEL))
 
 
+def ranked_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """op11: the 50 best documents of every benchmark item."""
+    return lexical_search.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"), limit=50)
+
+
+def spelling_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """op12: the spelling variants among all words of the documents."""
+    return spelling_groups.spelling_variants(table(spark, folder, "documents"))
+
+
+def top_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """op13: the 20 highest products of every twentieth vector with all others."""
+    return norm_search.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, limit=20)
+
+
 QUERIES = {
     "op1_license_scan": license_notices,
     "op9_url_lists": url_captures,
@@ -126,6 +141,9 @@ QUERIES = {
     "op6_ngram_jaccard": ngram_groups,
     "op7_token_planes": token_files,
     "op8_token_counts": piece_counts,
+    "op11_lexical_search": ranked_documents,
+    "op12_spelling_groups": spelling_forms,
+    "op13_norm_buckets": top_vectors,
 }
 
 ORACLE: dict[str, str] = {
@@ -189,4 +207,72 @@ select doc_id, size, source_size, target, (rounds * size)::bigint as taken,
   case when rounds > 0 then least(1.0, 2 * (middle / target * (w0 + w1) / 2)
     / (w0 + sqrt(greatest(w0 * w0 + 2 * (w1 - w0) * (middle / target * (w0 + w1) / 2), 0)))) end as position
 from taken""",
+    "op11_lexical_search": r"""
+with words as (
+  select row_number() over () as k, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents),
+docs as (select k, doc_id, len(words)::bigint as n, words from words where len(words) > 0),
+s as (select count(*)::bigint as docs, sum(n)::bigint as total from docs),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+postings as (
+  select k, doc_id, n, term, count(*)::bigint as tf from (select k, doc_id, n, unnest(words) as term from docs)
+  where term in (select term from asked) group by all),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from postings, s group by term),
+scored as (
+  select item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::bigint as score
+  from asked join postings using (term) join weights using (term), s group by all),
+ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50""",
+    "op12_spelling_groups": r"""
+with recursive codes as materialized (
+  select list(c order by i) as t from (
+    select i, list_reduce(list_prepend(i, range(8)), lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as c
+    from (select unnest(range(256)) as i))),
+runs as (
+  select doc_id, run, count(*)::bigint as c from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\x{00C0}-\x{00FF}]+')) as run from documents)
+  where length(run) >= 5 group by all),
+coded as (select *, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as h from runs),
+checked as (
+  select run, c, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i::int + 1, 2))::bigint)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) as crc
+  from coded, codes),
+words as materialized (
+  select word, sum(c)::bigint as n from (
+    select case when crc % 97 = 0 then substr(run, 1, (crc % length(run))::int) || substr(run, (crc % length(run))::int + 2) else run end as word, c
+    from checked) where length(word) >= 5 group by word having sum(c) >= 3),
+less as materialized (
+  select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+  from (select word, unnest(range(1, length(word) + 1))::int as i from words)),
+pairs as (
+  select l.word as a, w.word as b from less l join words w on l.rest = w.word
+  union select w.word, l.word from less l join words w on l.rest = w.word
+  union select l.word, r.word from less l join less r on l.rest = r.rest and l.i = r.i and l.word <> r.word),
+best as (
+  select a, count(*)::bigint as n_near, min({'m': -n, 'b': b}) as best from pairs join words on b = word group by a),
+forms as materialized (
+  select word, n, coalesce(n_near, 0)::bigint as n_near, case when -best.m >= 2 * n then best.b end as form,
+    case when -best.m >= 2 * n then -best.m end::bigint as form_n
+  from words left join best on word = a),
+walk as (
+  select word, word as root, form as ahead from forms
+  union all select w.word, f.word, f.form from walk w join forms f on w.ahead = f.word)
+select f.word, f.form, w.root, f.n, f.n_near, f.form_n from forms f join walk w on f.word = w.word and w.ahead is null""",
+    "op13_norm_buckets": """
+with v as (
+  select row_number() over () as k, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.k, q.vec_id as query_id, p.vec_id, list_inner_product(q.e, p.e)::bigint as score
+  from v q join v p on q.vec_id % 20 = 0 and q.k <> p.k),
+ranked as (
+  select *, row_number() over (partition by k order by score desc, vec_id nulls last)::int as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 20""",
 }
