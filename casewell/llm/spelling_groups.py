@@ -63,14 +63,18 @@ def _trie_pairs(words: DataFrame) -> DataFrame:
                                 F.lit(0).alias("edits")))
     depths = [r[0] for r in entering.select("position").distinct().collect()]       # TRIE_DEPTH values at most
     last = words.agg(F.max(F.length("word"))).first()[0] or 0
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, states = [], None
     for depth in range(min(depths, default=last + 1), last + 1):
+        if states is not None and depth > max(depths) and states.isEmpty():
+            break
         here = entering.where(F.col("position") == depth)
         if states is not None:
-            here = here.unionByName(states)
-        skipped = here.where((F.col("edits") == 0) & (F.col("position") < size)).select(
-            "side", "word", (F.col("position") + 1).alias("position"), "node", F.lit(1).alias("edits"))
-        here = here.unionByName(skipped).withColumn("own", F.substring("word", F.col("position") + 1, F.lit(1)))
+            here = here.unionByName(states).coalesce(parts)       # else partitions add up from level to level
+        stay, skip = F.struct("position", "edits"), F.struct((F.col("position") + 1).alias("position"), F.lit(1).alias("edits"))
+        both_ways = F.when((F.col("edits") == 0) & (F.col("position") < size), F.array(stay, skip)).otherwise(F.array(stay))
+        here = here.select("side", "word", "node", F.explode(both_ways).alias("at")).select("side", "word", "node", "at.*")
+        here = here.withColumn("own", F.substring("word", F.col("position") + 1, F.lit(1)))
         met = here.join(trie.where(F.col("depth") == depth).select("side", "node", "next", "ends"), ["side", "node"])
         own = F.filter("next", lambda x: x == F.col("own"))
         others = F.when(F.col("edits") == 0, F.filter("next", lambda x: x > F.col("own"))).otherwise(F.array().cast("array<string>"))
