@@ -15,6 +15,8 @@ from casewell.llm.common import keep
 
 SHARD_POSTINGS = 1_000_000      # postings whose lists a task holds at a time
 BLOCK_DOCS = 64                 # documents of a posting list under one summary
+BATCH_POSTINGS = 8192           # postings of short lists that are opened together
+ROUND_PAIRS = 20_000            # documents weighed for items at a time
 SUMMARY_CELLS = 4_000_000       # cells of the summaries that are made at a time
 SKETCH = 12                     # dimensions in which documents are compared for blocking
 ITEM_BYTES = 16 << 20           # terms of the items that are searched together; further items take another pass
@@ -91,79 +93,112 @@ class Shard:
         cuts = np.flatnonzero(np.diff(near[order])) + 1
         return [docs[part[a:a + BLOCK_DOCS]] for part in np.split(order, cuts) for a in range(0, len(part), BLOCK_DOCS)]
 
-    def bounds(self, blocks: list[np.ndarray], asked: list[np.ndarray]) -> np.ndarray:
-        """For every block and set of terms the sum of the block's summary, the largest gain of each term in it."""
-        width = int(self.terms.max(initial=0)) + 1
-        out = np.zeros((len(blocks), len(asked)), dtype=np.int64)
-        step = max(1, min(256, SUMMARY_CELLS // width))
-        for first in range(0, len(blocks), step):
-            part = blocks[first:first + step]
-            places, begins = self.entries(np.concatenate(part))
-            block = np.repeat(np.repeat(np.arange(len(part)), [len(b) for b in part]), np.diff(begins))
-            summary = np.zeros(len(part) * width, dtype=np.int64)
-            np.maximum.at(summary, block * width + self.terms[places], self.gains[places])
-            summary = summary.reshape(len(part), width)
-            for k, terms in enumerate(asked):
-                out[first:first + step, k] = summary[:, terms].sum(axis=1)
-        return out
-
-    def scores(self, docs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Whole scores of the documents for the terms that ``wanted`` marks."""
+    def summary(self, blocks: list[np.ndarray], width: int) -> np.ndarray:
+        """Per block the largest gain of each term in it."""
+        places, begins = self.entries(np.concatenate(blocks))
+        block = np.repeat(np.repeat(np.arange(len(blocks)), [len(b) for b in blocks]), np.diff(begins))
+        out = np.zeros(len(blocks) * width, dtype=np.int64)
+        np.maximum.at(out, block * width + self.terms[places], self.gains[places])
+        return out.reshape(len(blocks), width)
+
+    def scores(self, docs: np.ndarray, item: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Whole scores of documents for items; ``wanted`` marks the terms of every item."""
         places, begins = self.entries(docs)
-        sums = np.concatenate(([0], np.cumsum(np.where(wanted[self.terms[places]], self.gains[places], 0))))
+        gain = np.where(wanted[np.repeat(item, np.diff(begins)), self.terms[places]], self.gains[places], 0)
+        sums = np.concatenate(([0], np.cumsum(gain)))
         return sums[begins[1:]] - sums[begins[:-1]]
 
 
-def search_shard(shard: Shard, items: list[np.ndarray], width: int, least: np.ndarray, limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each item the places and scores of its best documents in a shard; exact for scores of ``least`` or more.
+def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each range of ``count`` numbers from ``first`` on: whose they are, and the numbers."""
+    ends = np.cumsum(count)
+    whose = np.repeat(np.arange(len(count)), count)
+    return whose, first[whose] + np.arange(ends[-1] if len(ends) else 0) - (ends - count)[whose]
+
+
+def search_shard(shard: Shard, items: list[np.ndarray], width: int, least: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Items, places and scores of each item's best documents in a shard; exact for scores of ``least`` or more.
 
-    Lists are opened from the weightiest term on.  A document that no earlier list of the item holds can score the
-    largest gains of the later ones at most, so an item is done once their sum is too small.  An opened list is cut
-    into blocks; a block is passed over only if the sum of its summary over the item's terms falls short.
+    Lists are opened from the weightiest term on, short ones several at a time.  A document that no earlier list of the
+    item holds can score the largest gains of the later ones at most, so an item is done once their sum is too small.
+    An opened list is cut into blocks; a block is passed over only if the sum of its summary over the item's
+    terms from this list on falls short.
     """
+    least = np.maximum(least, 1)
     place = np.full(width, -1, dtype=np.int64)
     place[shard.lists] = np.arange(len(shard.lists))
-    held = [np.sort(place[t][place[t] >= 0]) for t in items]
-    rest = [np.cumsum(shard.list_tops[h][::-1])[::-1] for h in held]        # most that the lists from here on can bring
-    asking: dict[int, list[tuple[int, int]]] = {}
-    for q, h in enumerate(held):
-        for k, x in enumerate(h.tolist()):
-            asking.setdefault(x, []).append((q, k))
-    least = np.maximum(least, 1)
-    done = {q: np.zeros(len(shard.ids), dtype=bool) for q, h in enumerate(held) if len(h)}
-    best = {q: (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)) for q in done}
-    wanted = np.zeros(width, dtype=bool)
-    for x in sorted(asking):
-        open_for = [(q, k) for q, k in asking[x] if rest[q][k] >= least[q]]
-        if not open_for:
+    term = np.concatenate([np.zeros(0, dtype=np.int64), *items])
+    owner = np.repeat(np.arange(len(items)), [len(t) for t in items])
+    wanted = np.zeros((len(items), width), dtype=bool)
+    wanted[owner, term] = True
+    held = place[term] >= 0
+    term, owner = term[held], owner[held]
+    order = np.lexsort((place[term], owner))
+    term, owner = term[order], owner[order]
+    after = np.searchsorted(owner, owner, side="right")                     # where an item's terms end
+    sums = np.concatenate(([0], np.cumsum(shard.list_tops[place[term]])))
+    rest = sums[after] - sums[:-1]                                          # most that the lists from here on can bring
+    by_list = np.argsort(place[term], kind="stable")
+    listed = place[term][by_list]
+    sizes = np.diff(shard.list_starts)
+    done = np.zeros((len(items), len(shard.ids)), dtype=bool)
+    best = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+    most_blocks = max(1, SUMMARY_CELLS // width)
+    at = 0
+    while at < len(shard.lists):
+        end = max(at + 1, int(np.searchsorted(shard.list_starts, shard.list_starts[at] + BATCH_POSTINGS, side="right")) - 1)
+        end = min(end, at + most_blocks)
+        asks = by_list[np.searchsorted(listed, at):np.searchsorted(listed, end)]
+        asks = asks[rest[asks] >= least[owner[asks]]]
+        opened, at = np.unique(place[term[asks]]), end
+        if not len(asks):
             continue
-        docs = shard.list_docs[shard.list_starts[x]:shard.list_starts[x + 1]]
-        blocks = shard.blocks(docs)
-        bounds = shard.bounds(blocks, [shard.lists[held[q][k:]] for q, k in open_for])
-        for (q, _), bound in zip(open_for, bounds.T):
-            chosen = np.flatnonzero(bound >= least[q])
-            chosen = chosen[np.argsort(-bound[chosen], kind="stable")]
-            wanted[items[q]] = True
-            for at in range(0, len(chosen), 16):
-                part = chosen[at:at + 16]
-                part = part[bound[part] >= least[q]]
-                if not len(part):
-                    break
-                found = np.concatenate([blocks[b] for b in part])
-                found = found[~done[q][found]]
-                score = shard.scores(found, wanted)
-                ok = score >= least[q]
-                docs_q, score_q = (np.concatenate(v) for v in ((best[q][0], found[ok]), (best[q][1], score[ok])))
-                if len(docs_q) > limit:
-                    top = np.lexsort((docs_q, -score_q))[:limit]        # documents stand in order of their ids
-                    docs_q, score_q = docs_q[top], score_q[top]
-                    least[q] = max(least[q], score_q[-1])
-                best[q] = docs_q, score_q
-            wanted[items[q]] = False
-            done[q][docs] = True                # weighed, or in a block that falls short for good
-    for q, (docs_q, score_q) in best.items():
-        if len(docs_q):
-            yield q, docs_q, score_q
+        cut = [shard.blocks(shard.list_docs[shard.list_starts[x]:shard.list_starts[x + 1]]) for x in opened]
+        blocks = [b for part in cut for b in part]
+        begins = np.concatenate(([0], np.cumsum([len(part) for part in cut])))
+        own = np.searchsorted(opened, place[term[asks]])
+        whose, block = _spread(begins[own], np.diff(begins)[own])
+        ask, bound = asks[whose], np.zeros(len(block), dtype=np.int64)
+        for first in range(0, len(blocks), most_blocks):
+            here = np.flatnonzero((block >= first) & (block < first + most_blocks))
+            summary = shard.summary(blocks[first:first + most_blocks], width)
+            for some in np.array_split(here, 1 + len(here) // 50_000):
+                pair, later = _spread(ask[some], after[ask[some]] - ask[some])
+                np.add.at(bound, some[pair], summary[block[some][pair] - first, term[later]])
+        item = owner[ask]
+        chosen = np.flatnonzero(bound >= least[item])
+        chosen = chosen[np.argsort(-bound[chosen], kind="stable")]
+        length = np.array([len(b) for b in blocks])
+        flat, starts = np.concatenate(blocks), np.concatenate(([0], np.cumsum(length)))
+        while len(chosen):
+            take = max(1, int(np.searchsorted(np.cumsum(length[block[chosen]]), ROUND_PAIRS)))
+            part, chosen = chosen[:take], chosen[take:]
+            pair, where = _spread(starts[block[part]], length[block[part]])
+            keys = np.unique(item[part][pair] * len(shard.ids) + flat[where])
+            q, docs = keys // len(shard.ids), keys % len(shard.ids)
+            fresh = ~done[q, docs]
+            q, docs = q[fresh], docs[fresh]
+            done[q, docs] = True
+            score = shard.scores(docs, q, wanted)
+            good = score >= least[q]
+            best = tuple(np.concatenate(x) for x in zip(best, (q[good], docs[good], score[good])))
+            best = _top(*best, limit)
+            full = np.flatnonzero(np.bincount(best[0], minlength=len(items)) >= limit)
+            least[full] = np.maximum(least[full], best[2][np.searchsorted(best[0], full, side="right") - 1])
+            chosen = chosen[bound[chosen] >= least[item[chosen]]]
+        # weighed, or in a block that falls short for good
+        pair, where = _spread(shard.list_starts[place[term[asks]]], sizes[place[term[asks]]])
+        done[owner[asks][pair], shard.list_docs[where]] = True
+    return best
+
+
+def _top(item: np.ndarray, docs: np.ndarray, score: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each item's ``limit`` highest scores, highest first; documents stand in order of their ids, smaller ones first among equals."""
+    order = np.lexsort((docs, -score, item))
+    item, docs, score = item[order], docs[order], score[order]
+    first = np.searchsorted(item, item)
+    kept = np.arange(len(item)) - first < limit
+    return item[kept], docs[kept], score[kept]
 
 
 def _forward(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
@@ -209,13 +244,7 @@ def _search(forward: DataFrame, items: list[np.ndarray], weights: np.ndarray, do
         m = np.repeat(length_terms(rows.column("n").to_numpy(), documents, total), np.diff(starts))
         gains = weight[codes] * ((1_000_000_000 * tf) // (1000 * tf + 20 * m))
         shard = Shard(np.arange(rows.num_rows), starts, codes, gains, rank)
-        item, place, score = [], [], []
-        for q, docs, scores in search_shard(shard, asked, len(weight), lowest, limit):
-            item.append(np.full(len(docs), q))
-            place.append(docs)
-            score.append(scores)
-        none = np.zeros(0, dtype=np.int64)
-        item, place, score = (np.concatenate([none, *x]) for x in (item, place, score))
+        item, place, score = search_shard(shard, asked, len(weight), lowest, limit)
         return pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), ids.take(pa.array(place)).combine_chunks(), pa.array(score)],
                                           ["item", "doc_id", "score"])
 
