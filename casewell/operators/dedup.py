@@ -96,6 +96,21 @@ def person_profiles(df: DataFrame, name: str, sex: str | None, age: str | None,
                                                    {"ignoreNullFields": "false"}), 256))
 
 
+def similar_names(names: DataFrame, threshold: float) -> DataFrame:
+    """``(l_name, r_name, score)`` of all ordered pairs of distinct ``name`` that score ``threshold`` or more, each with itself too.
+
+    ``names`` has a unique orderable ``nid``; every pair is scored once.
+    """
+    nodes = with_features(names, "name", threshold, "name", gram_frequencies(names, "name"), shortest=3)
+    pairs = candidate_pairs(nodes, nodes, ["nid"], threshold, "name", condition=F.col("l_nid") < F.col("r_nid"),
+                            pair_key=("l_nid", "r_nid"))
+    scored = (pairs.withColumn("score", name_score("l_text", "r_text") / 100.0).where(F.col("score") >= threshold - 1e-9)
+              .select(F.col("l_nid").alias("l_name"), F.col("r_nid").alias("r_name"), "score")).checkpoint()
+    turned = scored.select(F.col("r_name").alias("l_name"), F.col("l_name").alias("r_name"), "score")
+    own = names.select(F.col("nid").alias("l_name"), F.col("nid").alias("r_name"), F.lit(1.0).alias("score"))
+    return scored.unionByName(turned).unionByName(own)
+
+
 def fuzzy_duplicates(
     df: DataFrame,
     name: str = "full_name",
@@ -111,16 +126,20 @@ def fuzzy_duplicates(
     name score of ``threshold`` or more, the same sex, ages within 1.5 years and
     onsets within 14 days; a missing value never separates.  Members are compared
     with the leader only.  Whole-name whitespace is squeezed first.
+
+    Distinct names are scored once into a table of similar names; people meet through
+    it, on the partner's name and the lanes of onset and age, and are never scored.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    rows = person_profiles(df, name, sex, age, onset)
+    rows = person_profiles(df, name, sex, age, onset).checkpoint()
     people = rows.groupBy("pid").agg(
         F.min("row_id").alias("ord"), F.count("*").alias("copies"),
         *[F.first(c).alias(c) for c in ("name", "sex", "age", "onset")]).checkpoint()
-    names = people.select("name").distinct()
-    nodes = with_features(people, "name", threshold, "name", gram_frequencies(names, "name"), shortest=3)
+    names = people.select("name").distinct().withColumn("nid", F.monotonically_increasing_id()).checkpoint()
+    similar = similar_names(names, threshold).checkpoint()
     days = F.datediff("onset", F.lit("1970-01-01").cast("date"))
-    for lane, value, width in (("onset_lane", days, _ONSET_LANE), ("age_lane", F.col("age"), MAX_AGE_GAP)):
+    nodes = people.join(names, "name").select("ord", "nid", "sex", "age", days.alias("day"))
+    for lane, value, width in (("onset_lane", F.col("day"), _ONSET_LANE), ("age_lane", F.col("age"), MAX_AGE_GAP)):
         probe, own = _lanes(value, width)
         nodes = nodes.withColumn(f"{lane}_l", probe).withColumn(f"{lane}_r", own)
 
@@ -129,14 +148,18 @@ def fuzzy_duplicates(
 
     alike = (near("sex", F.col("l_sex") == F.col("r_sex"))
              & near("age", F.abs(F.col("l_age") - F.col("r_age")) <= MAX_AGE_GAP)
-             & near("onset", F.abs(F.datediff("l_onset", "r_onset")) <= MAX_ONSET_GAP))
+             & near("day", F.abs(F.col("l_day") - F.col("r_day")) <= MAX_ONSET_GAP))
+
+    def side(part: DataFrame, which: str) -> DataFrame:
+        laned = part.withColumn("onset_lane", F.explode(f"onset_lane_{which}")).withColumn("age_lane", F.explode(f"age_lane_{which}"))
+        return laned.select("nid", F.col("onset_lane"), F.col("age_lane"),
+                            *[F.col(c).alias(f"{which}_{c}") for c in ("ord", "sex", "age", "day")])
 
     def edges(left: DataFrame, right: DataFrame, within: bool) -> DataFrame:
-        lanes = {"_onset": ("onset_lane_l", "onset_lane_r"), "_age": ("age_lane_l", "age_lane_r")}
-        pairs = candidate_pairs(left, right, ["ord", "sex", "age", "onset"], threshold, "name", lanes=lanes,
-                                condition=alike & (F.col("l_ord") < F.col("r_ord")))
-        return (pairs.withColumn("score", name_score("l_text", "r_text") / 100.0)
-                .where(F.col("score") >= threshold - 1e-9).select("l_ord", "r_ord", "score"))
+        probes = side(left, "l").join(similar, F.col("nid") == F.col("l_name")).drop("nid", "l_name")
+        partners = side(right, "r").withColumnRenamed("nid", "r_name")
+        met = probes.join(partners, ["r_name", "onset_lane", "age_lane"])
+        return met.where(alike & (F.col("l_ord") < F.col("r_ord"))).select("l_ord", "r_ord", "score")
 
     found = greedy_leaders(nodes, edges, first_prefix)
     person = people.join(found, "ord", "left").select(
