@@ -12,11 +12,12 @@ from casewell.functions.dates import as_date
 from casewell.functions.similarity import name_score
 from casewell.functions.text import not_blank, round_half_up, squeeze
 from casewell.operators.candidates import candidate_pairs, gram_frequencies, with_features
-from casewell.operators.leaders import FIRST_PREFIX, greedy_leaders
+from casewell.operators.leaders import greedy_leaders
 from casewell.settings import ensure_checkpoint_dir
 
 MEMBER_COLUMNS = ("row_id", "group_id", "duplicate_type", "match_score", "filled", "case_id")
 MAX_AGE_GAP = 1.5
+FIRST_PEOPLE = 32_000   # people compared among themselves first; their pairs are few once names, onset and age must meet
 MAX_ONSET_GAP = 14
 _ONSET_LANE = MAX_ONSET_GAP + 1
 _ANY = -(2 ** 31)        # lane for "matches everything"
@@ -118,7 +119,7 @@ def fuzzy_duplicates(
     age: str | None = "age",
     onset: str | None = "date_onset",
     threshold: float = 0.80,
-    first_prefix: int = FIRST_PREFIX,
+    first_prefix: int = FIRST_PEOPLE,
 ) -> DataFrame:
     """``(row_id, group_id, match_score)`` of fuzzy duplicate clusters.
 
