@@ -11,66 +11,42 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from casewell.settings import ensure_checkpoint_dir
+from casewell.sources.records import join_splits, json_records, parse_json, quoted_records, read_pieces
 
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_LINES = 10
-BROADCAST_SPLITS = 50_000       # file splits up to which their table is broadcast
-_TASK_ROWS = (1 << 33) - 1      # the bits of a monotonic id that count rows inside a task
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """The rows of files with ``_file``, ``_block`` (where their split begins) and ``_row`` (their place in the reading task)."""
-    return df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
-                           "_row": F.monotonically_increasing_id().bitwiseAND(F.lit(_TASK_ROWS))})
-
-
-def _splits(placed: DataFrame, valid: Column | None = None) -> DataFrame:
-    """One row per split of a file: its rows, its first place in the reading task and whether all its rows are valid."""
-    ensure_checkpoint_dir(placed.sparkSession)
-    return placed.groupBy("_file", "_block").agg(
-        F.count("*").alias("_rows"), F.min("_row").alias("_first"),
-        F.bool_and(F.lit(True) if valid is None else valid).alias("_valid")).checkpoint()
-
-
-def _numbered(placed: DataFrame, splits: DataFrame, titles: int = 0) -> DataFrame:
-    """Rows but for the first ``titles`` of every file, with ``row_id`` 1, 2, 3 ... by file, split and row, ``_inside`` and ``_utf8``.
+def _numbered(lines: DataFrame, titles: int = 0, valid: Column | None = None) -> DataFrame:
+    """Pieces but for the first ``titles`` of every file, with ``row_id`` 1, 2, 3 ... by file, split and row, ``_inside`` and ``_utf8``
+    (all pieces of the file are ``valid``).
 
     Only the small table of splits is put in order in one task; title lines lie in the split a file begins with.
     """
+    splits = lines.groupBy("_file", "_block").agg(
+        F.count("*").alias("_rows"), F.bool_and(F.lit(True) if valid is None else valid).alias("_valid"))
     top = F.when(F.col("_block") == 0, F.lit(titles)).otherwise(0)
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("_top", top).select(
-        "_file", "_block", "_first", "_top", F.min("_valid").over(Window.partitionBy("_file")).alias("_utf8"),
+        "_file", "_block", "_top", F.min("_valid").over(Window.partitionBy("_file")).alias("_utf8"),
         F.coalesce(F.sum(F.greatest(F.col("_rows") - F.col("_top"), F.lit(0))).over(before), F.lit(0)).alias("_start"))
-    if splits.count() <= BROADCAST_SPLITS:          # else Spark chooses
-        starts = F.broadcast(starts)
-    inside = F.col("_row") - F.col("_first") - F.col("_top")
-    joined = placed.join(starts, ["_file", "_block"]).withColumn("_inside", inside).where("_inside >= 0")
-    return (joined.withColumn("row_id", F.col("_start") + F.col("_inside") + 1)
-            .drop("_file", "_block", "_row", "_first", "_top", "_start"))
+    joined = join_splits(lines, starts).withColumn("_inside", F.col("_row") - F.col("_top")).where("_inside >= 0")
+    return joined.withColumn("row_id", F.col("_start") + F.col("_inside") + 1).drop("_top", "_start")
 
 
-def _head(spark: SparkSession, path: str, splits: DataFrame, charset: str | None, n: int) -> list[str]:
+def _head(lines: DataFrame, n: int) -> list[str]:
     """The first ``n`` lines of the first file by name."""
-    first = splits.agg(F.min("_file").alias("file")).first()
+    first = lines.agg(F.min("_file").alias("file")).first()
     if first["file"] is None:
         return []
-    lines = _text(spark, path, charset).where((F.col("_metadata.file_path") == first["file"])
-                                              & (F.col("_metadata.file_block_start") == 0)).limit(n)
-    data = [bytes(r[0]) for r in lines.select(F.col("value").cast("binary")).collect()]
+    top = lines.where((F.col("_file") == first["file"]) & (F.col("_block") == 0) & (F.col("_row") < n)).orderBy("_row")
+    data = [bytes(r[0]) for r in top.select(F.col("value").cast("binary")).collect()]
     try:
         return [line.decode("utf-8-sig") for line in data]
     except UnicodeDecodeError:
         return [line.decode("latin-1") for line in data]
 
 
-def _text(spark: SparkSession, path: str, charset: str | None) -> DataFrame:
-    """Lines; without a character set their bytes stay as they are in the files."""
-    reader = spark.read.option("encoding", charset) if charset else spark.read
-    return reader.text(path)
-
-
 def guess_delimiter(lines: Sequence[str]) -> str:
     """The delimiter that splits the lines most evenly into most fields; comma by default."""
     def votes(d: str) -> tuple[int, int]:
@@ -107,15 +83,25 @@ def _unique(names: Sequence[str]) -> list[str]:
 def with_row_id(df: DataFrame, path: str | None = None, order: str | None = None) -> DataFrame:
     """Adds ``row_id``.
 
-    ``order`` names a unique numeric column to use.  For files, rows are numbered 1, 2, 3 ... by
-    file name, position of the split and row, so the number does not depend on scheduling.
+    ``order`` names a unique numeric column to use.  Rows of Parquet files are numbered 1, 2, 3 ... by
+    file name and place in the file, so the number depends on neither splits nor scheduling.
     """
     if order:
         return df.withColumn("row_id", F.col(order).cast("bigint"))
     if path is None:
         raise ValueError("name a unique ordering column for a list that is not read from files")
-    placed = _placed(df)
-    return _numbered(placed, _splits(placed)).drop("_utf8", "_inside")
+    placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    files = placed.groupBy("_file").agg((F.max("_row") + 1).alias("_rows"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return placed.join(starts, "_file").withColumn("row_id", F.col("_start") + F.col("_row") + 1).drop("_file", "_row", "_start")
+
+
+def _header_lines(head: Sequence[str], skip: int, delimiter: str) -> tuple[list[str], int]:
+    """The header's fields and the number of lines it takes."""
+    reader = csv.reader([line + "\n" for line in head[skip:]], delimiter=delimiter)
+    fields = next(reader, [])
+    return [f.replace("\n", " ") for f in fields], reader.line_num
 
 
 def read_delimited(
@@ -131,46 +117,44 @@ def read_delimited(
 
     Every file is UTF-8 unless one of its lines is not; then it is Latin-1.  ``skip`` drops title lines at the
     top of every file.  If more than half of the header is blank, the header is looked for among the first lines.
-    ``multiline`` allows line breaks inside quotes (files are then not split); title lines are refused there,
-    and so are files of different character sets.
+    ``multiline`` allows line breaks inside quotes, across splits too.  Files are scanned once; the
+    rows of that scan are both counted and returned.
     """
-    lines = _placed(_text(spark, path, charset))
-    splits = _splits(lines, None if charset else F.is_valid_utf8("value"))
-    head = _head(spark, path, splits, charset, skip + HEAD_LINES)
+    lines = read_pieces(spark, path, charset)
+    head = _head(lines, skip + HEAD_LINES)
     delimiter = delimiter or ("\t" if path.endswith(".tsv") else guess_delimiter(head[skip:]))
     rows = list(csv.reader(head, delimiter=delimiter))
     if skip == 0 and find_header and len(rows) > 1 and _looks_untitled(rows[0]):
         skip = guess_header_row(rows[:HEAD_LINES])
-    while skip < len(rows) and not "".join(rows[skip]).strip():       # blank lines above the header
+    while skip < len(head) and not head[skip].strip(f"{delimiter} \t\r\""):       # blank lines above the header
         skip += 1
-    names = _unique(rows[skip] if len(rows) > skip else [])
+    header, taken = _header_lines(head, skip, delimiter) if multiline else (rows[skip] if len(rows) > skip else [], 1)
+    names = _unique(header)
     if not names:
         raise ValueError(f"no header in {path}")
     schema = ", ".join(f"`{n.replace('`', '')}` string" for n in names)
     options = {"sep": delimiter, "mode": "PERMISSIVE", "escape": '"'}
-    if multiline:
-        if skip:
-            raise ValueError("multiline files cannot have title lines; remove them or set multiline=False")
-        kinds = {r[0] for r in splits.groupBy("_file").agg(F.min("_valid").alias("v")).select("v").distinct().collect()}
-        if len(kinds) > 1:
-            raise ValueError("multiline files of different character sets; read them one by one or name the set")
-        df = spark.read.options(**options, header=True, encoding=charset or ("UTF-8" if True in kinds else "ISO-8859-1"),
-                                multiLine=True, enforceSchema=True).schema(schema).csv(path)
-        return with_row_id(df, path).select("row_id", *[F.col(f"`{n.replace('`', '')}`") for n in names])
+    numbered = _numbered(lines, skip + taken, None if charset else F.is_valid_utf8("value"))
     text = F.col("value")
     if not charset:
         text = F.when(F.col("_utf8"), text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1"))
     # Spark may test a caller's condition before title lines are gone, so it must find nothing in them
-    kept = _numbered(lines, splits, skip + 1).select("row_id", F.when(F.col("_inside") >= 0, text).alias("value"))
+    text = F.when(F.col("_inside") >= 0, text).alias("value")
+    if multiline:
+        options["multiLine"] = "true"
+        kept = quoted_records(numbered.select("_file", "_block", "_row", text)).select(F.col("record").alias("row_id"), "value")
+    else:
+        kept = numbered.select("row_id", text)
     parsed = kept.where(F.trim("value") != "").select("row_id", F.from_csv("value", F.lit(schema), options).alias("r"))
     return parsed.select("row_id", "r.*")
 
 
-def read_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """JSON records: an array of objects, or one object per line with ``multiline=False``."""
-    df = spark.read.json(path, multiLine=multiline, primitivesAsString=True)
-    names = df.columns
-    return with_row_id(df, path).select("row_id", *names)
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON objects in an array, one per line or one after another, with ``row_id`` 1, 2, 3 ... by file and place.
+
+    Files are split wherever a brace closes, so an array is read by many tasks.
+    """
+    return parse_json(json_records(spark, path))
 
 
 def promote_header(df: DataFrame, row_id: str, header_row: int) -> DataFrame:
