@@ -61,6 +61,7 @@ def day_month_votes(c: Column) -> tuple[Column, Column]:
 
 
 # Shapes a date is written in, and the year-month-day order of their parts.
+# All shapes of this block.
 _CLOCK = r"(?:[T ,]+\d{1,2}[:hH].*)?"
 _NUMERIC_SHAPES = (
     (r"^(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})(?:[T\s].*)?$", "$1-$2-$3"),
@@ -138,6 +139,27 @@ def parse_date(
     return let(let(strip(c.cast("string")), parsed), in_range)
 
 
+# Weekday words, and the year of dates written without one.
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "mon", "tue", "wed", "thu", "fri", "sat", "sun",
+            "lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche",
+            "lunes", "martes", "miercoles", "jueves", "viernes", "sabado", "domingo")
+YEARLESS = 2000
+
+
+def parse_rare_date(c: Column, day_first: bool | Column = True, min_year: int = 1900, max_year: int = 2100,
+                    century_pivot: int | None = None) -> Column:
+    """Date from what ``parse_date`` cannot read: a clock time or weekday words anywhere, or a day and month without a year."""
+    s = strip_accents(F.lower(strip(c.cast("string"))))
+    s = F.regexp_replace(s, r"\b\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[ap]m\b|z\b)?|\b\d{1,2}h(?:\d{2})?\b", " ")
+    s = F.regexp_replace(s, r"\b(?:" + "|".join(WEEKDAYS) + r")\b", " ")
+    s = F.trim(F.regexp_replace(s, r"[\s,]+", " "))
+    dated = parse_date(s, day_first, min_year, max_year, century_pivot)
+    shape = r"^(?:\d{1,2}(?:st|nd|rd|th|er)? ?(?:de )?[a-z]{3,}\.?|[a-z]{3,}\.? \d{1,2}(?:st|nd|rd|th)?)$"
+    month = F.element_at(word_map(MONTH_WORDS), F.regexp_extract(s, r"[a-z]{3,}", 0))
+    yearless = F.concat_ws("-", F.lit(str(YEARLESS)), month, F.regexp_extract(s, r"\d{1,2}", 0)).try_cast("date")
+    return F.coalesce(dated, F.when(s.rlike(shape) & month.isNotNull(), yearless))
+
+
 def as_date(c: Column, dtype: str) -> Column:
     """Date from a date column, or from text that starts with an ISO date."""
     if dtype.startswith(("date", "timestamp")):

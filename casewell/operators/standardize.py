@@ -7,10 +7,11 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casewell.functions.ages import DEFAULT_BREAKS, age_band, parse_age, parse_age_with_unit
-from casewell.functions.dates import day_month_votes, epi_week, epi_week_number, epi_year, parse_date
+from casewell.functions.dates import day_month_votes, epi_week, epi_week_number, epi_year, parse_date, parse_rare_date
 from casewell.functions.phones import clean_phone
 from casewell.functions.places import coordinate_pair
 from casewell.functions.text import is_missing, not_blank
+from casewell.settings import ensure_checkpoint_dir
 
 # Tokens the phone statistics count as "no phone given".
 _PHONE_BLANK = ("", "NA", "nan", "None")
@@ -61,15 +62,35 @@ def infer_day_first(df: DataFrame, columns: Sequence[str], preference: str = "au
     return {r["column_name"]: r["day_first"] for r in day_first_votes(df, columns).collect()}
 
 
-def clean_dates(df: DataFrame, day_first: dict[str, bool], century_pivot: int | None = None) -> DataFrame:
-    """Parse the given columns into dates."""
+def clean_dates(df: DataFrame, day_first: dict[str, bool], century_pivot: int | None = None, rare: bool = False) -> DataFrame:
+    """Parse the given columns into dates.
+
+    With ``rare`` the distinct texts that stay unread are parsed once more, by the rules for rare shapes, and joined back.
+    """
     types = dict(df.dtypes)
+    texts = [c for c in day_first if not types[c].startswith(("date", "timestamp"))]
 
     def cleaned(c: str) -> Column:
-        if types[c].startswith(("date", "timestamp")):
-            return F.col(c).cast("date")
-        return parse_date(F.col(c), day_first[c], century_pivot=century_pivot)
-    return df.select(*[cleaned(c).alias(c) if c in day_first else F.col(c) for c in df.columns])
+        return parse_date(F.col(c), day_first[c], century_pivot=century_pivot) if c in texts else F.col(c).cast("date")
+    found = _rare_dates(df, {c: day_first[c] for c in texts}, century_pivot) if rare and texts else None
+    if found is None or found.isEmpty():
+        return df.select(*[cleaned(c).alias(c) if c in day_first else F.col(c) for c in df.columns])
+    for c in texts:
+        mine = found.where(F.col("_first") == day_first[c]).select(F.col("_text").alias(f"_{c}_text"), F.col("_date").alias(f"_{c}_date"))
+        df = df.join(mine, F.col(c) == F.col(f"_{c}_text"), "left").drop(f"_{c}_text")
+    read = {c: F.coalesce(cleaned(c), F.col(f"_{c}_date")) if c in texts else cleaned(c) for c in day_first}
+    return df.select(*[read[c].alias(c) if c in read else F.col(c) for c in df.columns if c not in {f"_{t}_date" for t in texts}])
+
+
+def _rare_dates(df: DataFrame, day_first: dict[str, bool], century_pivot: int | None) -> DataFrame:
+    """``_text``, ``_first``, ``_date``: the distinct texts of the columns that only the rules for rare shapes can read."""
+    ensure_checkpoint_dir(df.sparkSession)
+    cells = F.explode(F.array(*[F.struct(F.col(c).cast("string").alias("_text"), F.lit(first).alias("_first"),
+                                         parse_date(F.col(c), first, century_pivot=century_pivot).alias("_read"))
+                                for c, first in day_first.items()])).alias("x")
+    unread = df.select(cells).select("x.*").where(F.col("_read").isNull() & ~is_missing(F.col("_text"))).select("_text", "_first").distinct()
+    read = unread.withColumn("_date", parse_rare_date(F.col("_text"), F.col("_first"), century_pivot=century_pivot))
+    return read.where(F.col("_date").isNotNull()).checkpoint()
 
 
 def date_stats(df: DataFrame, day_first: dict[str, bool], century_pivot: int | None = None) -> DataFrame:

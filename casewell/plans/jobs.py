@@ -81,9 +81,10 @@ def clean(df: DataFrame, gazetteer: DataFrame | None = None, cfg: CleaningConfig
         columns = binding.date_columns(content, tags)
         order = standardize.infer_day_first(df, columns, cfg.date_order)
         if columns:
-            logs.append(("dates", "to dates", standardize.date_stats(df, order)
+            logs.append(("dates", "to dates", standardize.date_stats(df, order, int(cfg.as_of[:4]) if cfg.as_of else None)
                          .select("column_name", F.col("parsed").alias("affected"))))
-        df = standardize.clean_dates(df, order)
+        pivot = int(cfg.as_of[:4]) if cfg.as_of else None
+        df = standardize.clean_dates(df, order, pivot, rare=True)
         primary = binding.primary_date(content, tags)
         if cfg.compute_epi_weeks and primary:
             df = standardize.add_epi_week(df, primary)

@@ -5,6 +5,8 @@ Each takes ``(spark, sf_dir)`` and returns a DataFrame over the whole tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casewell.functions import ages, categories, dates, phones, places, privacy as private, text
@@ -12,8 +14,9 @@ from casewell.functions.text import round_half_up
 from casewell.operators import (
     analytics, dedup, facility, geocode, privacy, quality, standardize, surveillance, validate,
 )
-from casewell.plans.casebook import AS_OF, CASE_COLUMNS, gazetteer, raw_cases
-from casewell.sources import sinks
+from casewell.plans.casebook import _MOIS, AS_OF, CASE_COLUMNS, gazetteer, raw_cases
+from casewell.settings import ensure_checkpoint_dir
+from casewell.sources import sinks, tabular
 
 DATE_COLUMNS = ("date_birth", "date_onset", "date_report", "date_consultation", "date_admission", "date_discharge",
                 "date_sample_collected", "date_lab_result", "date_death")
@@ -24,6 +27,7 @@ TAGS = {t: t for t in (
     "date_admission", "date_discharge", "date_sample_collected", "date_lab_result", "date_death", "outcome",
     "case_definition", "hospitalized", "pregnant", "phone", "health_facility", "admin1", "admin2", "admin3")}
 SALT = "field-office"
+_JOURS = ("dimanche", "lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi")
 CONTENT = CASE_COLUMNS[1:]
 
 
@@ -54,6 +58,44 @@ def _column(make, column: str, name: str):
     return lambda s, d: raw_cases(s, d).select("row_id", make(F.col(column)).alias(name))
 
 
+def rare_dates(s, d):
+    """Consultation dates written in rare ways: no year, the time first, with a weekday."""
+    iso = F.col("date_consultation")
+    day, month, year = (F.split(iso, "-")[k].cast("int") for k in (2, 1, 0))
+    spelled = F.concat_ws(" ", day.cast("string"), F.element_at(F.array(*map(F.lit, _MOIS)), month))
+    weekday = F.element_at(F.array(*map(F.lit, _JOURS)), F.dayofweek(iso.cast("date")))
+    written = (F.when(F.col("row_id") % 3 == 0, spelled).when(F.col("row_id") % 3 == 1, F.concat(F.lit("10:30 "), iso))
+               .otherwise(F.concat_ws(" ", weekday, spelled, year.cast("string"))))
+    rows = raw_cases(s, d).select("row_id", written.alias("date_consultation"))
+    return standardize.clean_dates(rows, {"date_consultation": True}, rare=True)
+
+
+def _scratch(s, what):
+    ensure_checkpoint_dir(s)
+    return f"{s.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
+
+
+def csv_cases(s, d):
+    """Names and notes with quotes and line breaks, written as delimited text and read back."""
+    path = _scratch(s, "csv")
+    note = F.concat(F.col("full_name"), F.lit('\n"'), F.coalesce("case_id", F.lit("none")), F.lit('", end'))
+    rows = raw_cases(s, d).select(F.col("row_id").alias("case_row"), "full_name", note.alias("note"))
+    rows.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = tabular.load_cases(s, f"{path}/*.csv", multiline=True)
+    return back.select(F.col("case_row").cast("bigint").alias("case_row"), "full_name", "note")
+
+
+def json_cases(s, d):
+    """Names and nested dates, written as JSON and read back."""
+    path = _scratch(s, "json")
+    rows = raw_cases(s, d).select(F.col("row_id").alias("case_row"), F.concat(F.lit("} {["), F.col("full_name"), F.lit('"\\')).alias("label"),
+                                  F.struct("date_birth", F.array("sex", "age").alias("pair")).alias("deep"))
+    rows.write.json(path)
+    back = tabular.read_json(s, f"{path}/*.json")
+    return back.select(F.col("case_row").cast("bigint").alias("case_row"), "label", F.col("deep.date_birth").alias("date_birth"),
+                       F.col("deep.pair")[0].alias("sex"), F.col("deep.pair")[1].alias("age"))
+
+
 def excel_serial_dates(s, d):
     c = F.col("date_onset")
     return (raw_cases(s, d).where(dates.is_serial_date(c))
@@ -349,6 +391,9 @@ QUERIES = {
     "null_tokens_documents": documents_missing,
     "excel_serial_dates": excel_serial_dates,
     "parse_mixed_dates": _column(dates.parse_date, "date_onset", "onset"),
+    "rare_dates": rare_dates,
+    "csv_cases": csv_cases,
+    "json_cases": json_cases,
     "normalise_date_text": _column(dates.normalize_date_text, "date_onset", "onset_text"),
     "day_first_vote": lambda s, d: standardize.day_first_votes(raw_cases(s, d), list(DATE_COLUMNS)),
     "date_column_stats": lambda s, d: standardize.date_stats(raw_cases(s, d), DAY_FIRST),

@@ -399,6 +399,11 @@ def build() -> dict[str, str]:
     q["excel_serial_dates"] = (f"{CASES} select row_id, date '1899-12-30' + cast(date_onset as integer) as serial_date from c "
                                "where regexp_full_match(date_onset, '\\d{5}') and cast(date_onset as integer) between 25569 and 60000")
     q["parse_mixed_dates"] = f"{CASES} select row_id, {_date('date_onset')} as onset from c"
+    q["rare_dates"] = f"""{CASES} select row_id, case when row_id % 3 = 0 then make_date(2000, date_consultation[6:7]::int, date_consultation[9:10]::int)
+      else date_consultation::date end as date_consultation from c"""
+    q["csv_cases"] = f"""{CASES} select row_id as case_row, full_name,
+      full_name || chr(10) || '"' || coalesce(case_id, 'none') || '", end' as note from c"""
+    q["json_cases"] = f"""{CASES} select row_id as case_row, '}} {{[' || full_name || '"' || chr(92) as label, date_birth, sex, age from c"""
     sp = "string_split(date_onset, ' ')"
     q["normalise_date_text"] = f"""{CASES} select row_id, case when contains(date_onset, ' ')
       then {sp}[1] || ' ' || list_extract({_list(e if len(f) > 4 else e[:3] for e, f in zip(ENGLISH, FRENCH))}, list_position({_list(FRENCH)}, {sp}[2])) || ' ' || {sp}[3]

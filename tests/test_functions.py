@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewell.functions import ages, categories, dates, phones, places, privacy, text
+from casewell.operators import standardize
 
 D = datetime.date
 VECTORS = [
@@ -67,3 +68,13 @@ def test_swapped_coordinates(spark):
     df = spark.createDataFrame([("120.5", "12.5"), ("12.5", "120.5"), ("x", "1")], "a string, b string")
     got = [tuple(r[0]) for r in df.select(places.coordinate_pair(F.col("a"), F.col("b"))).collect()]
     assert got == [(12.5, 120.5, True), (12.5, 120.5, False), (None, 1.0, False)]
+
+
+def test_rare_dates(spark):
+    cases = {"12 mai": "2000-05-12", "May 3rd": "2000-05-03", "10:30 2024-01-05": "2024-01-05", "lundi 5 janvier 2024": "2024-01-05",
+             "Tuesday, 9 Jan 2024 8:15 pm": "2024-01-09", "14h30 05/02/2024": "2024-02-05", "31 novembre": None, "12 chat": None, "lundi": None,
+             "2024-03-01": "2024-03-01", "": None, None: None}
+    rows = spark.createDataFrame([(k, t, t) for k, t in enumerate(cases)], "row_id long, a string, b string")
+    got = standardize.clean_dates(rows, {"a": True, "b": False}, rare=True).orderBy("row_id").collect()
+    assert [str(r.a) if r.a else None for r in got] == list(cases.values()) and got[5].b.isoformat() == "2024-05-02"
+    assert standardize.clean_dates(rows.where("a = 'lundi'"), {"a": True}, rare=True).first().a is None
