@@ -33,16 +33,14 @@ def count_words(docs: DataFrame, words: Column, shortest: int, least: int) -> Da
     return each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def _prefixes(words: DataFrame) -> DataFrame:
-    """The trie: per prefix (``node``) the letters that follow it in some word, in order, and whether it is a word itself."""
-    steps = F.sequence(F.lit(0), F.length("word"))
-    edges = words.select("side", "word", F.explode(steps).alias("depth")).select(
-        "side", "depth", F.substring("word", F.lit(1), F.col("depth")).alias("node"),
-        F.substring("word", F.col("depth") + 1, F.lit(1)).alias("letter"))
-    edges = edges.groupBy("side", "depth", "node", "letter").agg(F.lit(1).alias("one"))
-    return edges.groupBy("side", "depth", "node").agg(
-        F.array_sort(F.collect_list(F.when(F.col("letter") != "", F.col("letter")))).alias("next"),
-        F.max(F.col("letter") == "").alias("ends"))
+def _edges(words: DataFrame, shallowest: int) -> DataFrame:
+    """The trie's edges from a depth on: a prefix (``node``), a letter that follows it in some word and the one ``after``; empty
+    where a word ends."""
+    steps = F.sequence(F.lit(shallowest), F.length("word"))
+    letter = lambda k: F.substring("word", F.col("depth") + k, F.lit(1))
+    placed = words.where(F.length("word") >= shallowest).select("side", "word", F.explode(steps).alias("depth"))
+    return placed.select("side", "depth", F.substring("word", F.lit(1), F.col("depth")).alias("node"), letter(1).alias("letter"),
+                         letter(2).alias("after")).distinct()
 
 
 def _trie_pairs(words: DataFrame) -> DataFrame:
@@ -51,18 +49,18 @@ def _trie_pairs(words: DataFrame) -> DataFrame:
     A state is (word, position, node, edits): the word's letters up to the position have led to the node with that many
     edits.  Each level joins the states that stand on nodes of that depth with the edge table: a state without edits goes
     on by its own letter, leaves out a letter, or takes another letter that sorts after its own; a state with one edit
-    follows its own letters.  Insertions are the deletions of the other word, and so are half the replacements.  Edits are
-    tried in the second half of a word only, where few words share a node; the first half is the second of
-    the word read backwards, in a trie of its own.
+    follows its own letters; all go only where the letter after leads on.  Insertions are the deletions of the
+    other word, and so are half the replacements.  Edits are tried in the second half of a word only, where few words
+    share a node; the first half is the second of the word read backwards, in a trie of its own.
     """
     both = words.select(F.lit(0).alias("side"), "word").union(words.select(F.lit(1).alias("side"), F.reverse("word").alias("word")))
-    trie = keep(_prefixes(both).repartition("depth", "node"))
     size = F.length("word")
     half = F.when(F.col("side") == 0, F.floor(size / 2)).otherwise(F.ceil(size / 2)).cast("int")
     entering = keep(both.select("side", "word", half.alias("position"), F.substring("word", F.lit(1), half).alias("node"),
                                 F.lit(0).alias("edits")))
     depths = [r[0] for r in entering.select("position").distinct().collect()]       # TRIE_DEPTH values at most
     last = words.agg(F.max(F.length("word"))).first()[0] or 0
+    trie = keep(_edges(both, min(depths, default=0)))
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found, states = [], None
     for depth in range(min(depths, default=last + 1), last + 1):
@@ -74,15 +72,12 @@ def _trie_pairs(words: DataFrame) -> DataFrame:
         stay, skip = F.struct("position", "edits"), F.struct((F.col("position") + 1).alias("position"), F.lit(1).alias("edits"))
         both_ways = F.when((F.col("edits") == 0) & (F.col("position") < size), F.array(stay, skip)).otherwise(F.array(stay))
         here = here.select("side", "word", "node", F.explode(both_ways).alias("at")).select("side", "word", "node", "at.*")
-        here = here.withColumn("own", F.substring("word", F.col("position") + 1, F.lit(1)))
-        met = here.join(trie.where(F.col("depth") == depth).select("side", "node", "next", "ends"), ["side", "node"])
-        own = F.filter("next", lambda x: x == F.col("own"))
-        others = F.when(F.col("edits") == 0, F.filter("next", lambda x: x > F.col("own"))).otherwise(F.array().cast("array<string>"))
-        arrived = (F.col("own") == "") & (F.col("edits") == 1)
-        steps = (F.when(arrived & F.col("ends"), F.array(F.lit(""))).when(F.col("own") == "", F.array().cast("array<string>"))
-                 .otherwise(F.concat(own, others)))
-        moved = met.select("side", "word", "position", "node", "edits", "own", F.explode(steps).alias("letter"))
-        now = keep(moved.select(
+        here = here.withColumns({n: F.substring("word", F.col("position") + k, F.lit(1)) for n, k in (("own", 1), ("ahead", 2))})
+        # what stands at a word's end without an edit has nothing left to change
+        here = here.where((F.col("edits") == 1) | (F.col("own") != ""))
+        edges = trie.where(F.col("depth") == depth).select("side", "node", "letter", F.col("after").alias("ahead"))
+        takes = F.when(F.col("edits") == 0, F.col("letter") >= F.col("own")).otherwise(F.col("letter") == F.col("own"))
+        now = keep(here.join(edges, ["side", "node", "ahead"]).where(takes).select(
             "side", "word", (F.col("position") + 1).alias("position"), F.concat("node", "letter").alias("node"),
             (F.col("edits") + (F.col("letter") != F.col("own")).cast("int")).alias("edits"), (F.col("letter") == "").alias("arrived")))
         found.append(now.where("arrived").select("side", "word", "node"))
