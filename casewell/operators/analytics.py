@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casewell.functions.ages import DEFAULT_BREAKS, age_band, band_order
 from casewell.functions.dates import as_date, epi_week
 from casewell.functions.text import percent, round_half_up
+from casewell.settings import ensure_checkpoint_dir
 
 MAX_DELAY = 180
 DELAYS = (
@@ -92,13 +93,20 @@ def epi_curve(df: DataFrame, date: str, unit: str = "day", stratify: str | None
     return (rows.where(F.col("period").isNotNull()).groupBy(*keys).agg(F.count("*").alias("cases")).orderBy(*keys))
 
 
-def epi_curve_wide(df: DataFrame, date: str, unit: str, stratify: str, categories: Sequence[str]) -> DataFrame:
+def epi_curve_wide(df: DataFrame, date: str, unit: str, stratify: str, categories: Sequence[str] | None = None,
+                   most: int = 64) -> DataFrame:
     """Zero-filled curve with one column per category and a total.
 
-    The categories are known for cleaned fields, so no extra pass looks for them;
-    other values count in the total only.
+    Named categories need no extra pass, and other values count in the total only.  Without names the observed ones are
+    looked up first, in the counted curve; beyond ``most`` of them the curve stays long: ``(period, stratum, cases)``.
     """
     long = epi_curve(df, date, unit, stratify)
+    if categories is None:
+        ensure_checkpoint_dir(df.sparkSession)
+        long = long.checkpoint()
+        categories = sorted(r[0] for r in long.select("stratum").distinct().limit(most + 1).collect())
+        if len(categories) > most:
+            return long
     return long.groupBy("period").agg(
         *[F.coalesce(F.sum(F.when(F.col("stratum") == c, F.col("cases"))), F.lit(0)).alias(c) for c in categories],
         F.sum("cases").alias("total")).orderBy("period")

@@ -36,8 +36,11 @@ def _filled(df: DataFrame) -> Column:
 
 
 def _fingerprint(df: DataFrame) -> Column:
-    """SHA-256 of the whole row; nulls count as equal and times differ by the microsecond."""
-    return F.sha2(F.to_json(F.struct(*_content(df)), _EXACT_JSON), 256)
+    """128-bit hash of the whole row, by type; nulls count as equal, each in its column, and times differ by the microsecond."""
+    nested = {c for c, t in df.dtypes if t.startswith(("array", "struct", "map"))}
+    cells = [F.to_json(F.struct(c), _EXACT_JSON) if c in nested else F.col(c) for c in _content(df)]
+    blanks = F.concat(F.lit(""), *[F.col(c).isNull().cast("int").cast("string") for c in _content(df)])
+    return F.struct(F.xxhash64(F.lit(1), blanks, *cells).alias("a"), F.xxhash64(F.lit(2), *reversed(cells), blanks).alias("b"))
 
 
 def _members(rows: DataFrame, key: str, kind: str) -> DataFrame:
@@ -50,9 +53,10 @@ def _members(rows: DataFrame, key: str, kind: str) -> DataFrame:
 
 
 def exact_duplicates(df: DataFrame, case_id: str | None = "case_id") -> DataFrame:
-    """Members of groups of rows with identical content."""
+    """Members of groups of rows with identical content; the list is read once."""
+    ensure_checkpoint_dir(df.sparkSession)
     rows = df.select("row_id", _fingerprint(df).alias("print"), _filled(df).alias("filled"),
-                     (F.col(case_id) if case_id in df.columns else F.lit(None)).cast("string").alias("case_id"))
+                     (F.col(case_id) if case_id in df.columns else F.lit(None)).cast("string").alias("case_id")).checkpoint()
     return _members(rows, "print", "exact")
 
 

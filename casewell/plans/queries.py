@@ -309,6 +309,11 @@ def epi_curve_wide(s, d):
                                     ("Confirmed", "Probable", "Suspect", "Discarded", "Unknown"))
 
 
+def epi_curve_wide_observed(s, d):
+    """Monthly curve with a column for every sex that occurs."""
+    return analytics.epi_curve_wide(cleaned_cases(s, d, "date_onset", "sex"), "date_onset", "month", "sex")
+
+
 def weekly_alerts_cases(s, d):
     counts = surveillance.weekly_counts(standardize.add_epi_week(cleaned_cases(s, d, "date_onset"), "date_onset"))
     return surveillance.weekly_alerts(counts, multiplier=1.1)
@@ -458,6 +463,7 @@ QUERIES = {
     "epi_curve_month": _on_clean(lambda df: _A.epi_curve(df, "date_onset", "month"), "date_onset"),
     "epi_curve_stratified": _on_clean(lambda df: _A.epi_curve(df, "date_onset", "week", "outcome"), "date_onset", "outcome"),
     "epi_curve_wide": epi_curve_wide,
+    "epi_curve_wide_observed": epi_curve_wide_observed,
     "delay_stats": _on_clean(lambda df: _A.delay_stats(df, TAGS), *DELAY_DATES),
     "delay_histogram": _on_clean(lambda df: _A.delay_histogram(df, TAGS), *DELAY_DATES),
     "cfr_by_sex": _on_clean(lambda df: _A.cfr_by_sex(df, TAGS), "sex", "outcome"),

@@ -519,6 +519,9 @@ def build() -> dict[str, str]:
     q["epi_curve_wide"] = (f"{CLEAN} select strftime(date_onset, '%Y-%m') as period, " + ", ".join(
         (f"{cnt(f'''coalesce(case_definition, 'Unknown') = '{x}' ''')} as \"{x}\"") for x in ("Confirmed", "Probable", "Suspect", "Discarded", "Unknown"))
         + ", count(*) as total from k where date_onset is not null group by 1")
+    q["epi_curve_wide_observed"] = (f"{CLEAN} select strftime(date_onset, '%Y-%m') as period, " + ", ".join(
+        (f"{cnt(f'''coalesce(sex, 'Unknown') = '{x}' ''')} as \"{x}\"") for x in ("Female", "Male", "Unknown"))
+        + ", count(*) as total from k where date_onset is not null group by 1")
     hist = ", ".join(f"{cnt(f'days between {lo} and {hi}')} as \"{n}\"" for n, lo, hi in BINS)
     q["delay_stats"] = (f"{DELAY} select delay, count(*) as count, {_round('avg(days)', 1)} as mean_days, {_round('quantile_cont(days, 0.5)', 1)} as median_days, "
                         f"{_round('quantile_cont(days, 0.25)', 1)} as q25_days, {_round('quantile_cont(days, 0.75)', 1)} as q75_days, cast(min(days) as integer) as min_days, cast(max(days) as integer) as max_days, {hist} from dl group by 1")

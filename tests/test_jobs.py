@@ -70,6 +70,12 @@ def test_perfect_quality(spark):
     assert empty.overall == 100.0 and empty.grade == "A"
 
 
+def test_nulls_and_nested_cells_tell_rows_apart(spark):
+    rows = [(1, "x", None, [1, None]), (2, None, "x", [1, None]), (3, "x", None, [None, 1]), (4, "x", None, [1, None])]
+    df = frame(spark, rows, "row_id bigint, a string, b string, c array<int>")
+    assert [(r.row_id, r.group_id) for r in dedup.exact_duplicates(df).orderBy("row_id").collect()] == [(1, 1), (4, 1)]
+
+
 def test_exact_duplicates(spark):
     rows = [(1, "C1", "Alice", None), (2, "C2", "Bob", "x"), (3, "C1", "Alice", None), (4, "C2", "Rob", None), (5, "C3", "Eve", "y")]
     df = frame(spark, rows, "row_id bigint, case_id string, full_name string, note string")
@@ -109,6 +115,15 @@ def test_analytics(spark):
     assert [r.age_group for r in analytics.pyramid(df, tags).collect()] == ["5-14", "15-29", "30-49", "65-79"]
 
 
+def test_wide_curve_finds_its_categories(spark):
+    rows = [(1, "2023-01-01", "a"), (2, "2023-01-01", "b"), (3, "2023-02-01", "a"), (4, "2023-02-03", None)]
+    df = frame(spark, rows, "row_id bigint, day string, kind string")
+    wide = analytics.epi_curve_wide(df, "day", "month", "kind")
+    assert wide.columns == ["period", "Unknown", "a", "b", "total"]
+    assert [tuple(r) for r in wide.collect()] == [("2023-01", 0, 1, 1, 2), ("2023-02", 1, 1, 0, 2)]
+    assert analytics.epi_curve_wide(df, "day", "month", "kind", most=2).columns == ["period", "stratum", "cases"]
+
+
 def test_alerts_and_trend(spark):
     counts = frame(spark, [("2023-W01", 5), ("2023-W02", 5), ("2023-W04", 6), ("2023-W05", 30)], "week string, cases bigint")
     alert = surveillance.weekly_alerts(counts).collect()
