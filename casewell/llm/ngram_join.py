@@ -182,26 +182,19 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_batches(batches):
-            codes = [shingle_hashes(t, width).tobytes() for t in texts]
+            codes = [shingle_hashes(t, width).view(np.int64) for t in texts]
             # an id may stand for other texts too
-            own = pa.array([xxhash.xxh3_64_intdigest(c) - (1 << 63) == k for c, k in zip(codes, keys.to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(codes, pa.binary())], ["node", "codes"]).filter(own)
+            own = pa.array([xxhash.xxh3_64_intdigest(c.tobytes()) - (1 << 63) == k for c, k in zip(codes, keys.to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(codes, pa.list_(pa.int64()))], ["node", "codes"]).filter(own)
 
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    held = keep(texts.mapInArrow(sets, "node bigint, codes binary"))
+    held = keep(texts.mapInArrow(sets, "node bigint, codes array<bigint>"))
     both = (pairs.join(held.select(F.col("node").alias("a"), F.col("codes").alias("left")), "a")
             .join(held.select(F.col("node").alias("b"), F.col("codes").alias("right")), "b").select("a", "b", "left", "right"))
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_py(), dtype=np.uint64) for c in (2, 3))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(den * common >= num * (len(x) + len(y) - common))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(linked, "a bigint, b bigint")
+    # row by row in the JVM: Arrow batches of whole sets would not be bounded in bytes
+    common = F.size(F.array_intersect("left", "right")).cast("bigint")
+    return both.where((num + den) * common >= num * (F.size("left") + F.size("right"))).select("a", "b")
 
 
 def _bounded(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
