@@ -19,7 +19,10 @@ _MONDAY = "4 days"
 
 
 def weekly_counts_stream(cases: DataFrame, when: str, by: tuple[str, ...] = (), delay: str = "14 days") -> DataFrame:
-    """``(*by, week, cases)`` per ISO week of the timestamp column ``when``; later rows than ``delay`` are dropped."""
+    """``(*by, week, cases)`` per ISO week of the timestamp column ``when``.
+
+    Rows later than ``delay`` are dropped in append and update mode; complete mode keeps all weeks and counts them still.
+    """
     windows = (cases.withColumn(when, F.col(when).cast("timestamp")).withWatermark(when, delay)
                .groupBy(F.window(when, "7 days", "7 days", _MONDAY).alias("w"), *by).agg(F.count("*").alias("cases")))
     return windows.select(*by, epi_week(F.col("w.start").cast("date")).alias("week"), "cases")
