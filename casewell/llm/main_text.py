@@ -5,9 +5,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -16,52 +18,73 @@ from casewell.llm.common import text_batches
 
 TRAIN_PAGES = 2_000             # labelled pages that the weights are fitted on
 #: Elements that never hold article text, elements that start a new block, and elements without end.
-DROPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video select option datalist "
-                    "button form nav header footer aside menu dialog head title input textarea".split())
+ASIDE = frozenset("noscript template iframe object embed svg math canvas audio video select option datalist button form nav "
+                  "header footer aside menu dialog head".split())
 BLOCKS = frozenset("address article blockquote body center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 "
                    "h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title".split())
-#: Parts of class and id names, and roles, of page furniture.
+#: Names of page furniture in class and id, words that only name a container, words that deny, and roles.
 FURNITURE = frozenset("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments "
                       "commentlist cookie cookies consent disclaimer disqus dropdown footer form gdpr header masthead menu "
                       "modal nav navbar navigation newsletter notice notification notifications pager pagination popup promo "
                       "promoted recommended related replies reply respond search share sharing shoutbox sidebar signup "
                       "skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split())
+CONTAINERS = frozenset("area bar block box buttons container group inner item items left links list outer panel right row "
+                       "section slot thread top unit wrap wrapper".split())
+DENIALS = frozenset("with without has have no non not".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert alertdialog dialog".split())
 LABELLED = ("article", "main")
+MOST = 0.9                      # share of the words that are in no other furniture that makes an element none, whatever its name
+IN_LABEL = 0.02                 # what a tag costs inside a labelled element, as a share of its cost elsewhere
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*/?>"
                     r"|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_MARKED = re.compile(r"class|id|role|hidden", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 #: Elements whose end tag may be left out: a start of the same kind ends the one before.
-_SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+_SELF_CLOSING = frozenset("li dt dd tr td th option".split())
 
 
 @dataclass
 class Weights:
-    """Score of a word and cost of each tag; ``link_word`` is what a word inside a link scores."""
+    """Score of a word and cost of each tag.
+
+    ``link_word`` is what a word inside a link scores, ``outside`` a word outside the labelled element of a page that has one,
+    ``furniture`` a whole element of page furniture.
+    """
 
     word: float = 1.0
     link_word: float = -0.5
+    outside: float = -1.0
+    furniture: float = -3.0
     other: float = -1.0
     tags: dict[str, float] = field(default_factory=dict)
 
 
-def _is_furniture(name: str, raw: str) -> bool:
-    if name in DROPPED:
+def _names_furniture(value: str) -> bool:
+    """Whether a class or id names furniture: the last part of the name that is no container word, unless it is denied."""
+    parts = [p.lower() for p in _PARTS.findall(value)]
+    while len(parts) > 1 and (parts[-1] in CONTAINERS or parts[-1].isdigit()):
+        parts.pop()
+    return bool(parts) and parts[-1] in FURNITURE and parts[0] not in DENIALS
+
+
+def _hint(name: str, raw: str) -> bool:
+    """Whether a start tag looks like page furniture by its kind or by its class, id, role or hidden attribute."""
+    if name in ASIDE:
         return True
-    if "=" not in raw and " " not in raw:
+    if not _MARKED.search(raw, len(name) + 1):
         return False
-    for key, a, b, c in _MARKS.findall(raw[len(name) + 1:]):
-        value = (a or b or c).strip()
-        key = key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES:
+    for key, a, b, c in _ATTRIBUTE.findall(raw[len(name) + 1:]):
+        key, value = key.lower(), (a or b or c).strip()
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
+            return True
+        if key in ("class", "id") and any(map(_names_furniture, value.split())):
             return True
-        if key in ("class", "id") and any(p.lower() in FURNITURE for p in _PARTS.findall(value)):
-            return name not in ("article", "main", "body", "html")
     return False
 
 
@@ -75,86 +98,162 @@ class Item:
     words: int = 0
     linked: bool = False
     inside: bool = False        # in a labelled element
-    dropped: bool = False
+    dropped: bool = False       # in an element of page furniture
+    border: bool = False        # the first item of such an element
 
 
-def items(page: str) -> Iterator[Item]:
-    """Tags and texts of a page in order; furniture is marked, block numbers rise at block borders."""
-    block, skip, skip_depth, links, labelled, raw_end, end_at = 0, "", 0, 0, [], "", 0
-    for found in _TOKEN.finditer(page):
-        if found.start() < end_at:
-            continue
-        part = found[0]
+@dataclass
+class _Element:
+    name: str
+    hint: bool
+    start: int
+    end: int = 0
+
+
+def items(page: str) -> list[Item]:
+    """Tags and texts of a page in order; block numbers rise at block borders, furniture and labelled elements are marked.
+
+    An element that looks like furniture (by its kind alone: forms only) is none if it holds most of the words around it (of the page, or of the marked or
+    labelled element it stands in) and nearly all that are in no other furniture, or most words of the page's labelled elements.
+    """
+    out: list[Item] = []
+    stack: list[_Element] = []
+    opened: Counter[str] = Counter()
+    whole = _Element("", False, 0)
+    marked: list[tuple[_Element, _Element]] = []            # looks like furniture; the marked or labelled element around it
+    labels: list[_Element] = []
+    around: list[_Element] = [whole]                        # marked and labelled elements that are open
+    block = links = at = 0
+
+    def close() -> None:
+        done = stack.pop()
+        opened[done.name] -= 1
+        done.end = len(out)
+        if around[-1] is done:
+            around.pop()
+
+    while at < len(page):
+        found = _TOKEN.match(page, at)
+        part, at = found[0], found.end()
         name_found = _NAME.match(part) if part[0] == "<" else None
         if name_found is None:
-            if part[0] == "<" and part != "<" and part[:2] in ("<!", "<?"):
-                continue
-            text = html.unescape(part)
-            yield Item(text=text, block=block, words=len(text.split()), linked=links > 0, inside=bool(labelled),
-                       dropped=bool(skip))
+            if part[0] != "<" or part == "<":
+                text = html.unescape(part)
+                out.append(Item(text=text, block=block, words=len(text.split()), linked=links > 0))
             continue
         name, opens = name_found[1].lower(), part[1] != "/"
-        if opens and name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, found.end())
-            end_at = close.end() if close else len(page)
-            if name in BLOCKS:
-                block += 1
-            continue
-        if name in BLOCKS:
-            block += 1
-        if skip:
-            if name == skip and name not in VOID:
-                skip_depth += 1 if opens and not part.endswith("/>") else 0 if opens else -1
-                if skip_depth <= 0:
-                    skip = ""
-            elif not opens and name in ("body", "html", "article", "main"):
-                skip = ""
-            continue
-        if opens and name not in VOID and not part.endswith("/>") and _is_furniture(name, part):
-            block += 1
-            skip, skip_depth = name, 1
+        if name in RAW:                                     # what it holds is no markup, up to its own end tag
+            if opens:
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if name == "a":
             links = links + 1 if opens else max(0, links - 1)
         elif name in BLOCKS:
             links = 0
-        if name in LABELLED:
-            if opens:
-                labelled.append(name)
-            elif name in labelled:
-                labelled.remove(name)
-        yield Item(tag=name if opens else f"/{name}", block=block, inside=bool(labelled) or name in LABELLED)
+        block += name in BLOCKS
+        if opens:
+            if name in BLOCKS and stack and stack[-1].name == "p":
+                close()
+            if name in _SELF_CLOSING and stack and stack[-1].name == name:
+                close()
+            hint = name not in VOID and not part.endswith("/>") and _hint(name, part)
+            block += hint and name not in BLOCKS
+            if name not in VOID and not part.endswith("/>") and (hint or name in BLOCKS):
+                mine = _Element(name, hint, len(out))
+                stack.append(mine)
+                opened[name] += 1
+                hint = hint and name not in ("body", "html")
+                if hint:
+                    marked.append((mine, around[-1]))
+                if name in LABELLED and not any(opened[x] > (x == name) for x in LABELLED):
+                    labels.append(mine)
+                if hint or name in LABELLED:
+                    around.append(mine)
+            out.append(Item(tag=name, block=block))
+        else:
+            out.append(Item(tag=f"/{name}", block=block))
+            if opened[name]:
+                block += name in ASIDE
+                while stack[-1].name != name:
+                    close()
+                close()
+    while stack:
+        close()
+    whole.end = len(out)
+    words = [0, *accumulate(x.words for x in out)]
+
+    def size(e: _Element) -> int:
+        return words[e.end] - words[e.start]
+
+    labels = [e for e in labels if not e.hint and size(e)] or [e for e in labels if size(e)]
+    starts, held = [e.start for e in labels], [0, *accumulate(map(size, labels))]
+    plain = {id(outer): size(outer) for _, outer in marked}
+    for e, outer in marked:
+        plain[id(outer)] -= size(e)
+    after = 0
+    for e, outer in marked:
+        if e.start < after:
+            continue                                        # in furniture already
+        holds = held[bisect_left(starts, e.end)] - held[bisect_left(starts, e.start)]
+        most = 2 * size(e) > size(outer) and size(e) >= MOST * (size(e) + plain[id(outer)])
+        if 2 * holds > held[-1] or most and (e.name == "form" or e.name not in ASIDE):
+            continue
+        after = e.end
+        for x in out[e.start:e.end]:
+            x.dropped = True
+        if e.start < e.end:
+            out[e.start].border = True
+    for e in labels:
+        for x in out[e.start:e.end]:
+            x.inside = True
+    return out
 
 
 def fit(pages: Iterator[str]) -> Weights:
-    """Weights from pages that label their article: log odds of lying outside it, per tag and per kind of word.
+    """Weights from pages that label their article: log odds of lying outside it, per tag.
 
     A tag that stands outside as often as inside costs little, one that is seen outside only costs much; a word's score is
-    held at 1.  Pages without a labelled element say nothing.
+    held at 1.  Furniture counts as outside.  Pages without a labelled element say nothing.
     """
     inside: Counter[str] = Counter()
     outside: Counter[str] = Counter()
     for page in pages:
-        seen = list(items(page))
-        if not any(x.inside and x.words for x in seen):
+        seen = items(page)
+        if not any(x.inside and x.words and not x.dropped for x in seen):
             continue
         for x in seen:
-            if x.dropped:
-                continue
-            side = inside if x.inside else outside
-            if x.tag:
-                side[x.tag] += 1
-            elif x.words:
-                side["link" if x.linked else "word"] += x.words
+            (inside if x.inside and not x.dropped else outside)[x.tag] += 1 if x.tag else x.words
     total_in, total_out = max(1, sum(inside.values())), max(1, sum(outside.values()))
-    cost = {t: -max(0.5, min(12.0, 3.0 + math.log(((outside[t] + 1) / (total_out + 20)) / ((inside[t] + 1) / (total_in + 20)))))
-            for t in {*inside, *outside} - {"word", "link"} if inside[t] + outside[t] >= 20}
+    cost = {t: -max(0.5, min(6.0, 3.0 + math.log(((outside[t] + 1) / (total_out + 20)) / ((inside[t] + 1) / (total_in + 20)))))
+            for t in {*inside, *outside} - {""} if inside[t] + outside[t] >= 20}
     # block and line tags cost a fraction of a word, or short paragraphs at the ends of an article would be lost
     for t in ("p", "/p", "br", "b", "/b", "i", "/i", "em", "/em", "strong", "/strong", "span", "/span", "h1", "/h1", "h2", "/h2"):
         cost[t] = max(-0.5, cost.get(t, -0.5))
     return Weights(tags=cost)
 
 
+def scores_of(seen: list[Item], weights: Weights) -> list[float]:
+    """What every item adds to a run.
+
+    Words score, tags and words in links cost, furniture costs once and says nothing else.  Where a page labels its article, words
+    outside cost, and tags inside cost next to nothing.
+    """
+    labelled = any(x.inside and x.words and not x.dropped for x in seen)
+    out = []
+    for x in seen:
+        share = IN_LABEL if labelled and x.inside else 1.0
+        if x.dropped:
+            out.append(weights.furniture * share if x.border else 0.0)
+        elif x.tag:
+            out.append(weights.tags.get(x.tag, weights.other) * share)
+        elif labelled:
+            out.append(x.words * (weights.word if x.inside else weights.outside))
+        else:
+            out.append(x.words * (weights.link_word if x.linked else weights.word))
+    return out
+
+
 def best_run(scores: list[float]) -> tuple[int, int]:
     """Start and end of the contiguous run of greatest sum, in one pass; (0, 0) if nothing is positive."""
     best, at, total, start = 0.0, (0, 0), 0.0, 0
@@ -169,12 +268,8 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 
 def main_text(page: str, weights: Weights) -> str:
     """The blocks of the best run, one line each, with white space inside a block made one space."""
-    seen = list(items(page))
-    if any(x.inside and x.words and not x.dropped for x in seen):
-        seen = [x for x in seen if x.inside]            # the page labels its article itself
-    scores = [0.0 if x.dropped else weights.tags.get(x.tag, weights.other) if x.tag
-              else x.words * (weights.link_word if x.linked else weights.word) for x in seen]
-    first, after = (0, len(seen)) if seen and all(x.inside for x in seen) else best_run(scores)
+    seen = items(page)
+    first, after = best_run(scores_of(seen, weights))
     lines: list[str] = []
     block, words = None, ""
     for x in seen[first:after]:
@@ -201,9 +296,10 @@ def extract(pages: DataFrame, weights: Weights | None = None, id_col: str = "pag
             html_col: str = "html") -> DataFrame:
     """Main text of every page: ``page_id``, ``url``, ``text`` and ``n_chars``.
 
-    Words score, tags cost, words in links cost too; the run of greatest sum is the content region.  Elements that are page
-    furniture by kind, class, id or role are left out before, wherever they stand; a page with <article> or <main>
-    limits the region to it.  Weights are fitted on a bounded number of pages with such an element unless given.
+    Words score, tags cost, words in links cost too; on every page the run of greatest sum is the content region.  Elements that
+    look like page furniture by kind, class, id, role or hidden attribute score nothing and are left out of the text, unless they
+    hold most of the words.  <article> and <main> lift the scores of what they hold over the rest of the page.
+    Weights are fitted on a bounded number of pages with such an element unless given.
 
     Null pages are empty; unclosed and wrongly nested tags are accepted; repeated rows and null ids are kept; other
     columns are ignored; an empty table gives an empty result; pages of any length are scanned whole, once.

@@ -27,6 +27,47 @@ def test_main_text_forms(spark):
     assert main_text.extract(pages.limit(0), weights).collect() == []
 
 
+def test_main_text_of_misleading_marks():
+    story = f"<p>{'word ' * 30}end.</p><p>{'more ' * 20}</p>"
+    want = f"{'word ' * 30}end.\n{'more ' * 20}".strip()
+    lead = story.replace("<p>", '<p class="lead notice-free">')
+    nested = f'<section class="comments"><article class="comment"><p>{"nice " * 80}</p></article></section>'
+    forms = [f'<div style="overflow:hidden">{story}</div>', f'<article style="overflow:hidden">{story}</article>',
+             f'<div class="content with-sidebar">{story}</div>', f"<div>{lead}</div>", f'<section id="main-header-story">{story}</section>',
+             f'<div data-class="tags">{story}</div>', f"<script><!-- x=1; </script>{story}", f'<div class="header">{story}</div>',
+             f'<article><div class="post share-enabled">{story}</div></article>', f'<article>{story}{nested}</article>',
+             f'<form id="page"><nav><a>Home</a></nav><div>{story}</div></form>', f"<article>{story}<div hidden>unseen words</div></article>",
+             f'<div class="site-header">A B C D</div><div>{story}</div><div id="comments-area"><p>{"nice " * 20}</p></div>']
+    fitted = main_text.fit(iter([SHELL % f"<article>{STORY}</article>"] * 30))
+    for form in forms:
+        for weights in (fitted, main_text.Weights()):
+            assert main_text.main_text(SHELL % form, weights) == want, form
+    assert main_text.main_text("<nav>one two</nav><footer>three four five six</footer>", fitted) == ""
+    linked = SHELL % f'<article>{story}<p>See <a href="/item?id=share">the linked words</a></p></article>'
+    assert main_text.main_text(linked, fitted) == f"{want}\nSee the linked words"
+    deep = "<div class=ad>" * 20_000 + "x" + "</div>" * 20_000 + "<p>" * 20_000
+    assert main_text.main_text(deep, fitted) in ("", "x")
+
+
+def test_main_text_is_the_best_run_of_every_page(spark, small_dir, monkeypatch):
+    """Runs and texts against all pairs of ends, on given pages with and without their labels."""
+    pages = [r.html for r in spark.read.parquet(f"{small_dir}/pages.parquet").limit(20).collect()]
+    weights = main_text.fit(iter(pages))
+    calls, real = [], main_text.best_run
+    monkeypatch.setattr(main_text, "best_run", lambda scores: calls.append(scores) or real(scores))
+    for page in [*pages, *(p.replace("article", "div") for p in pages)]:
+        seen = main_text.items(page)
+        scores = main_text.scores_of(seen, weights)
+        low, high = max(((sum(scores[a:b]), -a, -b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)))[1:]
+        blocks = {}
+        for x in seen[-low:-high]:
+            if not x.dropped:
+                blocks[x.block] = blocks.get(x.block, "") + (" " if x.tag in ("br", "/br") else x.text)
+        want = [" ".join(v.split()) for _, v in sorted(blocks.items())]
+        assert main_text.main_text(page, weights) == "\n".join(filter(None, want))
+    assert len(calls) == 2 * len(pages)
+
+
 def test_best_run():
     assert main_text.best_run([1, -5, 2, 3, -1, 4, -9, 1]) == (2, 6)
     assert main_text.best_run([-1, -2]) == (0, 0) and main_text.best_run([]) == (0, 0)
