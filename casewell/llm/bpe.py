@@ -12,9 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from casewell.llm.common import space_pieces, text_batches
+from casewell.llm.common import PieceMemory, space_pieces, text_batches
 
-CACHE_PIECES = 1_000_000        # encoded pieces a worker remembers; later ones are encoded batch by batch
 TREE_CELLS = 1 << 20            # tree cells that one vectorised step holds
 LONG = 512                      # from this many bytes a pre-token gets a tree of its own
 NONE = np.int64(1) << 62        # no pair here
@@ -172,7 +171,7 @@ class Encoder:
     """Encodes texts piece by piece and remembers the pieces met so far, within a bound."""
 
     def __init__(self, merges: RankedMerges):
-        self.merges, self.inner = merges, {}
+        self.merges, self.memory = merges, PieceMemory()
 
     def _learn(self, store: dict[str, bytes], lead: str, missing: list[str]) -> None:
         words: dict[bytes, int] = {}
@@ -188,14 +187,13 @@ class Encoder:
         """Ids of every text as little-endian 32-bit bytes."""
         cut = [space_pieces(t) for t in texts]
         rest = [c[1:] for c in cut]
-        new = set().union(*rest).difference(self.inner)
-        known, first = self.inner, {}
-        if len(known) + len(new) > CACHE_PIECES:
-            known = {p: known[p] for p in set().union(*rest).difference(new)}   # for this batch only
-        self._learn(known, " ", list(new))
+        known, first = self.memory.known, {}
+        new = list(set().union(*rest).difference(known))
+        self._learn(known, " ", new)
         self._learn(first, "", list({c[0] for c in cut}))
         for c, r in zip(cut, rest):
             yield first[c[0]] + b"".join(map(known.__getitem__, r))
+        self.memory.settle(new)
 
 
 @lru_cache(maxsize=2)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -43,6 +44,35 @@ def space_pieces(text: str) -> list[str]:
     return _CUT.split(text) if _ODD_GAP.search(text) else text.split(" ")
 
 
+CACHE_BYTES = 160 << 20         # what a worker's memory of pieces may hold
+LONGEST_PIECE = 64              # characters of a piece that is worth remembering
+_SLOT_BYTES = 104               # a key's place in a dictionary that is two thirds full at least
+
+
+class PieceMemory:
+    """What a worker knows of pieces of text, within CACHE_BYTES.
+
+    A batch may add all it needs to ``known`` and then says ``settle``: pieces over LONGEST_PIECE characters (whole texts, where a
+    script has no spaces) and those that find no room leave again.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict = {}
+        self.held = 0
+
+    def _size(self, piece: str) -> int:
+        return sys.getsizeof(piece) + sys.getsizeof(self.known[piece]) + _SLOT_BYTES
+
+    def settle(self, new: Iterable[str]) -> None:
+        """Keeps or forgets the pieces that a batch has added."""
+        for piece in new:
+            size = self._size(piece)
+            if len(piece) > LONGEST_PIECE or self.held + size > CACHE_BYTES:
+                del self.known[piece]
+            else:
+                self.held += size
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.Array, list[str]]]:
     """Ids and texts of Arrow batches in small portions; a null text is empty."""
     for batch in batches:

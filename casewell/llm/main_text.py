@@ -113,8 +113,9 @@ class _Element:
 def items(page: str) -> list[Item]:
     """Tags and texts of a page in order; block numbers rise at block borders, furniture and labelled elements are marked.
 
-    An element that looks like furniture (by its kind alone: forms only) is none if it holds most of the words around it (of the page, or of the marked or
-    labelled element it stands in) and nearly all that are in no other furniture, or most words of the page's labelled elements.
+    An element that looks like furniture is none if it holds most words of the page's labelled elements or, unless its kind says
+    it (forms aside), most of the words around it and nearly all that are in no other furniture.  Around it is the page, or
+    the marked or labelled element that it stands in.
     """
     out: list[Item] = []
     stack: list[_Element] = []

@@ -14,11 +14,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from casewell.llm.common import keep, space_pieces, text_batches
+from casewell.llm.common import PieceMemory, keep, space_pieces, text_batches
 
 MAGIC = b"TPL1"
 BLOCK_IDS = 65_536
-CACHE_PIECES = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -41,7 +40,7 @@ class PieceEncoder:
         self.library = _tokenizer(spec)
         self.added = [t["content"] for t in layout.get("added_tokens", [])]
         self.by_piece = plain
-        self.inner: dict[str, bytes] = {}
+        self.memory = PieceMemory()
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, k in vocab.items():
@@ -68,14 +67,13 @@ class PieceEncoder:
         """Ids of every text as little-endian 32-bit bytes."""
         whole = [not self.by_piece or any(a in t for a in self.added) for t in texts]
         cut = [[] if w else space_pieces(t) for t, w in zip(texts, whole)]
-        used = set().union(*(c[1:] for c in cut))
-        new = used.difference(self.inner)
-        known = self.inner
-        if len(known) + len(new) > CACHE_PIECES:
-            known = {p: known[p] for p in used.difference(new)}                 # for this batch only
-        self._learn(known, list(new))
+        known = self.memory.known
+        new = list(set().union(*(c[1:] for c in cut)).difference(known))
+        self._learn(known, new)
         heads = self._ids([t if w else c[0] for t, w, c in zip(texts, whole, cut)])
-        return [h + b"".join(map(known.__getitem__, c[1:])) for h, c in zip(heads, cut)]
+        out = [h + b"".join(map(known.__getitem__, c[1:])) for h, c in zip(heads, cut)]
+        self.memory.settle(new)
+        return out
 
 
 @lru_cache(maxsize=2)

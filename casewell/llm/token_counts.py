@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -11,11 +13,10 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from casewell.llm.common import text_batches
-
-SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT = 2_000, 4_000, 50_000
-CACHE_PIECES = 1_500_000
+from casewell.llm.common import LONGEST_PIECE, PieceMemory, text_batches
 
+FREQUENT = 50_000               # pieces whose lengths every worker is sent
+COUNTED = 400_000               # pieces that a task counts at a time; the rarer half goes when there are more
 
 _CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
 _ODD_GAP = re.compile(r" (?: |\Z)|\A ")
@@ -26,10 +27,10 @@ def space_pieces(text: str) -> list[str]:
     return _CUT.split(text) if _ODD_GAP.search(text) else text.split(" ")
 
 
-@lru_cache(maxsize=2)
-def _worker_cache(proto: bytes) -> dict[str, int]:
-    """Lengths that this worker process has learned, within CACHE_PIECES."""
-    return {}
+@lru_cache(maxsize=1)
+def _memory(run: str) -> PieceMemory:
+    """Lengths that this worker process knows in a run; the broadcast table goes in once."""
+    return PieceMemory()
 
 
 @lru_cache(maxsize=2)
@@ -46,16 +47,32 @@ def piecewise(model: sentencepiece.SentencePieceProcessor) -> bool:
     return not inner and kept
 
 
-def frequent_lengths(docs: DataFrame, proto: bytes, text_col: str = "text", limit: int = FREQUENT) -> dict[str, int]:
-    """Token counts of the pieces most frequent in a bounded sample (SAMPLE_DOCS heads of SAMPLE_CHARS characters).
+def frequent_pieces(docs: DataFrame, text_col: str = "text", limit: int = FREQUENT) -> list[str]:
+    """The pieces most frequent in all texts, at most ``limit`` of at most LONGEST_PIECE characters.
 
-    It only saves work: a piece that is missing here is encoded by the worker that meets it.
+    Every task counts the pieces of its texts and hands on its ``limit`` most frequent; those lists are added up.  A task
+    that meets more than COUNTED pieces forgets the rarer half, so rare pieces may be missing: they are encoded by the workers.
     """
-    seen: Counter[str] = Counter()
-    for row in docs.select(F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS)).limit(SAMPLE_DOCS).toLocalIterator():
-        seen.update(space_pieces(row[0] or "")[1:])
-    common = [w for w, _ in seen.most_common(limit) if len(w) <= 64]
-    return dict(zip(common, map(len, _model(proto).encode(common, num_threads=1)))) if common else {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(space_pieces(text))
+                if len(seen) > COUNTED:
+                    seen = Counter(dict(_short(seen, COUNTED // 2)))
+        top = _short(seen, limit)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())],
+                                         ["piece", "n"])
+
+    text = F.col(text_col).cast("string")
+    counts = docs.where(text.isNotNull()).select(text.alias("text")).mapInArrow(count, "piece string, n bigint")
+    rows = counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(limit).collect()
+    return [r["piece"] for r in rows]
+
+
+def _short(seen: Counter[str], limit: int) -> list[tuple[str, int]]:
+    """The most frequent of the pieces that are short enough to be remembered."""
+    return Counter({p: n for p, n in seen.items() if len(p) <= LONGEST_PIECE}).most_common(limit)
 
 
 def count_tokens(docs: DataFrame, model_file: str, over: int = 4096, id_col: str = "doc_id",
@@ -63,8 +80,8 @@ def count_tokens(docs: DataFrame, model_file: str, over: int = 4096, id_col: str
     """Tokens of every whole text under a sentencepiece model, without begin and end marks.
 
     Result per row: ``doc_id``, ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (more than ``over`` tokens).
-    The first tier is a broadcast table of at most FREQUENT piece lengths; misses are encoded by the worker and kept in a
-    bounded cache.  There is no shuffle.  The library puts one space before a text, so every piece starts with one; a
+    The first tier is a broadcast table of at most FREQUENT piece lengths, the most frequent of all texts; misses are encoded by
+    the worker and kept in a memory bounded in bytes.  No piece is shuffled but the tasks' lists of frequent ones.  The library puts one space before a text, so every piece starts with one; a
     model whose entries could join two pieces encodes whole texts instead.
 
     Null texts count as empty (0 bytes, 0 tokens).  Repeated rows and null ids are kept; other columns are ignored;
@@ -74,23 +91,25 @@ def count_tokens(docs: DataFrame, model_file: str, over: int = 4096, id_col: str
         proto = f.read()
     context = docs.sparkSession.sparkContext
     by_piece = piecewise(_model(proto))
-    shared = context.broadcast((proto, frequent_lengths(docs, proto, text_col) if by_piece else {}))   # both bounded
+    frequent = frequent_pieces(docs, text_col) if by_piece else []
+    sizes = array("H", map(len, _model(proto).encode(frequent, num_threads=1))) if frequent else array("H")
+    shared = context.broadcast((proto, frequent, sizes))               # one model file, at most FREQUENT short pieces
+    run = uuid.uuid4().hex
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, frequent = shared.value
-        model, learned = _model(own), _worker_cache(own)
-        for piece, size in frequent.items():
-            learned.setdefault(piece, size)
+        own, pieces, lengths = shared.value
+        model, memory = _model(own), _memory(run)
+        known = memory.known
+        if pieces and pieces[0] not in known:
+            known.update(zip(pieces, lengths))
+            memory.settle(pieces)
         for keys, texts in text_batches(batches):
             # a written space mark is the same as a space to the library, so such texts are not cut
             cut = [space_pieces(t) if by_piece and t and "▁" not in t else [] for t in texts]
-            used = set().union(*cut)
-            new = list(used.difference(learned))
-            seen = learned
-            if len(learned) + len(new) > CACHE_PIECES:
-                seen = {p: learned[p] for p in used.difference(new)}            # for this batch only
-            seen.update(zip(new, map(len, model.encode(new, num_threads=1))))
-            counts = [sum(map(seen.__getitem__, c)) if c else len(model.encode(t)) for c, t in zip(cut, texts)]
+            new = list(set().union(*cut).difference(known))
+            known.update(zip(new, map(len, model.encode(new, num_threads=1))))
+            counts = [sum(map(known.__getitem__, c)) if c else len(model.encode(t)) for c, t in zip(cut, texts)]
+            memory.settle(new)
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
                  pa.array(counts, pa.int64()), pa.array([c > over for c in counts], pa.bool_())],

@@ -11,7 +11,7 @@ import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-from casewell.llm import bpe, plane_files, token_counts
+from casewell.llm import bpe, common, plane_files, token_counts
 
 R = random.Random(4)
 SIGNS = "ab  \n\t\x0b\x1c 　'sté1２#中🙂́ <|>▁ﬁ\x85 \r\x00"
@@ -61,3 +61,32 @@ def test_counts_equal_sentencepiece(spark):
     want = [(i, len((t or "").encode()), n := len(library.encode(t or "")), n > 20) for i, t, _ in rows]
     assert got == sorted(map(str, want))
     assert token_counts.count_tokens(docs.limit(0), P.path("piece_bpe_32k.model")).collect() == []
+
+
+def test_memory_of_pieces_is_bounded_in_bytes(monkeypatch):
+    """Texts without spaces and floods of short pieces: results stay right, what a worker keeps stays within the bound."""
+    monkeypatch.setattr(common, "CACHE_BYTES", 1 << 18)
+    spec = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ranks = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    planes = plane_files.PieceEncoder(spec)
+    merges = bpe._encoder(ranks, P.PATTERN).merges
+    own = bpe.Encoder(merges)
+    for k in range(40):
+        texts = ["x" + "".join(chr(0x4E00 + R.randrange(20_000)) for _ in range(100)) + " " + "中" * 300 + f" w{k} v{j}{k} u{j}"
+                 for j in range(250)]
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts[:5]]
+        assert planes.encode(texts)[:5] == want
+        assert list(own.encode(texts))[:5] == want
+    for memory in (planes.memory, own.memory):
+        assert memory.held <= 1 << 18 and memory.known and max(map(len, memory.known)) <= common.LONGEST_PIECE
+        assert memory.held == sum(memory._size(p) for p in memory.known)
+
+
+def test_frequent_pieces_cover_all_texts(spark):
+    """Frequent pieces are those of the whole table, of the ends of long texts too."""
+    rows = [(None,), ("",)] + [("a " * 5_000 + f"late{k % 7} end",) for k in range(60)]
+    docs = spark.createDataFrame(rows, "text string").repartition(4)
+    assert token_counts.frequent_pieces(docs, limit=2) == ["a", "end"]
+    assert token_counts.frequent_pieces(docs, limit=20) == ["a", "end", *(f"late{k}" for k in range(7)), ""]
+    assert token_counts.frequent_pieces(docs.limit(0)) == []
