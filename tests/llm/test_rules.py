@@ -68,6 +68,71 @@ def test_license_wording(spark):
     assert "free" in got[2].missing.split() and "fee" in got[2].added.split()
 
 
+def notices_of(text):
+    return [(n.license, text[a:a + size]) for a, size, n in license_scan.find(text)]
+
+
+def test_every_license_wording_is_told_from_its_kin():
+    """All templates, alone, inside other text and over blank lines, with a changed word, against the name they stand under."""
+    random.seed(3)
+    for name, forms in license_scan.TEMPLATES.items():
+        for form in forms:
+            assert notices_of(form) == [(name, form)]
+            assert notices_of(f"Some text before it, of all kinds. {form} And more text after.") == [(name, form)]
+            words = form.split(" ")
+            half = len(words) // 2
+            folded = " ".join(words[:half]) + "\n\n# " + "\n * ".join(words[half:])
+            assert [x[0] for x in notices_of(f"word\n\n{folded}\n\nend")] == [name]
+            assert [x[0] for x in notices_of(f"{form}\n{form.upper()} {form}")] == [name] * 3
+            plain = license_scan.words_of(form)
+            if len(plain) > 20:
+                loose = [k for k in range(1, len(plain) - 1) if not license_scan._decides(plain, k)]
+                changed = list(plain)
+                changed[random.choice(loose)] = "otherwise"
+                assert [x[0] for x in notices_of(" ".join(changed))] == [name], changed
+
+
+def test_other_versions_and_modifiers_are_no_notice_of_a_license():
+    long = {name: forms[-1] for name, forms in license_scan.TEMPLATES.items()}
+    assert notices_of(long["GPL-3.0"].replace("version 3", "version 4")) == []
+    assert notices_of(long["LGPL-2.1"].replace("version 2.1", "version 2.2")) == []
+    assert notices_of("Licensed under CC BY 3.0. Licensed under the Apache License, Version 1.1. This is not licensed under CC BY 4.0.") == []
+    assert notices_of("All rights reserved. Licensed under CC BY 4.0.") == [
+        ("All-Rights-Reserved", "All rights reserved."), ("CC-BY-4.0", "Licensed under CC BY 4.0.")]
+    assert notices_of("all the rights are reserved; a driving license, copyright and permission is needed") == []
+    gap = long["MIT"].replace("conditions: The", "conditions:\n\nThe")
+    assert notices_of("Copyright (c) 2024 Us\n\n" + gap) == [("MIT", gap)]
+
+
+def brute_notices(text):
+    """Every template over every hint place by word differences alone; the one with most words in place wins."""
+    words, out, low = license_scan.words_of(text), [], 0
+    for here in range(len(words)):
+        best = None
+        for t in license_scan._templates():
+            first = max(low, here - t.reach)
+            found = license_scan.differences(t.words, words[first:here + t.reach])
+            if here >= low and found and first + found[3] <= here < first + found[4]:
+                best = max(best or (0,), (round(found[0] * len(t.words)), t.license, first + found[3], first + found[4]))
+        if best:
+            out.append(best[1:])
+            low = best[3]
+    return out
+
+
+def test_hints_and_savings_lose_no_notice():
+    random.seed(9)
+    forms = [f for forms in license_scan.TEMPLATES.values() for f in forms]
+    for _ in range(25):
+        parts = []
+        for form in random.sample(forms, 3):
+            parts += [" ".join(random.choices("lorem ipsum the of and copyright license granted this software any".split(), k=random.randint(5, 40)))]
+            parts += [" ".join(w for w in form.split(" ") if random.random() > 0.03)]
+        text = "\n".join(parts)
+        got = list(license_scan.notices(license_scan.words_of(text)))
+        assert sorted(x.license for x in got) == sorted(x[0] for x in brute_notices(text)), text
+
+
 def test_url_lists(spark, small_dir):
     assert difference(queries.url_captures(spark, small_dir), connect(small_dir), queries.ORACLE["op9_url_lists"]) is None
     day = datetime.date
