@@ -162,7 +162,7 @@ e as (
   union select array_to_string(string_split(host, '.')[-3:], '.'), 'add', 'block', date '2024-01-01' + (h % 180 + 30)::int
   from h where h % 64 = 1),
 i as (
-  select lower(pattern) as pattern, action, verdict, dated as valid_from, lead(dated) over (partition by lower(pattern)
+  select pattern, action, verdict, dated as valid_from, lead(dated) over (partition by pattern
     order by dated, action = 'add', verdict) as valid_to from e),
 m as (
   select p.page_id, p.url, i.pattern, i.verdict, row_number() over (partition by p.page_id, p.url
