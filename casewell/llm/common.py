@@ -53,24 +53,29 @@ class PieceMemory:
     """What a worker knows of pieces of text, within CACHE_BYTES.
 
     A batch may add all it needs to ``known`` and then says ``settle``: pieces over LONGEST_PIECE characters (whole texts, where a
-    script has no spaces) and those that find no room leave again.
+    script has no spaces) and batches that find no room leave again.
     """
 
     def __init__(self) -> None:
         self.known: dict = {}
         self.held = 0
 
-    def _size(self, piece: str) -> int:
-        return sys.getsizeof(piece) + sys.getsizeof(self.known[piece]) + _SLOT_BYTES
+    def size(self, pieces: Iterable[str]) -> int:
+        """Bytes that pieces take with what is known of them."""
+        pieces = list(pieces)
+        return (sum(map(sys.getsizeof, pieces)) + sum(map(sys.getsizeof, map(self.known.__getitem__, pieces)))
+                + _SLOT_BYTES * len(pieces))
 
     def settle(self, new: Iterable[str]) -> None:
-        """Keeps or forgets the pieces that a batch has added."""
+        """Keeps or forgets the pieces that a batch has added: the short ones stay if there is room for all of them."""
+        short = [p for p in new if len(p) <= LONGEST_PIECE]
+        size = self.size(short)
+        stay = self.held + size <= CACHE_BYTES
+        if stay:
+            self.held += size
         for piece in new:
-            size = self._size(piece)
-            if len(piece) > LONGEST_PIECE or self.held + size > CACHE_BYTES:
+            if not stay or len(piece) > LONGEST_PIECE:
                 del self.known[piece]
-            else:
-                self.held += size
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[tuple[pa.Array, list[str]]]:

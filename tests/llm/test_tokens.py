@@ -80,7 +80,7 @@ def test_memory_of_pieces_is_bounded_in_bytes(monkeypatch):
         assert list(own.encode(texts))[:5] == want
     for memory in (planes.memory, own.memory):
         assert memory.held <= 1 << 18 and memory.known and max(map(len, memory.known)) <= common.LONGEST_PIECE
-        assert memory.held == sum(memory._size(p) for p in memory.known)
+        assert memory.held == memory.size(memory.known)
 
 
 def test_frequent_pieces_cover_all_texts(spark):
