@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from casewell.functions.similarity import partial_score, token_sort_score
 from casewell.functions.text import not_blank, place_name, round_half_up
@@ -21,31 +21,57 @@ LEVEL_COLUMNS = {
 OUTPUT = ("pcode_assigned", "match_level", "match_score", "matched_name", "geo_lat", "geo_lon")
 
 
-def gazetteer_index(gazetteer: DataFrame, mapping: dict[str, str] | None = None, order: str = "ref_row") -> DataFrame:
-    """``(level, norm, pcode, name, lat, lon, cand_order)``: one entry per level and name.
+def _entries(gazetteer: DataFrame, mapping: dict[str, str] | None, order: str, within: bool) -> DataFrame:
+    """One row per gazetteer row and level: ``(row, lat, lon, level, place, name, pcode, norm)``.
 
-    ``mapping`` gives the gazetteer's column for each role; ``order`` is its row order.
+    ``place`` is where the name is looked up: the level, or with ``within`` the level alone and under each coarser place.
     """
     roles = mapping or {r: r for r in gazetteer.columns}
     col = lambda role: F.col(roles[role]) if roles.get(role) in gazetteer.columns else F.lit(None)
     lat, lon = col("lat" if "lat" in roles else "latitude"), col("long" if "long" in roles else "longitude")
-    levels = [
-        F.struct(F.lit(level).alias("level"), col(name).cast("string").alias("name"),
-                 col(code).cast("string").alias("pcode"))
-        for level, (name, code) in LEVEL_COLUMNS.items()
-        if roles.get(name) in gazetteer.columns and roles.get(code) in gazetteer.columns
-    ]
+    found = [(level, col(name).cast("string"), col(code).cast("string")) for level, (name, code) in LEVEL_COLUMNS.items()
+             if roles.get(name) in gazetteer.columns and roles.get(code) in gazetteer.columns]
+    levels = []
+    for k, (level, name, code) in enumerate(found):
+        own = F.lit(level)
+        places = [own, *[_under(own, F.lit(up), up_code) for up, _, up_code in found[k + 1:] if within]]
+        levels += [F.struct(own.alias("level"), place.alias("place"), name.alias("name"), code.alias("pcode")) for place in places]
     entries = gazetteer.select(
         F.col(order).cast("bigint").alias("row"), lat.try_cast("double").alias("lat"),
         lon.try_cast("double").alias("lon"), F.inline(F.array(*levels)))
-    entries = (entries.withColumn("norm", place_name(F.col("name")))
-               .where((F.col("norm") != "") & (F.col("pcode") != "")))
+    return (entries.withColumn("norm", place_name(F.col("name")))
+            .where((F.col("norm") != "") & (F.col("pcode") != "") & F.col("place").isNotNull()))
+
+
+def _under(level: Column, parent_level: Column, parent_code: Column) -> Column:
+    """Key of the names of a level below one place; null without a code."""
+    return F.when(parent_code != "", F.concat(level, F.lit("\n"), parent_level, F.lit("\n"), parent_code))
+
+
+def _one_per_name(entries: DataFrame) -> DataFrame:
     rank = F.when(F.col("level") == MATCH_LEVELS[0], -F.col("row")).otherwise(F.col("row"))
-    return (entries.groupBy("level", "norm")
+    return (entries.groupBy(F.col("place").alias("level"), "norm")
             .agg(F.min_by(F.struct("pcode", "name", "lat", "lon"), rank).alias("v"), F.min("row").alias("cand_order"))
             .select("level", "norm", "v.*", "cand_order"))
 
 
+def gazetteer_index(gazetteer: DataFrame, mapping: dict[str, str] | None = None, order: str = "ref_row") -> DataFrame:
+    """``(level, norm, pcode, name, lat, lon, cand_order)``: one entry per level and name.
+
+    ``mapping`` gives the gazetteer's column for each role; ``order`` is its row order.
+    """
+    return _one_per_name(_entries(gazetteer, mapping, order, within=False))
+
+
+def nested_index(gazetteer: DataFrame, mapping: dict[str, str] | None = None, order: str = "ref_row") -> DataFrame:
+    """As ``gazetteer_index``, one entry per name for each level and for each place above it.
+
+    ``level`` names the level alone or with the place above, so names of two districts are two entries there; a row gives ten
+    entries at most.  For ``geocode_nested``.
+    """
+    return _one_per_name(_entries(gazetteer, mapping, order, within=True))
+
+
 def _probe_names(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Distinct ``(level, norm)`` of the place columns."""
     levels = [F.struct(F.lit(level).alias("level"), place_name(F.col(c).cast("string")).alias("norm"))
@@ -102,6 +128,41 @@ def geocode_exact(df: DataFrame, index: DataFrame, columns: dict[str, str]) -> D
     return attach_matches(df, index.withColumn("score", F.lit(100.0)), columns)
 
 
+def geocode_nested(df: DataFrame, index: DataFrame, columns: dict[str, str], threshold: float = 80.0, exact: bool = False) -> DataFrame:
+    """The six match columns by a cascade in which places lie inside each other; ``index`` is a ``nested_index``.
+
+    Levels are settled from the coarsest to the finest.  A name is looked up among the names below the finest place found so
+    far for its row, and among all names of its level while none is found; so a name that several districts share goes to the
+    row's own, and a name that its district lacks leaves the row at the district.  Equal names, then scores, as in ``match_names``
+    (``exact``: equal names only).  Blank names are passed over.
+
+    Only distinct combinations of names are settled, whatever the number of cases: a level costs one match of names that differ
+    in text or in the place above.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    levels = [level for level in MATCH_LEVELS if level in columns]
+    key = {level: f"_p{i}" for i, level in enumerate(levels)}
+    named = df
+    for level in levels:
+        raw = F.col(columns[level]).cast("string")
+        named = named.withColumn(key[level], F.coalesce(F.when(not_blank(raw), place_name(raw)), F.lit("")))
+    paths = named.select(*key.values()).distinct().withColumn("_m", F.lit(None).cast(
+        "struct<pcode:string,level:string,score:double,name:string,lat:double,lon:double>"))
+    index = index.checkpoint()
+    for level in reversed(levels):
+        inside = _under(F.lit(level), F.col("_m.level"), F.col("_m.pcode"))
+        paths = paths.withColumn("_place", F.coalesce(inside, F.lit(level))).checkpoint()
+        probes = paths.select(F.col("_place").alias("level"), F.col(key[level]).alias("norm")).where("norm <> ''").distinct()
+        hits = index.withColumn("score", F.lit(100.0)) if exact else match_names(probes, index, threshold)
+        hits = hits.select(F.col("level").alias("_at"), "norm", F.struct(
+            "pcode", F.lit(level).alias("level"), F.col("score").cast("double").alias("score"), "name",
+            F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).alias("_hit"))
+        paths = paths.join(hits, (F.col("_place") == F.col("_at")) & (F.col(key[level]) == F.col("norm")), "left").select(
+            *key.values(), F.coalesce("_hit", "_m").alias("_m"))
+    out = named.join(paths, list(key.values()), "left")
+    return _spread(out.withColumn("_m", F.coalesce("_m", _no_match()))).drop(*key.values())
+
+
 def attach_matches(df: DataFrame, matches: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Look every level up and keep the finest hit."""
     picks = []
@@ -117,11 +178,17 @@ def attach_matches(df: DataFrame, matches: DataFrame, columns: dict[str, str]) -
         out = out.withColumn(f"_k{i}", F.when(not_blank(raw), place_name(raw)))
         out = out.join(side, F.col(f"_k{i}") == F.col(f"_n{i}"), "left").drop(f"_n{i}", f"_k{i}")
         picks.append(hit)
-    none = F.struct(F.lit(None).cast("string").alias("pcode"), F.lit(UNMATCHED).alias("level"),
+    return _spread(out.withColumn("_m", F.coalesce(*[F.col(p) for p in picks], _no_match())).drop(*picks))
+
+
+def _no_match() -> Column:
+    return F.struct(F.lit(None).cast("string").alias("pcode"), F.lit(UNMATCHED).alias("level"),
                     F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("name"),
                     F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
-    m = F.coalesce(*[F.col(p) for p in picks], none)
-    out = out.withColumn("_m", m).drop(*picks)
+
+
+def _spread(out: DataFrame) -> DataFrame:
+    """The fields of ``_m`` as the output columns."""
     for name, part in zip(OUTPUT, ("pcode", "level", "score", "name", "lat", "lon")):
         out = out.withColumn(name, F.col("_m").getField(part))
     return out.drop("_m")

@@ -95,8 +95,10 @@ def clean(df: DataFrame, gazetteer: DataFrame | None = None, cfg: CleaningConfig
     if geocoded:
         places = binding.place_columns(content, tags)
         roles = binding.gazetteer_roles([c for c in gazetteer.columns if c != "ref_row"], cfg.gazetteer_mapping)
-        index = geocode.gazetteer_index(gazetteer, roles)
-        df = geocode.geocode(df, index, places, cfg.geocode_threshold)
+        if cfg.geocode_nested:
+            df = geocode.geocode_nested(df, geocode.nested_index(gazetteer, roles), places, cfg.geocode_threshold)
+        else:
+            df = geocode.geocode(df, geocode.gazetteer_index(gazetteer, roles), places, cfg.geocode_threshold)
         tables["geocode_summary"] = geocode.geocode_summary(df)
         tables["gazetteer"] = gazetteer
 

@@ -225,6 +225,11 @@ def geocode_cascade(s, d):
     return out.select("row_id", *geocode.OUTPUT).withColumn("match_score", round_half_up(F.col("match_score"), 1))
 
 
+def _nested(s, d, exact):
+    out = geocode.geocode_nested(_places_only(s, d), geocode.nested_index(gazetteer(s, d)), PLACES, exact=exact)
+    return out.select("row_id", *geocode.OUTPUT).withColumn("match_score", round_half_up(F.col("match_score"), 1))
+
+
 def geocode_summary(s, d):
     return geocode.geocode_summary(geocode.geocode(_places_only(s, d), gazetteer_index(s, d), PLACES))
 
@@ -437,6 +442,8 @@ QUERIES = {
     "geocode_exact": geocode_exact,
     "geocode_fuzzy": geocode_fuzzy,
     "geocode_cascade": geocode_cascade,
+    "geocode_nested": lambda s, d: _nested(s, d, exact=False),
+    "geocode_nested_exact": lambda s, d: _nested(s, d, exact=True),
     "geocode_summary": geocode_summary,
     "exact_duplicates": exact_duplicates,
     "duplicate_ids": duplicate_ids,

@@ -35,6 +35,7 @@ class CleaningConfig:
     compute_epi_weeks: bool = True
     geocode: bool = True
     geocode_threshold: float = 80.0
+    geocode_nested: bool = False             # look names up below the place found one level up
     gazetteer_mapping: dict[str, str] = field(default_factory=dict)
     standardize_sex: bool = True
     standardize_outcomes: bool = True

@@ -242,31 +242,66 @@ def _partial(s: str, l: str) -> str:
     return f"list_max(list_transform({windows}, lambda w: {_ratio(s, 'w')}))"
 
 
-FUZZY = f"""{CASES}, {INDEX},
- probe as materialized (select distinct * from ({_union(f"select '{lvl}' as level, {_place(col)} as norm from c" for lvl, col, _, _ in LEVELS)}) p where norm <> ''),
- residual as materialized (select * from probe anti join idx using (level, norm)),
- srt as materialized (select level, norm, {_sorted('norm')} as s from (select level, norm from residual union select level, norm from idx) u),
- sortpair as materialized (select r.level, r.norm, i.norm as cand, i.cand_order, {_ratio('a.s', 'b.s')} as score
-   from residual r join idx i on r.level = i.level join srt a on a.level = r.level and a.norm = r.norm
-   join srt b on b.level = i.level and b.norm = i.norm
+def _scored(n: str = "", idx: str = "idx") -> str:
+    """Matches ``hit{n}`` of the names in ``probe{n}`` among the entries ``idx``."""
+    return f"""residual{n} as materialized (select * from probe{n} anti join {idx} using (level, norm)),
+ srt{n} as materialized (select level, norm, {_sorted('norm')} as s from (select level, norm from residual{n} union select level, norm from {idx}) u),
+ sortpair{n} as materialized (select r.level, r.norm, i.norm as cand, i.cand_order, {_ratio('a.s', 'b.s')} as score
+   from residual{n} r join {idx} i on r.level = i.level join srt{n} a on a.level = r.level and a.norm = r.norm
+   join srt{n} b on b.level = i.level and b.norm = i.norm
    where 2.0 * least(length(a.s), length(b.s)) >= 0.799 * (length(a.s) + length(b.s))),
- bysort as materialized (select level, norm, cand, score, row_number() over (partition by level, norm order by score desc, cand_order) as rn
-   from sortpair where score >= 80 - 1e-9),
- rest as materialized (select * from residual anti join (select level, norm from bysort) b using (level, norm)),
- pairs as materialized (select r.level, r.norm, i.norm as cand, i.cand_order,
+ bysort{n} as materialized (select level, norm, cand, score, row_number() over (partition by level, norm order by score desc, cand_order) as rn
+   from sortpair{n} where score >= 80 - 1e-9),
+ rest{n} as materialized (select * from residual{n} anti join (select level, norm from bysort{n}) b using (level, norm)),
+ pairs{n} as materialized (select r.level, r.norm, i.norm as cand, i.cand_order,
      case when length(r.norm) <= length(i.norm) then r.norm else i.norm end as s,
      case when length(r.norm) <= length(i.norm) then i.norm else r.norm end as l
-   from rest r join idx i on r.level = i.level),
- partpair as materialized (select *, greatest({_partial('s', 'l')}, case when length(s) = length(l) then {_partial('l', 's')} else 0 end) as score from pairs),
- bypart as materialized (select level, norm, cand, score, row_number() over (partition by level, norm order by score desc, cand_order) as rn
-   from partpair where score >= 85 - 1e-9),
- found as materialized (
-   select level, norm, norm as cand, 100.0::double as score from probe semi join idx using (level, norm)
-   union all select level, norm, cand, score from bysort where rn = 1
-   union all select level, norm, cand, score from bypart where rn = 1),
- hit as materialized (select f.level, f.norm, f.score, i.pcode, i.name, i.lat, i.lon from found f join idx i on i.level = f.level and i.norm = f.cand),
+   from rest{n} r join {idx} i on r.level = i.level),
+ partpair{n} as materialized (select *, greatest({_partial('s', 'l')}, case when length(s) = length(l) then {_partial('l', 's')} else 0 end) as score from pairs{n}),
+ bypart{n} as materialized (select level, norm, cand, score, row_number() over (partition by level, norm order by score desc, cand_order) as rn
+   from partpair{n} where score >= 85 - 1e-9),
+ found{n} as materialized (
+   select level, norm, norm as cand, 100.0::double as score from probe{n} semi join {idx} using (level, norm)
+   union all select level, norm, cand, score from bysort{n} where rn = 1
+   union all select level, norm, cand, score from bypart{n} where rn = 1),
+ hit{n} as materialized (select f.level, f.norm, f.score, i.pcode, i.name, i.lat, i.lon from found{n} f join {idx} i on i.level = f.level and i.norm = f.cand)"""
+
+
+FUZZY = f"""{CASES}, {INDEX},
+ probe as materialized (select distinct * from ({_union(f"select '{lvl}' as level, {_place(col)} as norm from c" for lvl, col, _, _ in LEVELS)}) p where norm <> ''),
+ {_scored()},
  coded as ({_attach('c', 'hit')})"""
 
+
+def _nested(exact: bool) -> str:
+    """The cascade from the coarsest level down, names looked up below the place found so far."""
+    entries = []
+    for k, (lvl, _, name, code) in enumerate(LEVELS):
+        places = [f"'{lvl}'", *[f"case when {up[3]} <> '' then '{lvl}' || chr(10) || '{up[0]}' || chr(10) || {up[3]} end" for up in LEVELS[k + 1:]]]
+        entries += [f"select {place} as level, {_place(name)} as norm, {code} as pcode, {name} as name, latitude as lat, longitude as lon, "
+                    f"ref_row as r, {'-ref_row' if lvl == 'Locality' else 'ref_row'} as pref from g" for place in places]
+    steps = [f"""nent as (select *, row_number() over (partition by level, norm order by pref) as rn, min(r) over (partition by level, norm) as cand_order
+       from ({_union(entries)}) e where level is not null and norm <> '' and pcode <> ''),
+     nidx as materialized (select level, norm, pcode, name, lat, lon, cand_order from nent where rn = 1),
+     named as materialized (select row_id, {', '.join(f"coalesce(case when trim({col}) <> '' then {_place(col)} end, '') as p{i}" for i, (_, col, _, _) in enumerate(LEVELS))} from c),
+     path4 as materialized (select distinct p0, p1, p2, p3, null::varchar as pcode, null::varchar as lvl, null::double as score, null::varchar as name,
+       null::double as lat, null::double as lon from named)"""]
+    for i in (3, 2, 1, 0):
+        level = LEVELS[i][0]
+        steps.append(f"at{i} as materialized (select *, coalesce('{level}' || chr(10) || lvl || chr(10) || pcode, '{level}') as place from path{i + 1})")
+        if exact:
+            steps.append(f"hit{i} as (select *, 100.0::double as score from nidx)")
+        else:
+            steps.append(f"probe{i} as materialized (select distinct place as level, p{i} as norm from at{i} where p{i} <> '')")
+            steps.append(_scored(str(i), "nidx"))
+        pick = ", ".join(f"case when h.pcode is not null then {new} else a.{old} end as {old}" for new, old in (
+            ("h.pcode", "pcode"), (f"'{level}'", "lvl"), ("h.score", "score"), ("h.name", "name"), ("h.lat", "lat"), ("h.lon", "lon")))
+        steps.append(f"path{i} as materialized (select p0, p1, p2, p3, {pick} from at{i} a left join hit{i} h on h.level = a.place and h.norm = a.p{i})")
+    return (f"{CASES}, {GAZ}, {', '.join(steps)} select row_id, pcode as pcode_assigned, coalesce(lvl, 'Unmatched') as match_level, "
+            f"{_round('coalesce(score, 0.0::double)', 1)} as match_score, name as matched_name, lat as geo_lat, lon as geo_lon "
+            "from named join path0 using (p0, p1, p2, p3)")
+
+
 # --- duplicates ------------------------------------------------------------
 CONTENT = CASE_COLUMNS[1:]
 _FILLED = " + ".join(f"(case when {c} is not null then 1 else 0 end)" for c in CONTENT)
@@ -471,6 +506,7 @@ def build() -> dict[str, str]:
     q["geocode_exact"] = f"{EXACT} select {out} from coded"
     q["geocode_fuzzy"] = f"{FUZZY} select level, norm, pcode, {_round('score', 1)} as score from hit"
     q["geocode_cascade"] = f"{FUZZY} select {out.replace('match_score', _round('match_score', 1) + ' as match_score')} from coded"
+    q["geocode_nested"], q["geocode_nested_exact"] = _nested(exact=False), _nested(exact=True)
     lv = _list([l[0] for l in LEVELS] + ["Unmatched"])
     q["flagship"] = (f"{FUZZY}, w as materialized (select match_level, {_week('onset')} as week, count(*) as cases "
                      f"from (select match_level, {_date('date_onset')} as onset from coded) y where onset is not null group by all), "

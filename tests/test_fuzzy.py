@@ -167,6 +167,24 @@ def test_cascade(spark):
     assert summary == {"Locality": 2, "Admin3_Ward": 1, "Admin2_LGA": 1, "Admin1_State": 1, "Unmatched": 1}
 
 
+def test_nested_cascade_tells_districts_apart(spark):
+    columns = "row bigint, admin1_name string, admin1_pcode string, admin2_name string, admin2_pcode string, locality_name string, locality_pcode string"
+    gaz = spark.createDataFrame([(1, "Borno", "B", "Jere", "B1", "Sabon Gari", "B1a"), (2, "Kano", "K", "Gwale", "K1", "Sabon Gari", "K1a"),
+                                 (3, "Kano", "K", "Jere", "K2", "Dala Garden", "K2a"), (4, "Kano", "K", "Fagge", None, "Fagge Town", "K3a")], columns)
+    rows = [(1, "Sabon Gari", "Jere", "Borno"), (2, "Sabon Gari", None, "Kano"), (3, "Sabon Gari", " ", None), (4, "Sabbon Gari", "Gwale", "Kano"),
+            (5, "Dala Garden", "Jere", "Borno"), (6, "Dala Garden", "Jere", "Kano State"), (7, None, "Jere", "Elsewhere"), (8, None, None, None),
+            (9, "Fagge Town", "Fagge", "Kano"), (2, "Sabon Gari", None, "Kano")]
+    df = spark.createDataFrame(rows, "row_id bigint, locality string, admin2 string, admin1 string")
+    index = geocode.nested_index(gaz, order="row")
+    where = {"Locality": "locality", "Admin2_LGA": "admin2", "Admin1_State": "admin1"}
+    got = sorted((r.row_id, r.pcode_assigned, r.match_level) for r in geocode.geocode_nested(df, index, where).collect())
+    assert got == [(1, "B1a", "Locality"), (2, "K1a", "Locality"), (2, "K1a", "Locality"), (3, "K1a", "Locality"), (4, "K1a", "Locality"),
+                   (5, "B1", "Admin2_LGA"), (6, "K2a", "Locality"), (7, "B1", "Admin2_LGA"), (8, None, "Unmatched"), (9, "K3a", "Locality")]
+    exact = {r.row_id: r.pcode_assigned for r in geocode.geocode_nested(df, index, where, exact=True).collect()}
+    assert exact[4] == "K1" and exact[6] == "B1"
+    assert geocode.geocode_nested(df.limit(0), index, where, exact=True).columns == [*df.columns, *geocode.OUTPUT]
+
+
 def test_dense_number_over_ranges(spark):
     df = spark.range(0, 400, 7).withColumn("k", F.col("id") * 3).repartition(6)
     rows = dense_number(df, "k").orderBy("k").collect()
