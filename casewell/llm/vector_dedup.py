@@ -13,43 +13,62 @@ from pyspark.sql import DataFrame, functions as F
 from casewell.llm.common import keep
 from casewell.llm.components import connected_components
 
-TREES = 6
-SPILL = 0.02                    # half width of the overlap at a split, in units of the projection of unit vectors
+TREES = 6                       # at least; more with more levels, see trees_for
+SHARED = 0.93                   # least chance that a linked pair stays together at a split
+MISSED = 0.015                  # aim for the share of linked pairs that no tree keeps together
+MOST_LEVELS = 36
+SPILL = 0.08                    # half width of the overlap at a split, in deviations of the projections (1 / sqrt(dimensions))
 LEAF_ROWS = 512                 # expected rows of a leaf
 BLOCK_ROWS = 1024               # rows of a leaf that a task compares at a time
 SAMPLE_ROWS = 100_000           # vectors that the split values are fitted on
 
 
-def fit_forest(sample: np.ndarray, rows: int, trees: int, leaf_rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Directions [tree, level, dim] and split values [tree, node] of complete trees.
+def levels_for(rows: int, leaf_rows: int) -> int:
+    """Levels at which leaves hold about ``leaf_rows`` of so many rows."""
+    return max(0, min(MOST_LEVELS, math.ceil(math.log2(max(1, rows) / leaf_rows))))
 
-    All nodes of a level share a direction; a node splits at the median of the sample's vectors in it, so that the
-    number of levels follows the number of rows and leaves stay about ``leaf_rows`` large.
+
+def trees_for(levels: int) -> int:
+    """Trees that make up for the pairs that so many splits part."""
+    return max(TREES, math.ceil(math.log(MISSED) / math.log1p(-SHARED ** levels))) if levels else TREES
+
+
+def fit_forest(sample: np.ndarray, rows: int, trees: int | None, leaf_rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions [tree, level, dim], split values [tree, node] of the upper levels and [tree, level] of those below.
+
+    All nodes of a level share a direction, and the number of levels follows the number of rows.  A node splits at the median
+    of the sample's vectors in it while some eight are left there; below, where the sample says nothing of single nodes, all nodes
+    of a level split at the median of the whole sample, so the forest stays small however many rows there are.
     """
-    levels = max(0, min(24, math.ceil(math.log2(max(1, rows) / leaf_rows))))
-    levels = min(levels, max(0, int(math.log2(max(1, len(sample)) / 8))))
+    levels = levels_for(rows, leaf_rows)
+    upper = min(levels, max(0, int(math.log2(max(1, len(sample)) / 8))))
+    trees = trees or trees_for(levels)
     random = np.random.default_rng(seed)
     directions = random.standard_normal((trees, levels, sample.shape[1]))
     directions /= np.linalg.norm(directions, axis=2, keepdims=True)
-    splits = np.zeros((trees, 1 << levels))
+    splits, below = np.zeros((trees, 1 << upper)), np.zeros((trees, levels))
     for t in range(trees):
         node = np.ones(len(sample), dtype=np.int64)
         for level in range(levels):
             seen = sample @ directions[t, level]
+            if level >= upper:
+                below[t, level] = np.median(seen) if len(seen) else 0.0
+                continue
             order = np.lexsort((seen, node))
             names, first, size = np.unique(node[order], return_index=True, return_counts=True)
             splits[t, names] = seen[order[first + size // 2]]
             node = 2 * node + (seen > splits[t, node])
-    return directions, splits
+    return directions, splits, below
 
 
-def leaves_of(vectors: np.ndarray, directions: np.ndarray, splits: np.ndarray, spill: float) -> list[np.ndarray]:
+def leaves_of(vectors: np.ndarray, directions: np.ndarray, splits: np.ndarray, below: np.ndarray, spill: float) -> list[np.ndarray]:
     """For each tree an array [2, n]: row of the vector and the leaf; a vector near a split goes to both sides."""
     out = []
+    upper = splits.shape[1].bit_length() - 1
     for t in range(directions.shape[0]):
         rows, node = np.arange(len(vectors)), np.ones(len(vectors), dtype=np.int64)
         for level in range(directions.shape[1]):
-            away = (vectors @ directions[t, level])[rows] - splits[t, node]
+            away = (vectors @ directions[t, level])[rows] - (splits[t, node] if level < upper else below[t, level])
             both = np.abs(away) <= spill
             node = np.concatenate((2 * node + (away > 0), 2 * node[both] + (away[both] <= 0)))
             rows = np.concatenate((rows, rows[both]))
@@ -105,7 +124,7 @@ def unit_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, good
 
 
-def near_duplicates(table: DataFrame, least: float = 0.95, trees: int = TREES, spill: float = SPILL, leaf_rows: int = LEAF_ROWS,
+def near_duplicates(table: DataFrame, least: float = 0.95, trees: int | None = None, spill: float | None = None, leaf_rows: int = LEAF_ROWS,
                     id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 17) -> DataFrame:
     """Groups of vectors linked by a cosine of ``least`` or more: ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
@@ -115,7 +134,8 @@ def near_duplicates(table: DataFrame, least: float = 0.95, trees: int = TREES, s
     first alone, and no pair ever leaves a task: a block returns per vector a count and the lowest vector it reaches, which
     joins a block's links into stars.
 
-    The split values are fitted on at most SAMPLE_ROWS vectors; every vector is indexed.  Null, zero and non-finite vectors
+    The split values are fitted on at most SAMPLE_ROWS vectors; every vector is indexed.  The levels follow the rows and the trees the
+    levels, unless ``trees`` are given; ``spill`` is the half width of the overlap, by default SPILL deviations.  Null, zero and non-finite vectors
     have no links and are their own component; vectors of unequal length are compared as if padded with zeros; equal
     ids are one vector if their values agree and separate ones otherwise (their components then share the id); null ids
     are kept and never name a component.  Other columns are ignored; an empty table gives an empty result.
@@ -141,16 +161,17 @@ def near_duplicates(table: DataFrame, least: float = 0.95, trees: int = TREES, s
     sample = np.zeros((len(taken), width // 8))
     for k, v in enumerate(taken):
         sample[k, :len(v)] = v
-    forest = spark.sparkContext.broadcast(fit_forest(sample, number, trees, leaf_rows, seed))      # levels follow the sample
+    overlap = SPILL / math.sqrt(max(1, width // 8)) if spill is None else spill
+    forest = spark.sparkContext.broadcast(fit_forest(sample, number, trees, leaf_rows, seed))      # bounded by the sample
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        directions, splits = forest.value
+        directions, splits, below = forest.value
         for batch in batches:
             units = np.zeros((batch.num_rows, width // 8))
             for k, cell in enumerate(batch.column(1).to_pylist()):
                 units[k, :len(cell) // 8] = np.frombuffer(cell, dtype="<f8")
             mine: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for t, (at, leaf) in enumerate(leaves_of(units, directions, splits, spill)):
+            for t, (at, leaf) in enumerate(leaves_of(units, directions, splits, below, overlap)):
                 for k, x in zip(at.tolist(), (leaf + (t << 40)).tolist()):
                     mine[k].append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(set(m)) for m in mine], pa.list_(pa.int64()))],

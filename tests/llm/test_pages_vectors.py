@@ -118,3 +118,37 @@ def test_chains_stay_whole(spark):
     rows = [(i, [float(np.cos(k * np.pi / 18)), float(np.sin(k * np.pi / 18)), 0.0]) for k, i in enumerate(ids)][:30]
     found = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95, leaf_rows=8)
     assert sorted(tuple(x) for x in found.collect()) == brute(rows, 0.95)
+
+
+def test_recall_of_the_production_forest(spark):
+    """Rows whose id is divisible by 50 against all rows, with pairs planted close to the limit and the operator's own parameters."""
+    r = np.random.default_rng(12)
+    base = r.standard_normal((9000, 24))
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    side = r.standard_normal((3000, 24))
+    side -= (side * unit[:3000]).sum(1, keepdims=True) * unit[:3000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = r.uniform(0.951, 0.97, (3000, 1))
+    rows = np.concatenate((unit, cosine * unit[:3000] + np.sqrt(1 - cosine ** 2) * side))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    asked = np.arange(0, len(rows), 50)
+    want = ((rows[asked] @ rows.T) >= 0.95).sum(1) - 1
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = {x.vec_id: x.n_links for x in vector_dedup.near_duplicates(table).where("vec_id % 50 = 0").collect()}
+    got = np.array([found[k] for k in asked.tolist()])
+    assert want.sum() >= 60 and (got <= want).all() and got.sum() >= 0.97 * want.sum()
+
+
+def test_forest_grows_with_the_rows():
+    r = np.random.default_rng(4)
+    unit = r.standard_normal((4000, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = unit[:500] + 0.075 * r.standard_normal((500, 16))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    close = (near * unit[:500]).sum(1) >= 0.95
+    for rows in (100_000, 10 ** 7, 10 ** 9):
+        forest = vector_dedup.fit_forest(unit, rows, None, vector_dedup.LEAF_ROWS, 17)
+        assert rows / 2 ** forest[0].shape[1] <= vector_dedup.LEAF_ROWS and forest[1].shape[1] <= 512
+        both = [vector_dedup.leaves_of(v, *forest, vector_dedup.SPILL / 4) for v in (unit[:500], near)]
+        met = {k for a, b in zip(*both) for k, _ in set(map(tuple, a.T.tolist())) & set(map(tuple, b.T.tolist()))}
+        assert close.sum() > 100 and np.isin(np.flatnonzero(close), sorted(met)).mean() >= 0.95
