@@ -27,6 +27,21 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def set_aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its ``_`` columns (and those with dots) renamed, so that an operator's own ``_`` names are free, and the name each
+    column has there."""
+    start = "given"
+    while any(c.lower().startswith(start) for c in df.columns):
+        start += "_"
+    names = {c: f"{start}{k}" if c.startswith("_") or set(c) & {".", "`"} else c for k, c in enumerate(df.columns)}
+    return df.withColumnsRenamed(names), names
+
+
+def as_given(names: dict[str, str], without: Iterable[str] = ()) -> list[Column]:
+    """The columns of ``set_aside`` under their first names; those named in ``without`` are left out."""
+    return [F.col(now).alias(first) for first, now in names.items() if first not in set(without)]
+
+
 def word_list(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from casewell.llm.common import WORD, keep
+from casewell.llm.common import WORD, as_given, keep, set_aside
 
 WEIGHTS = (5, 2, 1)             # by rank of the source, repeating
 EPOCHS = 3                      # most times a document is taken
@@ -12,6 +12,7 @@ BUCKET_ROWS = 4096              # documents of a source that are put in order to
 BROADCAST_SOURCES = 50_000      # sources up to which their table is broadcast
 #: Relative weight of a source at the start and at the end of training, by rank, repeating.
 RAMPS = ((1.25, 0.75), (1.0, 1.0), (0.5, 1.5))
+OWN = ("_size", "_source_size", "_target", "_taken", "_positions")
 
 
 def order_key(doc_id: Column) -> Column:
@@ -68,8 +69,16 @@ def assign(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EP
     per bucket, and a window runs inside a bucket only.
 
     Null texts have size 0 and are never taken; null sources are one source, last in rank; null ids share one
-    place in the order; repeated rows are taken one by one.  All columns are kept; an empty table stays empty.
+    place in the order; repeated rows are taken one by one; texts of any length count whole.  All columns are kept, but those named
+    like a result give way to it; an empty table stays empty.
     """
+    given, names = set_aside(docs)
+    found = _assigned(given, weights, epochs, ramps, names[id_col], names[text_col], names[source_col])
+    return found.select(*as_given(names, without=OWN), *OWN)
+
+
+def _assigned(docs: DataFrame, weights: tuple[int, ...], epochs: int, ramps: tuple[tuple[float, float], ...], id_col: str,
+              text_col: str, source_col: str) -> DataFrame:
     text, source = F.col(text_col).cast("string"), F.col(source_col).cast("string")
     base = docs.select("*", source.alias("_source"),
                        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("_size"),
@@ -95,13 +104,18 @@ def assign(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EP
     rounds = F.array(*[F.when((F.col("_size") > 0) & (middle + e * F.col("_source_size") < F.col("_target")),
                               position(middle + e * F.col("_source_size"), F.col("_target"), F.col("_w0"), F.col("_w1")))
                        for e in range(epochs)])
-    own = ["_size", "_source_size", "_target", "_taken", "_positions"]
     return (joined.withColumn("_positions", F.array_compact(rounds))
             .withColumn("_taken", F.size("_positions") * F.col("_size"))
-            .select(*[F.col(c) for c in docs.columns], *own))
+            .select(*[F.col(c) for c in docs.columns], *OWN))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the documents' columns, a row for each time taken, sorted by training position over all ranges."""
-    taken = assign(docs, **options).select(*docs.columns, F.explode("_positions").alias("_position"))
-    return taken.orderBy("_position").drop("_position")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, ramps: tuple[tuple[float, float], ...] = RAMPS,
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixed corpus: the documents' columns, a row for each time taken, sorted by training position over all ranges.
+
+    Columns of any names stay as given; nulls, empty and long texts, repeated rows and an empty table as in ``assign``.
+    """
+    given, names = set_aside(docs)
+    found = _assigned(given, weights, epochs, ramps, names[id_col], names[text_col], names[source_col])
+    taken = found.select(*given.columns, F.explode("_positions").alias("_position"))
+    return taken.orderBy("_position").select(*as_given(names))

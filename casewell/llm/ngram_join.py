@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from casewell.llm.common import keep, text_batches
+from casewell.llm.common import as_given, keep, set_aside, text_batches
 from casewell.llm.components import connected_components
 
 GROUPS = 128                # hash groups of a count vector
@@ -321,8 +321,13 @@ def keep_one(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_
 
     Groups are told apart by their sets, not by ids: equal ids with texts in different groups leave a row each.  Of several
     rows of a group with its smallest id the first by text stays; null ids come last.  Documents without words are no
-    group and stay.
+    group and stay.  Columns may have any names; an empty table stays empty; texts of any length count whole.
     """
+    given, names = set_aside(docs)
+    return _one_row_each(given, width, num, den, names[id_col], names[text_col]).select(*as_given(names))
+
+
+def _one_row_each(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     rows, of_node = _groups(docs, width, num, den, id_col, text_col)
     named = rows.join(of_node, "node", "left")
     mark = keep(named.groupBy(F.col("doc_id").alias("_id")).agg(

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from casewell.llm.common import WORD_GAPS, keep, word_list
+from casewell.llm.common import WORD_GAPS, as_given, keep, set_aside, word_list
 
 COMMON_WORDS = 30               # of each language
 BROADCAST_LANGUAGES = 10_000    # languages up to which their references (about 1 kB each) are broadcast
@@ -19,12 +19,20 @@ CLASSES = ("lower", "upper", "digit", "symbol", "other")
 
 @dataclass(frozen=True)
 class Limits:
-    """Greatest Jensen-Shannon distances (0..1) and the lengths from which they count."""
+    """Greatest Jensen-Shannon distances (0..1), the lengths from which they count, and the words a language needs for a reference.
+
+    A language with fewer than ``least_reference`` words would be its own yardstick.  Its texts are judged by their share of symbols
+    alone: where it is above that of the whole table, the distance of symbols and the rest counts.
+    """
 
     classes: float = 0.30
     words: float = 0.45
     min_chars: int = 200
     min_words: int = 40
+    least_reference: int = 0
+
+
+PRODUCTION = Limits(least_reference=2_000)
 
 
 def _without(text: Column, signs: str) -> Column:
@@ -78,23 +86,23 @@ def reference_table(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
     found = sums.join(common, (F.col("_whole") == F.col("w")) & (F.col("_ref") == F.col("r")), "left")
     signs = F.greatest(sum((F.col(c) for c in CLASSES), F.lit(0)), F.lit(1))
     top = F.coalesce("top", F.array().cast("array<struct<k:int,word:string,count:bigint>>"))
-    return found.select("_whole", "_ref", F.array(*[F.col(c) / signs for c in CLASSES]).alias("_ref_classes"),
+    return found.select("_whole", "_ref", F.col("n").alias("_ref_size"), F.array(*[F.col(c) / signs for c in CLASSES]).alias("_ref_classes"),
                         F.transform(top, lambda x: x["word"]).alias("_ref_words"),
                         F.transform(top, lambda x: x["count"] / F.col("n")).alias("_ref_shares"))
 
 
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[dict]:
     """``reference_table`` as a list, the whole table first; for tables with few languages."""
-    return [{"lang": r["_ref"], "classes": r["_ref_classes"], "words": r["_ref_words"], "shares": r["_ref_shares"]}
+    return [{"lang": r["_ref"], "size": r["_ref_size"], "classes": r["_ref_classes"], "words": r["_ref_words"], "shares": r["_ref_shares"]}
             for r in reference_table(docs, lang_col, text_col).orderBy(F.desc("_whole"), "_ref").collect()]
 
 
 def _as_table(spark: SparkSession, found: list[dict]) -> DataFrame:
     """The listed references as a table; the first one named ANY_LANGUAGE is that of the whole table."""
     names = [r["lang"] for r in found]
-    rows = [(r["lang"] == ANY_LANGUAGE and ANY_LANGUAGE not in names[:k], r["lang"], r["classes"], r["words"], r["shares"])
+    rows = [(r["lang"] == ANY_LANGUAGE and ANY_LANGUAGE not in names[:k], r["lang"], r["size"], r["classes"], r["words"], r["shares"])
             for k, r in enumerate(found)]
-    return spark.createDataFrame(rows, "_whole boolean, _ref string, _ref_classes array<double>, _ref_words array<string>, "
+    return spark.createDataFrame(rows, "_whole boolean, _ref string, _ref_size bigint, _ref_classes array<double>, _ref_words array<string>, "
                                        "_ref_shares array<double>")
 
 
@@ -126,6 +134,10 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }).drop("_windows", "_lines", "_sorted", "_again")
 
 
+OWN = ("_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_class_distance",
+       "_word_distance", "_kept")
+
+
 def judge(docs: DataFrame, found: DataFrame | list[dict], limits: Limits = Limits(), lang_col: str = "lang",
           text_col: str = "text") -> DataFrame:
     """The documents with ``_`` columns: the base counts, ``_base_failed``, ``_class_distance``, ``_word_distance``, ``_kept``.
@@ -134,8 +146,15 @@ def judge(docs: DataFrame, found: DataFrame | list[dict], limits: Limits = Limit
     its language's reference than the limit; a histogram of a text below the least length is not judged.
 
     Null texts are empty and fail the base rules; a language without a reference is held against the whole
-    table; a null language counts as one; repeated rows are judged alike; all columns are kept; an empty table stays empty.  Texts of any length count whole.
+    table (or by ``limits.least_reference``, as a small one); a null language counts as one; repeated rows are judged alike; all
+    columns are kept, but those named like a result give way to it; an empty table stays empty.  Texts of any length count whole.
     """
+    given, names = set_aside(docs)
+    judged = _judged(given, found, limits, names[lang_col], names[text_col])
+    return judged.select(*as_given(names, without=OWN), *OWN)
+
+
+def _judged(docs: DataFrame, found: DataFrame | list[dict], limits: Limits, lang_col: str, text_col: str) -> DataFrame:
     refs = keep(found if isinstance(found, DataFrame) else _as_table(docs.sparkSession, found))
     whole = refs.where("_whole").first()                      # one row
     refs = refs.where("not _whole").drop("_whole")
@@ -176,20 +195,27 @@ def judge(docs: DataFrame, found: DataFrame | list[dict], limits: Limits = Limit
     chars = F.greatest(F.col("_word_chars"), F.lit(1)).cast("double")
     classes = _distance([F.col(f"_{k}") / chars for k in CLASSES],
                         [F.element_at("_ref_classes", k + 1) for k in range(len(CLASSES))])
+    small = F.coalesce("_ref_size", F.lit(0)) < limits.least_reference
+    if whole:
+        mine, theirs = F.col("_symbol") / chars, F.lit(whole["_ref_classes"][CLASSES.index("symbol")])
+        classes = F.when(~small, classes).otherwise(F.when(mine > theirs, _distance([mine, 1 - mine], [theirs, 1 - theirs])))
     judged = joined.withColumns({
         "_class_distance": F.when(F.col("_word_chars") >= limits.min_chars, classes),
-        "_word_distance": F.when(F.col("_n_words") >= limits.min_words, words),
+        "_word_distance": F.when((F.col("_n_words") >= limits.min_words) & ~small, words),
         "_base_failed": (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words")),
     })
     fine = (F.coalesce(F.col("_class_distance") <= limits.classes, F.lit(True))
             & F.coalesce(F.col("_word_distance") <= limits.words, F.lit(True)))
-    own = ["_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_class_distance",
-           "_word_distance", "_kept"]
-    return judged.withColumn("_kept", ~F.col("_base_failed") & fine).select(*docs.columns, *own)
+    return judged.withColumn("_kept", ~F.col("_base_failed") & fine).select(*docs.columns, *OWN)
 
 
-def keep_good(docs: DataFrame, limits: Limits = Limits(), lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """The documents that pass, judged by references of the same table; columns as given."""
-    judged = judge(docs, reference_table(docs, lang_col, text_col), limits, lang_col, text_col)
+def keep_good(docs: DataFrame, limits: Limits = PRODUCTION, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The documents that pass, judged by references of the same table; columns as given, whatever their names.
+
+    Nulls, empty and long texts, repeated rows and an empty table as in ``judge``.
+    """
+    given, names = set_aside(docs)
+    lang, text = names[lang_col], names[text_col]
+    judged = _judged(given, reference_table(given, lang, text), limits, lang, text)
     # a filter is not pushed through a row number; pushed down, it would repeat the whole rule at every step
-    return judged.withColumn("_row", F.monotonically_increasing_id()).where("_kept and _row >= 0").select(*docs.columns)
+    return judged.withColumn("_row", F.monotonically_increasing_id()).where("_kept and _row >= 0").select(*as_given(names))

@@ -64,7 +64,7 @@ def url_captures(spark: SparkSession, folder: str) -> DataFrame:
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """op2: every document's base counts and verdict."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    judged = quality.judge(docs, quality.reference_table(docs))
+    judged = quality.judge(docs, quality.reference_table(docs), quality.PRODUCTION)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance",
              "word_distance"]
     return judged.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])

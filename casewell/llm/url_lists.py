@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from casewell.llm.common import as_given, set_aside
+
 BROADCAST_SPANS = 100_000       # (pattern, month) spans up to which they are broadcast
 
 
@@ -13,14 +15,21 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", F.rtrim(found, F.lit(".")))
 
 
-def keys_of(url: Column) -> Column:
-    """All patterns that cover a URL: ``host`` and its parent domains, and ``host/path`` prefixes by whole segments."""
+def keys_of(url: Column, labels: Column | None = None, segments: Column | None = None) -> Column:
+    """All patterns that cover a URL: ``host`` and its parent domains, and ``host/path`` prefixes by whole segments.
+
+    ``labels`` and ``segments`` are the most that a pattern has, if known; longer keys would meet none and are not made.
+    """
     host = host_of(url)
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
+    parts_of_host = F.split(host, r"\.")
+    size = F.size(parts_of_host)
+    first = F.lit(1) if labels is None else F.greatest(size - labels + 1, F.lit(1))
+    domains = F.when(first <= size, F.transform(F.sequence(first, size), lambda k: F.concat_ws(".", F.slice(parts_of_host, k, size)))).otherwise(
+        F.array().cast("array<string>"))
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(
+    last = F.size(parts) if segments is None else F.least(F.size(parts), segments)
+    prefixes = F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda k: F.concat(
         host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host.isNotNull(), F.concat(domains, prefixes))
 
@@ -53,21 +62,27 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col
     patterns in force the longest path wins over hosts and the longer host over its parents; verdict 'block' blocks.
 
     Every capture is kept, in any number of copies.  URLs without a host and captures without a date match nothing; without entries
-    nothing is blocked; all columns are kept; an empty table stays empty.
+    nothing is blocked; all columns are kept, but those named like a result give way to it; an empty table stays empty.  Of a URL only as many labels and segments are tried as the
+    longest pattern has, so URLs may be of any length.
     """
-    seen = captures.select(F.col(url_col).cast("string").alias("_url"), F.col(day_col).cast("date").alias("_day")).where(
+    given, names = set_aside(captures)
+    url, day = F.col(names[url_col]).cast("string"), F.col(names[day_col]).cast("date")
+    seen = given.select(url.alias("_url"), day.alias("_day")).where(
         "_url is not null and _day is not null").distinct()
-    last = F.lit(seen.agg(F.max("_day")).first()[0]).cast("date")           # one day; no interval need reach further
+    first, last = (F.lit(day).cast("date") for day in seen.agg(F.min("_day"), F.max("_day")).first())   # no interval need reach further
     ends = F.least(F.coalesce(F.date_sub("valid_to", 1), last), last)
-    spans = validity(entries).where(F.col("valid_from") <= last).withColumn(
-        "_month", F.explode(F.sequence(_month(F.col("valid_from")), _month(ends))))
-    if spans.count() <= BROADCAST_SPANS:            # else Spark joins by shuffle
+    spans = validity(entries).where((F.col("valid_from") <= last) & (ends >= first)).withColumn("_month", F.explode(F.sequence(
+        _month(F.greatest("valid_from", first)), _month(ends))))
+    found = spans.agg(F.count("*"), *[F.coalesce(F.max(c), F.lit(0)) for c in (
+        F.size(F.split(F.substring_index("pattern", "/", 1), r"\.")), F.size(F.split("pattern", "/")) - 1)]).first()
+    if found[0] <= BROADCAST_SPANS:                 # else Spark joins by shuffle
         spans = F.broadcast(spans)
-    asked = seen.select("_url", "_day", _month(F.col("_day")).alias("_month"), F.explode(keys_of(F.col("_url"))).alias("pattern"))
+    asked = seen.select("_url", "_day", _month(F.col("_day")).alias("_month"), F.explode(keys_of(
+        F.col("_url"), F.lit(found[1]), F.lit(found[2]))).alias("pattern"))
     met = asked.join(spans, ["pattern", "_month"]).where("valid_from <= _day and (valid_to is null or _day < valid_to)")
     rank = F.struct(F.instr("pattern", "/") > 0, F.length("pattern"), "pattern", "verdict")
     best = met.groupBy("_url", "_day").agg(F.max(rank).alias("_best"))
-    out = captures.join(best, (F.col(url_col).cast("string") == F.col("_url")) & (F.col(day_col).cast("date") == F.col("_day")), "left")
-    return out.select(*[captures[c] for c in captures.columns], F.col("_best.pattern").alias("matched_pattern"),
-                      F.col("_best.verdict").alias("matched_verdict"),
-                      F.coalesce(F.col("_best.verdict") == "block", F.lit(False)).alias("blocked"))
+    out = given.join(best, (url == F.col("_url")) & (day == F.col("_day")), "left")
+    own = {"matched_pattern": F.col("_best.pattern"), "matched_verdict": F.col("_best.verdict"),
+           "blocked": F.coalesce(F.col("_best.verdict") == "block", F.lit(False))}
+    return out.select(*as_given(names, without=own), *[c.alias(name) for name, c in own.items()])

@@ -6,7 +6,7 @@ import random
 from collections import Counter
 
 from compare import connect, difference
-from casewell.llm import license_scan, mixing, quality, queries, url_lists
+from casewell.llm import license_scan, mixing, ngram_join, quality, queries, url_lists
 
 import corpus_pipeline
 
@@ -178,3 +178,48 @@ def test_every_language_has_a_reference(spark):
     docs = spark.createDataFrame(latin + small + [(300, latin[0][1], "*"), (301, latin[1][1], None)], "doc_id long, text string, lang string")
     kept = [r.doc_id for r in quality.keep_good(docs, quality.Limits(words=1.0)).collect()]
     assert sorted(kept) == [*range(140), 200, 201, 300, 301]
+
+
+def test_a_small_language_is_not_its_own_yardstick(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join(r.choice(("the", "cat", "and", "dog", "sat", "mat")) + r.choice(("", "s", str(r.randrange(9)))) for _ in range(n))
+    junk = lambda: " ".join(r.choice("#$%&*") * r.randrange(3, 9) + str(r.randrange(999)) for _ in range(80))
+    ethiopic = lambda: " ".join("".join(chr(0x1200 + r.randrange(60)) for _ in range(5)) for _ in range(60))
+    rows = [(k, prose(120), "en") for k in range(40)] + [(100 + k, junk(), "xx") for k in range(3)] + [(110, junk(), "en")]
+    rows += [(200 + k, ethiopic(), "am") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in quality.keep_good(docs, quality.Limits(words=1.0, least_reference=2_000)).collect()}
+    assert kept == {*range(40), 200, 201, 202}
+
+
+def test_columns_named_like_the_operators_own(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    names = ["doc_id", "text", "lang", "source", "_text", "_size", "_id", "_kept", "_position", "a.b", "given"]
+    rows = [(k, text + f" {k} end of it {k}", "en", "s", "t", 1, 2, False, 0.5, "dot", 9) for k in range(6)]
+    docs = spark.createDataFrame(rows, names)
+    same = sorted(map(tuple, docs.collect()))
+    assert quality.keep_good(docs).columns == names
+    assert sorted(map(tuple, quality.keep_good(docs, quality.Limits(words=1.0, classes=1.0)).collect())) == same
+    judged = quality.judge(docs, quality.reference_table(docs))
+    assert judged.columns.count("_kept") == 1 and {x["_text"] for x in judged.collect()} == {"t"}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == names and {x["_size"] for x in mixed.collect()} == {1}
+    assert mixing.assign(docs).columns.count("_size") == 1
+    one = ngram_join.keep_one(docs)
+    assert one.columns == names and sorted(map(tuple, one.collect())) == same
+    entries = spark.createDataFrame([("bad.org/a", "add", "block", datetime.date(2024, 1, 1))], "pattern string, action string, verdict string, dated date")
+    pages = spark.createDataFrame([("http://bad.org/a/b", datetime.date(2024, 2, 1), "u", "b", 1)], "url string, fetched_on date, _url string, _best string, blocked int")
+    got = url_lists.judge(pages, entries)
+    assert got.columns == ["url", "fetched_on", "_url", "_best", "matched_pattern", "matched_verdict", "blocked"]
+    assert got.first().blocked is True and got.first()["_best"] == "b"
+
+
+def test_very_long_urls(spark):
+    day = datetime.date(2024, 1, 1)
+    entries = spark.createDataFrame([("bad.org/a/b", "add", "block", day), ("w.bad.org/a", "add", "allow", day)], "pattern string, action string, verdict string, dated date")
+    tail = "/".join(["s"] * 30_000)
+    rows = [("http://bad.org/a/b/" + tail, True), ("http://bad.org/a/c/" + tail, False), ("http://" + "x." * 3000 + "w.bad.org/a/b", False),
+            ("http://" + "x." * 3000 + "bad.org/a/b", False), ("http://bad.org/a/b", True)]
+    captures = spark.createDataFrame([(u, day, w) for u, w in rows], "url string, fetched_on date, want boolean")
+    got = url_lists.judge(captures, entries)
+    assert got.count() == 5 and got.where("want <> blocked").collect() == []
