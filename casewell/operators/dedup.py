@@ -15,7 +15,7 @@ from casewell.operators.candidates import candidate_pairs, gram_frequencies, wit
 from casewell.operators.leaders import greedy_leaders
 from casewell.settings import ensure_checkpoint_dir
 
-MEMBER_COLUMNS = ("row_id", "group_id", "duplicate_type", "match_score", "filled", "case_id")
+MEMBER_COLUMNS = ("row_id", "group_id", "duplicate_type", "match_score", "filled", "case_id", "own_score")
 MAX_AGE_GAP = 1.5
 FIRST_PEOPLE = 32_000   # people compared among themselves first; their pairs are few once names, onset and age must meet
 MAX_ONSET_GAP = 14
@@ -49,7 +49,7 @@ def _members(rows: DataFrame, key: str, kind: str) -> DataFrame:
               .where(F.col("n") > 1).drop("n"))
     return rows.join(groups, key).select(
         "row_id", "group_id", F.lit(kind).alias("duplicate_type"), F.lit(1.0).alias("match_score"),
-        "filled", "case_id")
+        "filled", "case_id", F.lit(1.0).alias("own_score"))
 
 
 def exact_duplicates(df: DataFrame, case_id: str | None = "case_id") -> DataFrame:
@@ -125,12 +125,13 @@ def fuzzy_duplicates(
     threshold: float = 0.80,
     first_prefix: int = FIRST_PEOPLE,
 ) -> DataFrame:
-    """``(row_id, group_id, match_score)`` of fuzzy duplicate clusters.
+    """``(row_id, group_id, match_score, own_score)`` of fuzzy duplicate clusters.
 
     In row order, a free row leads a cluster and takes all later free rows with a
     name score of ``threshold`` or more, the same sex, ages within 1.5 years and
     onsets within 14 days; a missing value never separates.  Members are compared
-    with the leader only.  Whole-name whitespace is squeezed first.
+    with the leader only.  Whole-name whitespace is squeezed first.  ``own_score`` is a row's similarity with its leader,
+    ``match_score`` the best of the cluster.
 
     Distinct names are scored once into a table of similar names; people meet through
     it, on the partner's name and the lanes of onset and age, and are never scored.
@@ -175,8 +176,9 @@ def fuzzy_duplicates(
                        .otherwise(F.col("score"))).alias("best"))
             .where(F.col("size") > 1))
     grouped = person.join(best, "group_id").select(
-        "pid", "group_id", round_half_up(F.col("best"), 2).alias("match_score"))
-    return rows.select("row_id", "pid").join(grouped, "pid").select("row_id", "group_id", "match_score")
+        "pid", "group_id", round_half_up(F.col("best"), 2).alias("match_score"),
+        round_half_up(F.coalesce("score", F.lit(1.0)), 2).alias("own_score"))
+    return rows.select("row_id", "pid").join(grouped, "pid").select("row_id", "group_id", "match_score", "own_score")
 
 
 def find_duplicates(df: DataFrame, tags: dict[str, str], method: str = "both", threshold: float = 0.80) -> DataFrame:
@@ -187,7 +189,7 @@ def find_duplicates(df: DataFrame, tags: dict[str, str], method: str = "both", t
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    schema = "row_id bigint, group_id bigint, duplicate_type string, match_score double, filled int, case_id string"
+    schema = "row_id bigint, group_id bigint, duplicate_type string, match_score double, filled int, case_id string, own_score double"
     members = spark.createDataFrame([], schema)
     case_id = tags.get("case_id")
     if method in ("exact", "both"):
@@ -215,6 +217,20 @@ def duplicate_groups(members: DataFrame) -> DataFrame:
         F.when(F.first("duplicate_type") == "exact_id", F.min("case_id")).alias("matching_id"))
 
 
+def match_keys(members: DataFrame) -> DataFrame:
+    """``(group_id, row_id, duplicate_type, key, value)``: what binds each member to its group, a row per member.
+
+    Identical rows share all columns and rows of one case their id; a fuzzy member has the similarity of its name with the
+    leader's (1.0 for the leader and for rows like it).
+    """
+    kind = F.col("duplicate_type")
+    return members.select(
+        "group_id", "row_id", "duplicate_type",
+        F.when(kind == "exact", "all_columns").when(kind == "exact_id", "case_id").otherwise("name_similarity").alias("key"),
+        F.when(kind == "exact", "identical row").when(kind == "exact_id", F.col("case_id"))
+        .otherwise(F.col("own_score").cast("string")).alias("value"))
+
+
 def _survivors(members: DataFrame, action: str) -> DataFrame:
     keep = {
         "keep_first": F.min("row_id"),

@@ -141,6 +141,7 @@ def clean(df: DataFrame, gazetteer: DataFrame | None = None, cfg: CleaningConfig
         members = dedup.find_duplicates(df, tags, cfg.dedup_method, cfg.fuzzy_threshold).checkpoint()
         tables["duplicate_members"] = members
         tables["duplicate_groups"] = dedup.duplicate_groups(members)
+        tables["duplicate_keys"] = dedup.match_keys(members)
         df = dedup.resolve_duplicates(df, members, cfg.dedup_action)
         if cfg.dedup_action != "flag":              # resolved groups no longer count as duplicates
             members = members.join(df.select("row_id"), "row_id")

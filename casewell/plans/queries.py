@@ -274,7 +274,7 @@ def _person_rows(s, d):
 
 
 def fuzzy_duplicates(s, d):
-    return dedup.fuzzy_duplicates(_person_rows(s, d))
+    return dedup.fuzzy_duplicates(_person_rows(s, d)).drop("own_score")
 
 
 def facility_clusters(s, d):
@@ -448,6 +448,7 @@ QUERIES = {
     "exact_duplicates": exact_duplicates,
     "duplicate_ids": duplicate_ids,
     "duplicate_groups": duplicate_groups,
+    "duplicate_keys": lambda s, d: dedup.match_keys(_exact_members(s, d)),
     "dedup_flag": dedup_flag,
     "dedup_keep_first": _resolved("keep_first"),
     "dedup_keep_last": _resolved("keep_last"),

@@ -522,6 +522,8 @@ def build() -> dict[str, str]:
     q["duplicate_ids"] = f"{DEDUP} select row_id, group_id, case_id from ids"
     q["duplicate_groups"] = (f"{DEDUP} select group_id, duplicate_type, count(*) as size, min(row_id) filter (where best = 1) as recommended_keep, "
                              "case when duplicate_type = 'exact_id' then min(case_id) end as matching_id from ranked group by group_id, duplicate_type")
+    q["duplicate_keys"] = (f"{DEDUP} select group_id, row_id, duplicate_type, case duplicate_type when 'exact' then 'all_columns' else 'case_id' end as key, "
+                           "case duplicate_type when 'exact' then 'identical row' else case_id end as value from mem")
     q["dedup_flag"] = f"{DEDUP} select r.row_id, case when group_id is null then 0 else 1 end as is_duplicate, group_id as duplicate_group_id from r left join mem using (row_id)"
     q["dedup_keep_first"], q["dedup_keep_last"], q["dedup_most_complete"] = _keep("first_no"), _keep("last_no"), _keep("best")
     q["dedup_merge"] = _MERGE

@@ -167,6 +167,20 @@ def test_cascade(spark):
     assert summary == {"Locality": 2, "Admin3_Ward": 1, "Admin2_LGA": 1, "Admin1_State": 1, "Unmatched": 1}
 
 
+def test_what_binds_each_member(spark):
+    rows = [(1, "A", "amina diallo", "F"), (2, "A", "amina diallo", "F"), (3, "B", "john doe", None), (4, "B", "ali goni", "M"),
+            (5, "C", "ibrahim gana", "M"), (6, None, "ibrahim gano", None), (7, "D", "gana ibrahim", "M"), (8, "E", "nobody else", "F")]
+    df = spark.createDataFrame(rows, "row_id bigint, case_id string, full_name string, sex string")
+    members = dedup.find_duplicates(df, {t: t for t in ("case_id", "full_name", "sex")}, "both")
+    got = {r.row_id: (r.group_id, r.duplicate_type, r.key, r.value) for r in dedup.match_keys(members).collect()}
+    pair = ("ibrahim gana", "ibrahim gano")          # the best of the scores counts
+    similar = round(max(ratio(*pair), partial(*pair)) / 100, 2)
+    assert got == {1: (1, "exact", "all_columns", "identical row"), 2: (1, "exact", "all_columns", "identical row"),
+                   3: (3, "exact_id", "case_id", "B"), 4: (3, "exact_id", "case_id", "B"), 5: (5, "fuzzy", "name_similarity", "1.0"),
+                   6: (5, "fuzzy", "name_similarity", str(similar)), 7: (5, "fuzzy", "name_similarity", "1.0")}
+    assert dedup.match_keys(dedup.find_duplicates(df.limit(0), {"case_id": "case_id"}, "exact")).collect() == []
+
+
 def test_nested_cascade_tells_districts_apart(spark):
     columns = "row bigint, admin1_name string, admin1_pcode string, admin2_name string, admin2_pcode string, locality_name string, locality_pcode string"
     gaz = spark.createDataFrame([(1, "Borno", "B", "Jere", "B1", "Sabon Gari", "B1a"), (2, "Kano", "K", "Gwale", "K1", "Sabon Gari", "K1a"),
