@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casewell.settings import limit_method_size
+
 SOURCES = ("orders", "lineitem", "customer", "supplier", "part", "nation", "region")
 
 _FIRST = ("Amina", "Ibrahim", "Zainab", "Moussa", "Fatima", "Ousmane", "Aisha", "Cheikh",
@@ -185,6 +187,7 @@ AS_OF = "2001-06-30"
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    limit_method_size(spark)
     return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SOURCES}
 
 

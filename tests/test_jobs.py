@@ -239,3 +239,19 @@ def test_stream_equals_batch(spark, small_dir, tmp_path):
     query.stop()
     from casewell.plans.queries import weekly_alerts_events
     assert seen[-1] == sorted(map(tuple, weekly_alerts_events(spark, small_dir).collect()))
+
+
+def test_rules_of_many_columns_leave_methods_the_jvm_compiles(spark, small_dir):
+    from casewell.plans.casebook import raw_cases
+    from casewell.settings import METHOD_LIMIT
+    spark.conf.set(METHOD_LIMIT, "65535")
+    raw_cases(spark, small_dir)
+    assert spark.conf.get(METHOD_LIMIT) == "8000"
+    spark.conf.set(METHOD_LIMIT, "20000")
+    raw_cases(spark, small_dir)
+    assert spark.conf.get(METHOD_LIMIT) == "20000"
+    spark.conf.set(METHOD_LIMIT, "8000")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
\ No newline at end of file
