@@ -11,14 +11,18 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from casewell.functions.text import percent, round_half_up
+from casewell.settings import ensure_checkpoint_dir
 
 MIN_WEEKS = 3
 MIN_CASES = 5
 
 
 def weekly_counts(df: DataFrame, week: str = "epi_week", by: Sequence[str] = ()) -> DataFrame:
-    """``(*by, week, cases)``; rows without a week are left out."""
-    return (df.where(F.col(week).isNotNull()).groupBy(*by, F.col(week).alias("week")).agg(F.count("*").alias("cases")))
+    """``(*by, week, cases)``; rows without a week are left out.
+
+    They are left out after counting: a filter on the week would be pushed below and parse every date again.
+    """
+    return df.groupBy(*by, F.col(week).alias("week")).agg(F.count(week).alias("cases")).where(F.col("cases") > 0)
 
 
 def weekly_share(df: DataFrame, week: str = "epi_week") -> DataFrame:
@@ -30,6 +34,8 @@ def weekly_share(df: DataFrame, week: str = "epi_week") -> DataFrame:
 
 def fill_weeks(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Weeks without a case between the first and the last one, as zero rows."""
+    ensure_checkpoint_dir(counts.sparkSession)
+    counts = counts.checkpoint()        # a row per week, used twice
     monday = F.expr("date_add(trunc(make_date(cast(substr(week, 1, 4) as int), 1, 4), 'WEEK'), "
                     "7 * (cast(substr(week, 7) as int) - 1))")
     days = counts.withColumn("monday", monday)

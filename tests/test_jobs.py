@@ -254,4 +254,14 @@ def test_rules_of_many_columns_leave_methods_the_jvm_compiles(spark, small_dir):
 
 
 def _plan(df):
-    return df._jdf.queryExecution().optimizedPlan().toString()
\ No newline at end of file
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_weekly_counts_parse_a_date_once(spark):
+    from casewell.functions.dates import parse_date
+    df = frame(spark, [("2024-01-01", "a"), ("02/01/2024", "a"), ("n/a", "a"), (None, None)], "d string, g string")
+    weeks = standardize.add_epi_week(df.withColumn("day", parse_date(F.col("d"))), "day")
+    counts = surveillance.weekly_counts(weeks, by=["g"])
+    assert [tuple(r) for r in counts.collect()] == [("a", "2024-W01", 2)]
+    assert _plan(counts).count("(0[1-9]|1[0-2])") == 1
+    assert "(0[1-9]|1[0-2])" not in _plan(surveillance.fill_weeks(counts, ["g"]))
\ No newline at end of file
