@@ -131,6 +131,11 @@ def parse_date(
         return F.when(ymd.rlike(r"^\d{4}-\d+-\d+$"), F.coalesce(ymd.try_cast("date"), other.try_cast("date")))
 
     def parsed(raw: Column) -> Column:
+        # a real date written yyyy-MM-dd needs none of the rules below
+        plain = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw.try_cast("date"))
+        return F.coalesce(plain, by_rules(raw))
+
+    def by_rules(raw: Column) -> Column:
         s = F.regexp_replace(raw, r"^['\"`.,]+|['\"`.,]+$", "")
         text_date = let(let(let(s, year_month_day), full_year), readable)
         return F.when(is_missing(raw), None).when(is_serial_date(raw), serial_to_date(raw)).otherwise(text_date)
