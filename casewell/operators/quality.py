@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casewell.functions.text import not_blank, percent, round_half_up
@@ -87,12 +89,32 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
         "column_name", "value", "cnt", F.col("rank").cast("int").alias("rank"))
 
 
+def _first_cells(columns: Sequence[str], k: int):
+    """For each column, the first ``k`` filled cells of a task in row order; a few rows are held, whatever the task's size."""
+    def first(ids, cells):
+        filled = pc.sort_indices(ids, null_placement="at_start")
+        filled = filled.filter(cells.is_valid().take(filled)).slice(0, k)
+        return ids.take(filled), cells.take(filled)
+
+    def pick(batches):
+        best = [None] * len(columns)
+        for batch in batches:
+            for i in range(len(columns)):
+                found = first(batch.column(0), batch.column(i + 1))
+                best[i] = found if best[i] is None else first(*(pa.concat_arrays(pair) for pair in zip(best[i], found)))
+        for name, found in zip(columns, best):
+            if found is not None:
+                ids, cells = found
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), ids, cells], ["column_name", "row_id", "value"])
+    return pick
+
+
 def sample_values(df: DataFrame, columns: Sequence[str], k: int = 4) -> DataFrame:
     """``(column_name, value, rank)``: the first ``k`` non-blank values per column in row order."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
-    rows = df.select("row_id", F.inline(cells)).where(not_blank(F.col("value")))
-    sliced = Window.partitionBy("column_name", F.pmod(F.xxhash64("row_id"), F.lit(256))).orderBy("row_id")
-    few = rows.withColumn("r", F.row_number().over(sliced)).where(F.col("r") <= k)
+    filled = [F.when(not_blank(F.col(c)), F.col(c).cast("string")).alias(f"c{i}") for i, c in enumerate(columns)]
+    # each task gives its ``k`` first cells of a column; sorting every cell would need the memory of all of them
+    few = df.select("row_id", *filled).mapInArrow(
+        _first_cells(list(columns), k), f"column_name string, row_id {dict(df.dtypes)['row_id']}, value string")
     first = Window.partitionBy("column_name").orderBy("row_id")
     return few.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select(
         "column_name", "value", F.col("rank").cast("int").alias("rank"))

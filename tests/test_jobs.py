@@ -264,4 +264,12 @@ def test_weekly_counts_parse_a_date_once(spark):
     counts = surveillance.weekly_counts(weeks, by=["g"])
     assert [tuple(r) for r in counts.collect()] == [("a", "2024-W01", 2)]
     assert _plan(counts).count("(0[1-9]|1[0-2])") == 1
-    assert "(0[1-9]|1[0-2])" not in _plan(surveillance.fill_weeks(counts, ["g"]))
\ No newline at end of file
+    assert "(0[1-9]|1[0-2])" not in _plan(surveillance.fill_weeks(counts, ["g"]))
+
+
+def test_first_cells_are_not_sorted_whole(spark):
+    rows = [(i, " " if i % 3 else f"v{i}", None) for i in range(1000)] + [(None, "first", "x")]
+    df = frame(spark, rows, "row_id bigint, a string, b string").repartition(7)
+    found = quality.sample_values(df, ["a", "b"])
+    assert sorted(map(tuple, found.collect())) == [("a", "first", 1), ("a", "v0", 2), ("a", "v3", 3), ("a", "v6", 4), ("b", "x", 1)]
+    assert "Generate" not in _plan(found) and "MapInArrow" in _plan(found)
\ No newline at end of file
