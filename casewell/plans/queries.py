@@ -15,7 +15,7 @@ from casewell.operators import (
     analytics, dedup, facility, geocode, privacy, quality, standardize, surveillance, validate,
 )
 from casewell.plans.casebook import _MOIS, AS_OF, CASE_COLUMNS, gazetteer, raw_cases
-from casewell.settings import ensure_checkpoint_dir
+from casewell.settings import ensure_checkpoint_dir, keep
 from casewell.sources import sinks, tabular
 
 DATE_COLUMNS = ("date_birth", "date_onset", "date_report", "date_consultation", "date_admission", "date_discharge",
@@ -198,7 +198,8 @@ def raw_age_issues(s, d):
 
 
 def issues_top(s, d):
-    return validate.top_issues(_issues(s, d)).select("row_id", "rule_no", "severity", "column_name")
+    found = keep(_issues(s, d).select("row_id", "rule_no", "severity", "column_name"))     # a sort reads its rows twice
+    return validate.top_issues(found)
 
 
 def gazetteer_index(s, d):
@@ -240,7 +241,7 @@ def level_filter(s, d):
 
 
 def _exact_members(s, d):
-    return dedup.find_duplicates(raw_cases(s, d), TAGS, "exact")
+    return dedup.find_duplicates(keep(raw_cases(s, d)), TAGS, "exact")
 
 
 def exact_duplicates(s, d):
@@ -257,12 +258,17 @@ def duplicate_groups(s, d):
     return groups.select("group_id", "duplicate_type", "size", "recommended_keep", "matching_id")
 
 
+def _deduplicated(s, d, action):
+    rows = keep(raw_cases(s, d))        # read by both searches and by the removal
+    return dedup.resolve_duplicates(rows, dedup.find_duplicates(rows, TAGS, "exact"), action)
+
+
 def _resolved(action):
-    return lambda s, d: dedup.resolve_duplicates(raw_cases(s, d), _exact_members(s, d), action)
+    return lambda s, d: _deduplicated(s, d, action)
 
 
 def dedup_flag(s, d):
-    flagged = dedup.resolve_duplicates(raw_cases(s, d), _exact_members(s, d), "flag")
+    flagged = _deduplicated(s, d, "flag")
     return flagged.select("row_id", F.col("is_duplicate").cast("int").alias("is_duplicate"), "duplicate_group_id")
 
 
@@ -288,7 +294,7 @@ def facility_harmonised(s, d):
 
 
 def quality_scores(s, d):
-    df = cleaned_cases(s, d, *CHECKED, "case_definition")
+    df = keep(cleaned_cases(s, d, *CHECKED, "case_definition"))
     return quality.quality_scores(df, TAGS, _issues(s, d, df), _exact_members(s, d))
 
 
@@ -297,12 +303,12 @@ def column_profile(s, d):
 
 
 def column_profile_full(s, d):
-    df = cleaned_cases(s, d)
+    df = keep(cleaned_cases(s, d))
     return quality.column_profile(df, TAGS, _issues(s, d, df))
 
 
 def inspect_columns(s, d):
-    return quality.inspect_columns(raw_cases(s, d), TAGS, CONTENT)
+    return quality.inspect_columns(keep(raw_cases(s, d)), TAGS, CONTENT)
 
 
 def profile_issue_counts(s, d):
@@ -372,7 +378,7 @@ def map_points(s, d):
 
 
 def kpi_table(s, d):
-    rows = standardize.add_epi_week(cleaned_cases(s, d), "date_onset")
+    rows = keep(standardize.add_epi_week(cleaned_cases(s, d), "date_onset"))
     coded = geocode.geocode_exact(rows.drop("geo_lat", "geo_lon"), gazetteer_index(s, d), PLACES)
     members = _exact_members(s, d)
     scores = quality.quality_scores(rows, TAGS, _issues(s, d, rows), members)

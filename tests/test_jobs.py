@@ -272,4 +272,10 @@ def test_first_cells_are_not_sorted_whole(spark):
     df = frame(spark, rows, "row_id bigint, a string, b string").repartition(7)
     found = quality.sample_values(df, ["a", "b"])
     assert sorted(map(tuple, found.collect())) == [("a", "first", 1), ("a", "v0", 2), ("a", "v3", 3), ("a", "v6", 4), ("b", "x", 1)]
-    assert "Generate" not in _plan(found) and "MapInArrow" in _plan(found)
\ No newline at end of file
+    assert "Generate" not in _plan(found) and "MapInArrow" in _plan(found)
+
+
+def test_kept_rows_are_computed_once(spark, small_dir):
+    from casewell.plans.queries import QUERIES
+    for name in ("dedup_merge", "dedup_keep_last", "issues_top", "inspect_columns", "column_profile_full"):
+        assert "lineitem" not in QUERIES[name](spark, small_dir).inputFiles().__repr__(), name
