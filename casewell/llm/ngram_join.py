@@ -16,7 +16,8 @@ from casewell.llm.components import connected_components
 GROUPS = 128                # hash groups of a count vector
 LEAF = 32                   # points in a leaf of the tree
 ONE_LEAF = 64               # members of a shingle that need no tree over them
-PAIR_STEP = 1 << 18         # pairs of points looked at in one vectorised step
+PAIR_STEP = 1 << 15         # pairs of points looked at in one vectorised step (a count vector each side: 16 MB)
+PORTION_ROWS = 10_000       # members of shingles that a task compares at a time, more only where one block has more
 BROADCAST_ROWS = 500_000    # documents named by candidates, up to which their ids (16 bytes each) are broadcast
 BLOCK_ROWS = 4096           # members of one shingle that a task compares at a time
 SAMPLE_SHARE, SAMPLE_LEAST, FREQUENT = 1 / 16, 10_000, 100_000
@@ -55,8 +56,9 @@ def _overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tree_pairs(member: np.ndarray, size: np.ndarray, place: np.ndarray, root: np.ndarray, side: np.ndarray,
-               vectors: np.ndarray | None, lists: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one list and of different roots that may be linked, found with a packed R-tree.
+               vectors: np.ndarray | None, lists: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one list and of different roots that may be linked, found with a packed R-tree, PAIR_STEP looked at
+    at a time: what is found is handed on step by step, so that memory does not grow with the pairs of a list.
 
     Points are packed into leaves by (list, size, count vector sum).  A leaf's box is the maximum of its
     coordinates and its range of sizes; two leaves of a list are opened together only if their sizes fit
@@ -76,7 +78,6 @@ def tree_pairs(member: np.ndarray, size: np.ndarray, place: np.ndarray, root: np
         upper = np.maximum.reduceat(vectors, starts, axis=0)
     low, high, own = size[starts], size[ends - 1], lists[starts]
     list_end = np.searchsorted(own, own, side="right")
-    found_a, found_b = [], []
     lefts, rights = _runs(np.arange(len(starts)), list_end)
     work = np.cumsum((ends - starts)[lefts] * (ends - starts)[rights])
     cuts = [0, *np.searchsorted(work, np.arange(PAIR_STEP, work[-1], PAIR_STEP)).tolist(), len(work)]
@@ -103,11 +104,7 @@ def tree_pairs(member: np.ndarray, size: np.ndarray, place: np.ndarray, root: np
         if vectors is not None:
             ok = _overlap_bound(vectors[a], vectors[b]) >= least
             a, b = a[ok], b[ok]
-        found_a.append(order[a])
-        found_b.append(order[b])
-    none = np.empty(0, dtype=np.int64)
-    a, b = np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
-    return member[a], member[b]
+        yield member[order[a]], member[order[b]]
 
 
 def _count_up(sizes: np.ndarray) -> np.ndarray:
@@ -281,27 +278,27 @@ def _groups(docs: DataFrame, width: int, num: int, den: int, id_col: str, text_c
                 continue
             # all rows of a part stand together, so a portion ends where a part does
             codes = batch.column(0).to_numpy()
-            if waiting and rows + batch.num_rows > 50_000:
+            if waiting and rows + batch.num_rows > PORTION_ROWS:
                 cut = len(codes) if codes[0] == codes[-1] == waiting[-1].column(0)[-1].as_py() else int(
                     np.argmax(codes != waiting[-1].column(0)[-1].as_py()))
                 if cut < len(codes):
-                    yield pairs_of(waiting + [batch.slice(0, cut)])
+                    yield from pairs_of(waiting + [batch.slice(0, cut)])
                     waiting, rows, batch = [], 0, batch.slice(cut)
             waiting.append(batch)
             rows += batch.num_rows
         if waiting:
-            yield pairs_of(waiting)
+            yield from pairs_of(waiting)
 
-    def pairs_of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def pairs_of(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, node, n, place, root, own, i, j = (np.concatenate([b.column(c).to_numpy() for b in batches])
                                                  for c in range(8))
         vectors = None
         if batches[0].num_columns > 8:
             vectors = np.frombuffer(b"".join(v for b in batches for v in b.column(8).to_pylist()), dtype="<u2").reshape(-1, GROUPS)
         side = np.where(i == j, -1, (own == j).astype(np.int64))
-        a, b = tree_pairs(node, n, place, root, side, vectors, part, num, den)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        for a, b in tree_pairs(node, n, place, root, side, vectors, part, num, den):
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     few = open_keys.where(F.col("members") <= ONE_LEAF).select(names)
     many = open_keys.where(F.col("members") > ONE_LEAF).join(held, "node").select(*names, "vector")

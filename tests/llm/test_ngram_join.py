@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,18 @@ def test_components_of_chains_and_hubs(spark):
     assert found == {**{k: 0 for k in range(31)}, **{100 + k: 100 for k in range(40)}}
     none = spark.createDataFrame([], "a long, b long")
     assert connected_components(none, "a", "b").agg(F.count("*")).first()[0] == 0
+
+
+def test_memory_of_a_search_does_not_grow_with_its_pairs():
+    import tracemalloc
+
+    n = 3_000                                           # one shingle whose members are all alike and in components of their own
+    member, size = np.arange(n), np.full(n, 200)
+    vectors = np.full((n, ngram_join.GROUPS), 2, dtype="<u2")
+    tracemalloc.start()
+    steps = ngram_join.tree_pairs(member, size, np.zeros(n, dtype=np.int64), member, np.full(n, -1), vectors, np.zeros(n, dtype=np.int64), 85, 100)
+    found = sum(len(a) for a, _ in steps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n * (n - 1) // 2
+    assert peak < 64 << 20
