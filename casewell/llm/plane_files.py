@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ class PieceEncoder:
         before = layout.get("pre_tokenizer") or {}
         plain = (layout.get("normalizer") is None and before.get("type") == "ByteLevel"
                  and not before.get("add_prefix_space") and before.get("use_regex", True))
+        # a task has one core, and the library's threads burn time while they wait for each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = _tokenizer(spec)
         self.added = [t["content"] for t in layout.get("added_tokens", [])]
         self.by_piece = plain
@@ -68,11 +71,18 @@ class PieceEncoder:
         whole = [not self.by_piece or any(a in t for a in self.added) for t in texts]
         cut = [[] if w else space_pieces(t) for t, w in zip(texts, whole)]
         known = self.memory.known
-        new = list(set().union(*(c[1:] for c in cut)).difference(known))
-        self._learn(known, new)
-        heads = self._ids([t if w else c[0] for t, w, c in zip(texts, whole, cut)])
-        out = [h + b"".join(map(known.__getitem__, c[1:])) for h, c in zip(heads, cut)]
+        for c in cut:
+            if c:
+                c[0] = " " + c[0]           # a first piece lacks no space; no other piece starts with one
+        found = [list(map(known.get, c)) for c in cut]          # most pieces are known: each is looked up once
+        new = {p for c, f in zip(cut, found) if None in f for p, ids in zip(c, f) if ids is None}
+        heads = [p for p in new if p[0] == " "]
+        self._learn(known, list(new.difference(heads)))
+        known.update(zip(heads, self._ids([p[1:] for p in heads])))
+        out = [b"".join(map(known.__getitem__, c) if None in f else f) for c, f in zip(cut, found)]
         self.memory.settle(new)
+        for k, ids in zip(np.flatnonzero(whole), self._ids([t for t, w in zip(texts, whole) if w])):
+            out[k] = ids
         return out
 
 
