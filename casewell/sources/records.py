@@ -69,7 +69,7 @@ def quoted_records(lines: DataFrame) -> DataFrame:
     Quotes are counted by the file: a line starts a record if the quotes before it are even.
     """
     text = F.col("value")
-    lines = lines.withColumn("_odd", F.pmod(F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit(""))), F.lit(2)))
+    lines = lines.withColumn("_odd", F.pmod(_count(text, '"'), F.lit(2)))
     lines = lines.withColumn("_open", F.pmod(F.coalesce(F.sum("_odd").over(_inside(False)), F.lit(0)), F.lit(2)))
     lines = lines.withColumn("_starts", F.array(
         F.sum((F.col("_open") == 0).cast("long")).over(_inside(True)), F.sum((F.col("_open") == 1).cast("long")).over(_inside(True)))).checkpoint()
@@ -83,9 +83,13 @@ def quoted_records(lines: DataFrame) -> DataFrame:
     return _joined(lines.withColumn("record", record), alone, "\n")
 
 
+def _count(text: Column, sign: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+
+
 def _depth(text: Column) -> Column:
     """Opening less closing braces and brackets."""
-    return F.length(F.regexp_replace(text, r"[^{\[]", "")) - F.length(F.regexp_replace(text, r"[^}\]]", ""))
+    return _count(text, "{") + _count(text, "[") - _count(text, "}") - _count(text, "]")
 
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
@@ -96,22 +100,24 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
     whole object of a file is left out.
     """
     pieces = read_pieces(spark, path, separator="}")
-    # strings are the odd parts between quotes that no backslash escapes, seen from a piece that starts outside one
-    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"', -1)
-    side = lambda odd: F.array_join(F.filter(parts, lambda _, i: i % 2 == odd), " ")
-    quotes = F.size(parts) - 1
-    pieces = pieces.withColumn("_odd", F.pmod(quotes, F.lit(2)))
-    pieces = pieces.withColumns({f"_d{k}": _depth(side(k)) - (F.col("_odd") == k).cast("int") for k in (0, 1)})
+    # strings stand between quotes that no backslash escapes; a piece is seen as one that starts outside a string, and inside one.
+    # Each step is a column of its own, so that none is computed twice.
+    plain = F.when(F.col("value").contains("\\"), F.regexp_replace("value", r"(?s)\\.", "")).otherwise(F.col("value"))
+    pieces = pieces.withColumn("_plain", plain)
+    without_strings = lambda text: F.regexp_replace(text, r'"[^"]*+(?:"|\z)', "")
+    pieces = pieces.withColumns({
+        "_odd": F.pmod(_count(F.col("_plain"), '"'), F.lit(2)),
+        "_side0": without_strings(F.col("_plain")), "_side1": without_strings(F.concat(F.lit('"'), F.col("_plain")))}).drop("_plain")
+    pieces = pieces.withColumns({f"_d{k}": _depth(F.col(f"_side{k}")) - (F.col("_odd") == k).cast("int") for k in (0, 1)}).drop("_side0", "_side1")
     pieces = pieces.withColumn("_open", F.pmod(F.coalesce(F.sum("_odd").over(_inside(False)), F.lit(0)), F.lit(2)))
     same, other = (F.when(F.col("_open") == k, F.col("_d0")).otherwise(F.col("_d1")) for k in (0, 1))
     pieces = pieces.withColumns({"_s0": F.sum(same).over(_inside(True)), "_s1": F.sum(other).over(_inside(True))}).checkpoint()
     splits = pieces.groupBy(*_SPLIT).agg(
         F.pmod(F.sum("_odd"), F.lit(2)).alias("odd"), F.max_by("_s0", "_row").alias("t0"), F.max_by("_s1", "_row").alias("t1"),
-        F.min_by("value", "_row").alias("head"))
-    outer = F.regexp_replace("head", r"^[\s\x{FEFF}]+", "").startswith("[").cast("long")
+        F.max(F.when(F.col("_row") == 0, F.regexp_replace("value", r"^[\s\x{FEFF}]+", "").startswith("[").cast("long"))).alias("array"))
     splits = splits.withColumn("_from", F.pmod(_before("odd", ("_file",)), F.lit(2)))
     splits = splits.withColumn("_depth", _before(F.when(F.col("_from") == 0, F.col("t0")).otherwise(F.col("t1")), ("_file",)))
-    splits = splits.withColumn("_outer", F.first(outer).over(Window.partitionBy("_file").orderBy("_block")))
+    splits = splits.withColumn("_outer", F.first("array").over(Window.partitionBy("_file").orderBy("_block")))
     pieces = join_splits(pieces, splits.select(*_SPLIT, "_from", "_depth", "_outer"))
     depth = F.col("_depth") + F.when(F.col("_from") == 0, F.col("_s0")).otherwise(F.col("_s1"))
     closed = F.pmod(F.col("_from") + F.col("_open") + F.col("_odd"), F.lit(2)) == 0
