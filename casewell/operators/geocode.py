@@ -136,16 +136,17 @@ def geocode_nested(df: DataFrame, index: DataFrame, columns: dict[str, str], thr
     row's own, and a name that its district lacks leaves the row at the district.  Equal names, then scores, as in ``match_names``
     (``exact``: equal names only).  Blank names are passed over.
 
-    Only distinct combinations of names are settled, whatever the number of cases: a level costs one match of names that differ
-    in text or in the place above.
+    Only distinct combinations of names are normalised and settled, whatever the number of cases: a level costs one match of
+    names that differ in text or in the place above.
     """
     ensure_checkpoint_dir(df.sparkSession)
     levels = [level for level in MATCH_LEVELS if level in columns]
     key = {level: f"_p{i}" for i, level in enumerate(levels)}
-    named = df
-    for level in levels:
-        raw = F.col(columns[level]).cast("string")
-        named = named.withColumn(key[level], F.coalesce(F.when(not_blank(raw), place_name(raw)), F.lit("")))
+    given = {level: f"_g{i}" for i, level in enumerate(levels)}
+    text = {level: F.col(columns[level]).cast("string") for level in levels}
+    named = df.select(*[text[level].alias(given[level]) for level in levels]).distinct().withColumns({
+        key[level]: F.coalesce(F.when(not_blank(F.col(given[level])), place_name(F.col(given[level]))), F.lit(""))
+        for level in levels}).checkpoint()
     paths = named.select(*key.values()).distinct().withColumn("_m", F.lit(None).cast(
         "struct<pcode:string,level:string,score:double,name:string,lat:double,lon:double>"))
     index = index.checkpoint()
@@ -159,8 +160,10 @@ def geocode_nested(df: DataFrame, index: DataFrame, columns: dict[str, str], thr
             F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).alias("_hit"))
         paths = paths.join(hits, (F.col("_place") == F.col("_at")) & (F.col(key[level]) == F.col("norm")), "left").select(
             *key.values(), F.coalesce("_hit", "_m").alias("_m"))
-    out = named.join(paths, list(key.values()), "left")
-    return _spread(out.withColumn("_m", F.coalesce("_m", _no_match()))).drop(*key.values())
+    found = named.join(paths, list(key.values())).select(*given.values(), "_m")
+    same = [text[level].eqNullSafe(F.col(given[level])) for level in levels]
+    out = df.join(found, same, "left")
+    return _spread(out.withColumn("_m", F.coalesce("_m", _no_match()))).drop(*given.values())
 
 
 def attach_matches(df: DataFrame, matches: DataFrame, columns: dict[str, str]) -> DataFrame:

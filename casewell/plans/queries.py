@@ -226,7 +226,8 @@ def geocode_cascade(s, d):
 
 
 def _nested(s, d, exact):
-    out = geocode.geocode_nested(_places_only(s, d), geocode.nested_index(gazetteer(s, d)), PLACES, exact=exact)
+    rows = keep(_places_only(s, d))     # read for the names and for the result
+    out = geocode.geocode_nested(rows, geocode.nested_index(gazetteer(s, d)), PLACES, exact=exact)
     return out.select("row_id", *geocode.OUTPUT).withColumn("match_score", round_half_up(F.col("match_score"), 1))
 
 

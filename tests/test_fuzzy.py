@@ -203,3 +203,14 @@ def test_dense_number_over_ranges(spark):
     df = spark.range(0, 400, 7).withColumn("k", F.col("id") * 3).repartition(6)
     rows = dense_number(df, "k").orderBy("k").collect()
     assert [r.number for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_nested_names_are_normalised_once_each(spark):
+    gazetteer = spark.createDataFrame([(1, "North", "N1", "Zoé", "Z1", 1.0, 2.0)], "ref_row long, admin1_name string, admin1_pcode string, "
+                                      "locality_name string, locality_pcode string, latitude double, longitude double")
+    df = spark.createDataFrame([(1, "north", "ZOE "), (2, "North", None), (3, None, None), (4, "north", "ZOE "), (None, None, None)],
+                               "row_id long, admin1 string, locality string")
+    out = geocode.geocode_nested(df, geocode.nested_index(gazetteer), {"Admin1_State": "admin1", "Locality": "locality"}, exact=True)
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower()     # the rows are only joined
+    got = sorted((r.row_id or 0, r.pcode_assigned) for r in out.collect())
+    assert got == [(0, None), (1, "Z1"), (2, "N1"), (3, None), (4, "Z1")]
