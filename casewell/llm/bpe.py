@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from casewell.llm.common import PieceMemory, space_pieces, text_batches
 
-TREE_CELLS = 1 << 20            # tree cells that one vectorised step holds
+TREE_CELLS = 1 << 18            # tree cells that one vectorised step holds
 LONG = 512                      # from this many bytes a pre-token gets a tree of its own
 NONE = np.int64(1) << 62        # no pair here
+KNOWN_BYTES = 64 << 20          # of pieces that a worker remembers; reused workers keep them beside the steps that follow
+PORTION = 256                   # texts encoded side by side
 
 
 class RankedMerges:
@@ -171,7 +173,7 @@ class Encoder:
     """Encodes texts piece by piece and remembers the pieces met so far, within a bound."""
 
     def __init__(self, merges: RankedMerges):
-        self.merges, self.memory = merges, PieceMemory()
+        self.merges, self.memory = merges, PieceMemory(KNOWN_BYTES)
 
     def _learn(self, store: dict[str, bytes], lead: str, missing: list[str]) -> None:
         words: dict[bytes, int] = {}
@@ -222,7 +224,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
         merges = encoder.merges
-        for keys, texts in text_batches(batches):
+        for keys, texts in text_batches(batches, PORTION):
             ids, back, counts, sums, checks = [], [], [], [], []
             for coded in encoder.encode(texts):
                 plain = merges.decode(np.frombuffer(coded, dtype="<u4"))

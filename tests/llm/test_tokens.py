@@ -83,6 +83,19 @@ def test_memory_of_pieces_is_bounded_in_bytes(monkeypatch):
         assert memory.held == memory.size(memory.known)
 
 
+def test_merging_encoder_remembers_64_mb_at_most():
+    """A reused worker keeps its encoder beside the steps that follow, so its memory has a bound of its own."""
+    ranks = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    own = bpe.Encoder(bpe._encoder(ranks, P.PATTERN).merges)
+    for k in range(45):
+        words = [f"w{k}x{j}" for j in range(10_000)]
+        assert len(list(own.encode([" ".join(words)]))) == 1
+    assert 60 << 20 < own.memory.held <= 64 << 20
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in ("w1x1 w44x9999 new,", "w44x1")]
+    assert list(own.encode(["w1x1 w44x9999 new,", "w44x1"])) == want
+
+
 def test_frequent_pieces_cover_all_texts(spark):
     """Frequent pieces are those of the whole table, of the ends of long texts too."""
     rows = [(None,), ("",)] + [("a " * 5_000 + f"late{k % 7} end",) for k in range(60)]
