@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -10,14 +11,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from casewell.llm.common import PieceMemory, keep, space_pieces, text_batches
+from casewell.llm.common import PieceMemory, keep, odd_gaps, space_pieces
 
 MAGIC = b"TPL1"
 BLOCK_IDS = 65_536
+SPACE = "\u0120"                # the visible stand-in of a space in byte-level vocabularies
+START_BYTES = 32 << 20          # of first pieces and endings that a worker remembers
+PORTION = 2048                  # texts encoded together; each distinct piece of them is looked up once
+#: Letters at the start of a piece that an ASCII sign, digit or gap follows: a pre-token always ends there.
+_WORD = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+(?=[\x00-@\\[-`{-\x7f])")
 
 
 @lru_cache(maxsize=2)
@@ -26,10 +33,11 @@ def _tokenizer(spec: str) -> Tokenizer:
 
 
 class PieceEncoder:
-    """A byte-level tokenizer of the tokenizers library behind a bounded memory of pieces.
+    """A byte-level tokenizer of the tokenizers library behind bounded memories of pieces.
 
     Holds for tokenizers without normalizer whose pre-tokenizer keeps a space with the word after it.  Texts with an
-    added token's string go to the library whole, as such a string is cut out before anything else.
+    added token's string go to the library whole, as such a string is cut out before anything else.  A piece that opens
+    with a word is remembered in two parts, the word and what follows it, as few words come with few endings.
     """
 
     def __init__(self, spec: str):
@@ -38,41 +46,71 @@ class PieceEncoder:
         plain = (layout.get("normalizer") is None and before.get("type") == "ByteLevel"
                  and not before.get("add_prefix_space") and before.get("use_regex", True))
         self.library = _tokenizer(spec)
+        # a word of ASCII letters is one pre-token, written as it is after the stand-in of its space
+        self.of_words = _tokenizer(json.dumps(layout | {"pre_tokenizer": {"type": "WhitespaceSplit"}})) if plain else None
         self.added = [t["content"] for t in layout.get("added_tokens", [])]
         self.by_piece = plain
-        self.memory = PieceMemory()
+        self.memory, self.starts = PieceMemory(), PieceMemory(START_BYTES)      # after a space, and without one
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, k in vocab.items():
-            self.opens[k] = token.startswith("Ġ")       # the visible stand-in of a space at the start
+            self.opens[k] = token.startswith(SPACE)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _ids(library: Tokenizer, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, store: dict[str, bytes], pieces: list[str]) -> None:
         """Encodes new pieces, many in one text, cut again where a token opens with a space."""
-        odd = [p for p in pieces if " " in p or not p]
-        pieces = [p for p in pieces if p and " " not in p]
-        groups = [pieces[at:at + 256] for at in range(0, len(pieces), 256)]
-        for group, packed in zip(groups, self._ids([" " + " ".join(g) for g in groups])):
-            ends = (np.flatnonzero(self.opens[np.frombuffer(packed, dtype="<u4")]) * 4).tolist() + [len(packed)]
-            if len(ends) != len(group) + 1:
-                odd += group
-            for piece, a, b in zip(group, ends, ends[1:]):
-                store[piece] = packed[a:b]
-        store.update(zip(odd, self._ids([" " + p for p in odd])))
+        words, others, odd = [], [], []
+        for p in pieces:
+            (words if p.isascii() and p.isalpha() else others if p and " " not in p else odd).append(p)
+        for library, gap, group in ((self.of_words, " " + SPACE, words), (self.library, " ", others)):
+            groups = [group[at:at + 256] for at in range(0, len(group), 256)]
+            for part, packed in zip(groups, self._ids(library, [gap + gap.join(g) for g in groups])):
+                ends = (np.flatnonzero(self.opens[np.frombuffer(packed, dtype="<u4")]) * 4).tolist() + [len(packed)]
+                if len(ends) != len(part) + 1:
+                    odd += part
+                for piece, a, b in zip(part, ends, ends[1:]):
+                    store[piece] = packed[a:b]
+        store.update(zip(odd, self._ids(self.library, [" " + p for p in odd])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian 32-bit bytes."""
+        if not texts:
+            return []
         whole = [not self.by_piece or any(a in t for a in self.added) for t in texts]
-        cut = [[] if w else space_pieces(t) for t, w in zip(texts, whole)]
-        known = self.memory.known
-        new = list(set().union(*(c[1:] for c in cut)).difference(known))
+        odd = [w or odd_gaps(t) for w, t in zip(whole, texts)]
+        # those that Arrow can cut, then the others
+        lists = [pc.split_pattern(pa.array([t for t, o in zip(texts, odd) if not o], pa.string()), " "),
+                 pa.array([[t] if w else space_pieces(t) for t, w, o in zip(texts, whole, odd) if o], pa.list_(pa.string()))]
+        after = np.cumsum(np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in lists]), dtype=np.int64)
+        first = np.r_[0, after[:-1]]
+        coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False)
+        heads = distinct[codes[first]].tolist()
+        later = np.ones(len(codes), dtype=bool)
+        later[first] = False
+        used = np.zeros(len(distinct), dtype=bool)
+        used[codes[later]] = True
+
+        pieces = distinct[used].tolist()
+        ends = [word.end() if word else None for word in map(_WORD.match, pieces)]
+        words = [piece[:end] for piece, end in zip(pieces, ends)]
+        tails = [piece[end:] if end else "" for piece, end in zip(pieces, ends)]
+        known, starts = self.memory.known, self.starts.known
+        new, fresh = list(set(words).difference(known)), list(set(tails).union(heads).difference(starts))
         self._learn(known, new)
-        heads = self._ids([t if w else c[0] for t, w, c in zip(texts, whole, cut)])
-        out = [h + b"".join(map(known.__getitem__, c[1:])) for h, c in zip(heads, cut)]
+        starts.update(zip(fresh, self._ids(self.library, fresh)))
+        ids = np.empty(len(distinct), dtype=object)
+        ids[used] = [known[w] + starts[t] if t else known[w] for w, t in zip(words, tails)]
+        of_code = ids.tolist().__getitem__
+        done = [starts[h] + b"".join(map(of_code, codes[a + 1:b].tolist())) for h, a, b in zip(heads, first.tolist(), after.tolist())]
         self.memory.settle(new)
+        self.starts.settle(fresh)
+        out = [b""] * len(texts)
+        for k, packed in zip(np.argsort(odd, kind="stable").tolist(), done):
+            out[k] = packed
         return out
 
 
@@ -125,8 +163,8 @@ def write_tokens(docs: DataFrame, spec: str, path: str, end_id: int = 0, block_i
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stream = _encoder(shared.value), ShardWriter(block_ids)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, PORTION):
+                part = batch.slice(at, PORTION)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for key, coded in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                     stream.add(key, coded + end)

@@ -83,6 +83,21 @@ def test_memory_of_pieces_is_bounded_in_bytes(monkeypatch):
         assert memory.held == memory.size(memory.known)
 
 
+def test_words_are_learned_once_for_all_their_endings():
+    """A word with many endings takes one place in the memory; ids stay those of the library for whole texts."""
+    planes = plane_files.PieceEncoder(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ends = ["", ",", ".", "'s", "'ll,", "'x", "7", "$$$", "\n", ".\nThe", "\u00aa", "\u00ba.", "\u0153", "\u0301", "\u00a0x", "\x85", "\x1c", "\u3000", "'"]
+    texts = [f"{w}{e} {w}{e} a{e}{w}" for w in ("alpha", "\u00dcn\u00edc\u00f6de", "a", "\u00b5m", "<|endoftext|>", "") for e in ends]
+    texts += ["", " ", "  two  gaps ", " lead", "tail ", *texts[:3]]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert planes.encode(texts) == want and planes.encode(texts[::-1]) == want[::-1] and planes.encode([]) == []
+    assert planes.encode(["only <|endoftext|> whole"]) == [np.array(library.encode("only <|endoftext|> whole").ids, dtype="<u4").tobytes()]
+    planes = plane_files.PieceEncoder(open(P.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    planes.encode(["x alpha, alpha. alpha; alpha! alpha"])
+    assert list(planes.memory.known) == ["alpha"]
+
+
 def test_merging_encoder_remembers_64_mb_at_most():
     """A reused worker keeps its encoder beside the steps that follow, so its memory has a bound of its own."""
     ranks = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
