@@ -6,6 +6,9 @@ stays distributed.  ``group_id`` is the smallest ``row_id`` of the group.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casewell.functions.dates import as_date
@@ -20,6 +23,8 @@ MAX_AGE_GAP = 1.5
 FIRST_PEOPLE = 32_000   # people compared among themselves first; their pairs are few once names, onset and age must meet
 MAX_ONSET_GAP = 14
 _ONSET_LANE = MAX_ONSET_GAP + 1
+_AGE_LANE = MAX_AGE_GAP + 0.1
+PERSON = ("pid", "name", "sex", "age", "onset")
 _ANY = -(2 ** 31)        # lane for "matches everything"
 _NONE = _ANY + 1         # lane for rows without the value
 _EXACT_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
@@ -68,17 +73,18 @@ def duplicate_ids(df: DataFrame, exact: DataFrame, case_id: str = "case_id") ->
     return _members(rows, "case_id", "exact_id")
 
 
-def _lanes(value: Column, width: int | float) -> tuple[Column, Column]:
-    """Join lanes for "both within ``width`` or one of them missing".
+def _lanes(value: Column, gap: float, width: float) -> tuple[Column, Column]:
+    """Join lanes for "both within ``gap`` or one of them missing", from buckets of ``width``.
 
-    Left rows look into their own bucket, both neighbours and the lane of missing
-    values; left rows without a value look into the lane every right row is in.
+    Left rows look into all buckets within the gap and the lane of missing values;
+    left rows without a value look into the lane every right row is in.
     Each pair meets in exactly one lane.
     """
-    bucket = F.floor(value / F.lit(width)).cast("int")
+    bucket = lambda v: F.floor(v / F.lit(width)).cast("int")
+    reach = F.lit(gap + 1e-6)           # what rounding could take off; the exact test follows
     probe = F.when(value.isNull(), F.array(F.lit(_ANY))).otherwise(
-        F.array(bucket - 1, bucket, bucket + 1, F.lit(_NONE)))
-    own = F.array(F.coalesce(bucket, F.lit(_NONE)), F.lit(_ANY))
+        F.concat(F.sequence(bucket(value - reach), bucket(value + reach)), F.array(F.lit(_NONE))))
+    own = F.array(F.coalesce(bucket(value), F.lit(_NONE)), F.lit(_ANY))
     return probe, own
 
 
@@ -86,7 +92,8 @@ def person_profiles(df: DataFrame, name: str, sex: str | None, age: str | None,
     """Rows with what is compared: ``(row_id, pid, name, sex, age, onset)``.
 
     Rows that agree on all four are interchangeable: they are mutually similar and
-    have the same neighbours, so they always share a cluster.  ``pid`` identifies them.
+    have the same neighbours, so they always share a cluster.  ``pid`` is a hash of the four,
+    to be used together with them (``PERSON``).
     """
     dtypes = dict(df.dtypes)
     text = squeeze(F.lower(F.trim(F.col(name).cast("string"))))
@@ -97,8 +104,7 @@ def person_profiles(df: DataFrame, name: str, sex: str | None, age: str | None,
         pick(age, lambda c: c.try_cast("double")).cast("double").alias("age"),
         pick(onset, lambda c: as_date(c, dtypes[onset])).cast("date").alias("onset"),
     ).where(F.length("name") >= 3)
-    return rows.withColumn("pid", F.sha2(F.to_json(F.struct("name", "sex", "age", "onset"),
-                                                   {"ignoreNullFields": "false"}), 256))
+    return rows.withColumn("pid", F.xxhash64("name", "sex", "age", "onset"))
 
 
 def similar_names(names: DataFrame, threshold: float) -> DataFrame:
@@ -138,16 +144,11 @@ def fuzzy_duplicates(
     """
     ensure_checkpoint_dir(df.sparkSession)
     rows = person_profiles(df, name, sex, age, onset).checkpoint()
-    people = rows.groupBy("pid").agg(
-        F.min("row_id").alias("ord"), F.count("*").alias("copies"),
-        *[F.first(c).alias(c) for c in ("name", "sex", "age", "onset")]).checkpoint()
+    people = rows.groupBy(*PERSON).agg(F.min("row_id").alias("ord"), F.count("*").alias("copies")).checkpoint()
     names = people.select("name").distinct().withColumn("nid", F.monotonically_increasing_id()).checkpoint()
     similar = similar_names(names, threshold).checkpoint()
     days = F.datediff("onset", F.lit("1970-01-01").cast("date"))
     nodes = people.join(names, "name").select("ord", "nid", "sex", "age", days.alias("day"))
-    for lane, value, width in (("onset_lane", F.col("day"), _ONSET_LANE), ("age_lane", F.col("age"), MAX_AGE_GAP)):
-        probe, own = _lanes(value, width)
-        nodes = nodes.withColumn(f"{lane}_l", probe).withColumn(f"{lane}_r", own)
 
     def near(attribute: str, test: Column) -> Column:
         return F.col(f"l_{attribute}").isNull() | F.col(f"r_{attribute}").isNull() | test
@@ -156,29 +157,37 @@ def fuzzy_duplicates(
              & near("age", F.abs(F.col("l_age") - F.col("r_age")) <= MAX_AGE_GAP)
              & near("day", F.abs(F.col("l_day") - F.col("r_day")) <= MAX_ONSET_GAP))
 
-    def side(part: DataFrame, which: str) -> DataFrame:
-        laned = part.withColumn("onset_lane", F.explode(f"onset_lane_{which}")).withColumn("age_lane", F.explode(f"age_lane_{which}"))
-        return laned.select("nid", F.col("onset_lane"), F.col("age_lane"),
-                            *[F.col(c).alias(f"{which}_{c}") for c in ("ord", "sex", "age", "day")])
+    def side(part: DataFrame, which: str, widths: int) -> DataFrame:
+        for lane, value, gap, width in (("onset_lane", "day", MAX_ONSET_GAP, _ONSET_LANE), ("age_lane", "age", MAX_AGE_GAP, _AGE_LANE)):
+            probe, own = _lanes(F.col(value), gap, width * widths)
+            part = part.withColumn(lane, F.explode(probe if which == "l" else own))
+        return part.select("nid", "onset_lane", "age_lane", *[F.col(c).alias(f"{which}_{c}") for c in ("ord", "sex", "age", "day")])
 
     def edges(left: DataFrame, right: DataFrame, within: bool) -> DataFrame:
-        probes = side(left, "l").join(similar, F.col("nid") == F.col("l_name")).drop("nid", "l_name")
-        partners = side(right, "r").withColumnRenamed("nid", "r_name")
-        met = probes.join(partners, ["r_name", "onset_lane", "age_lane"])
-        return met.where(alike & (F.col("l_ord") < F.col("r_ord"))).select("l_ord", "r_ord", "score")
+        # inside a prefix probes outnumber what they find, so buckets are wider there and two names are looked up one way only
+        widths = 2 if within else 1
+        looked_up = similar.where(F.col("l_name") <= F.col("r_name")) if within else similar
+        probes = side(left, "l", widths).join(looked_up, F.col("nid") == F.col("l_name")).drop("nid")
+        partners = side(right, "r", widths).withColumnRenamed("nid", "r_name")
+        met = probes.join(partners, ["r_name", "onset_lane", "age_lane"]).where(alike)
+        if not within:
+            return met.where(F.col("l_ord") < F.col("r_ord")).select("l_ord", "r_ord", "score")
+        return (met.where((F.col("l_ord") < F.col("r_ord")) | (F.col("l_name") != F.col("r_name")) & (F.col("l_ord") != F.col("r_ord")))
+                .select(F.least("l_ord", "r_ord").alias("l_ord"), F.greatest("l_ord", "r_ord").alias("r_ord"), "score"))
 
     found = greedy_leaders(nodes, edges, first_prefix)
     person = people.join(found, "ord", "left").select(
-        "pid", "ord", "copies", F.coalesce("leader", "ord").alias("group_id"), "score")
+        *PERSON, "ord", "copies", F.coalesce("leader", "ord").alias("group_id"), "score")
     best = (person.groupBy("group_id")
             .agg(F.sum("copies").alias("size"),
                  F.max(F.when((F.col("ord") == F.col("group_id")) & (F.col("copies") > 1), 1.0)
                        .otherwise(F.col("score"))).alias("best"))
             .where(F.col("size") > 1))
     grouped = person.join(best, "group_id").select(
-        "pid", "group_id", round_half_up(F.col("best"), 2).alias("match_score"),
+        *[F.col(c).alias(f"of_{c}") for c in PERSON], "group_id", round_half_up(F.col("best"), 2).alias("match_score"),
         round_half_up(F.coalesce("score", F.lit(1.0)), 2).alias("own_score"))
-    return rows.select("row_id", "pid").join(grouped, "pid").select("row_id", "group_id", "match_score", "own_score")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in PERSON[1:]], F.col("pid") == F.col("of_pid"))
+    return rows.join(grouped, same).select("row_id", "group_id", "match_score", "own_score")
 
 
 def find_duplicates(df: DataFrame, tags: dict[str, str], method: str = "both", threshold: float = 0.80) -> DataFrame:

@@ -6,6 +6,8 @@ Each takes ``(spark, sf_dir)`` and returns a DataFrame over the whole tables.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -272,11 +274,22 @@ def dedup_flag(s, d):
     return flagged.select("row_id", F.col("is_duplicate").cast("int").alias("is_duplicate"), "duplicate_group_id")
 
 
+def _read_once(rows, name, make, *columns):
+    """Adds ``name``, which ``make`` computes once for each distinct combination of ``columns`` (missing values are one of them)."""
+    keys = [f"{name}_of_{c}" for c in columns]
+    values = rows.select(*[F.col(c).alias(k) for c, k in zip(columns, keys)]).distinct()
+    known = keep(values.withColumn(name, make(*[F.col(k) for k in keys])))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(columns, keys)])
+    return rows.join(known, same, "left").drop(*keys)
+
+
 def _person_rows(s, d):
-    return raw_cases(s, d).select(
-        "row_id", "full_name", categories.standardize_sex(F.col("sex")).alias("sex"),
-        ages.parse_age_with_unit(F.col("age"), F.col("age_unit")).alias("age"),
-        dates.parse_date(F.col("date_onset")).alias("date_onset"))
+    rows = keep(raw_cases(s, d).select(         # read for the distinct values, then for the rows
+        "row_id", "full_name", *[F.col(c).alias(f"raw_{c}") for c in ("sex", "age", "age_unit", "date_onset")]))
+    rows = _read_once(rows, "sex", categories.standardize_sex, "raw_sex")
+    rows = _read_once(rows, "age", ages.parse_age_with_unit, "raw_age", "raw_age_unit")
+    rows = _read_once(rows, "date_onset", dates.parse_date, "raw_date_onset")
+    return rows.select("row_id", "full_name", "sex", "age", "date_onset")
 
 
 def fuzzy_duplicates(s, d):

@@ -5,10 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casewell.functions import similarity as sim
+from casewell.functions import ages, similarity as sim
 from casewell.operators import candidates, dedup, facility, geocode
 from casewell.operators.leaders import greedy_leaders
 from casewell.operators.numbering import dense_number
+from casewell.plans import queries
 
 
 def lcs(a, b):
@@ -214,3 +215,43 @@ def test_nested_names_are_normalised_once_each(spark):
     assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower()     # the rows are only joined
     got = sorted((r.row_id or 0, r.pcode_assigned) for r in out.collect())
     assert got == [(0, None), (1, "Z1"), (2, "N1"), (3, None), (4, "Z1")]
+
+
+def test_person_values_are_read_once_each(spark, small_dir):
+    plan = queries._person_rows(spark, small_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "rlike" not in plan         # rows are only joined with the values read
+    rows = spark.createDataFrame([(1, "5", "mois"), (2, None, None), (3, "5", "mois"), (2, None, None), (4, "5", None), (5, "x", "ans")],
+                                 "row_id long, a string, u string")
+    got = queries._read_once(rows, "age", ages.parse_age_with_unit, "a", "u").orderBy("row_id").collect()
+    assert [(r.row_id, r.a, r.u, r.age) for r in got] == [
+        (1, "5", "mois", 0.42), (2, None, None, None), (2, None, None, None), (3, "5", "mois", 0.42), (4, "5", None, 5.0), (5, "x", "ans", None)]
+
+
+def test_people_who_agree_are_one_node(spark):
+    rows = [(1, "Amina Diallo", None, None), (2, "amina  diallo", None, None), (3, "amina diallo", "null", None), (4, None, None, None)]
+    people = dedup.person_profiles(spark.createDataFrame(rows, "row_id long, n string, s string, a string"), "n", "s", "a", None)
+    plan = people._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "sha2" not in plan and "to_json" not in plan
+    assert sorted((r["count"], r.sex) for r in people.groupBy(*dedup.PERSON).count().collect()) == [(1, "null"), (2, None)]
+
+
+def test_pairs_meet_in_one_lane_and_wide_lanes_are_few(spark):
+    rnd = random.Random(5)
+    values = [None, None, 0.0, 1.5, 3.0, 1.6, 0.1, -1.5, 4.499999999999999, 6.0] + [round(rnd.uniform(0, 12), rnd.choice([0, 1, 2])) for _ in range(60)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for width in (1.6, 3.2):
+        probe, own = dedup._lanes(F.col("v"), 1.5, width)
+        rows = df.select("v", probe.alias("probe"), own.alias("own")).collect()
+        for a in rows:
+            for b in rows:
+                met = len(set(a.probe) & set(b.own))
+                near = a.v is None or b.v is None or abs(a.v - b.v) <= 1.5
+                assert met == 1 if near else met <= 1
+    assert max(len(r.probe) for r in rows) <= 3         # inside a prefix: two buckets at most and the missing values
+
+
+def test_rows_of_one_id_do_not_link(spark):
+    rows = [(1, "amina diallo"), (1, "diallo amina"), (2, "john doe"), (None, "amina dialo")]
+    df = spark.createDataFrame(rows, "row_id long, full_name string")
+    got = dedup.fuzzy_duplicates(df).collect()          # one id is one group, but no link: nothing was compared
+    assert [tuple(r) for r in got] == [(1, 1, None, 1.0)] * 2
